@@ -13,9 +13,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from casewright.functions.text import tokenize
 from casewright.operators import timeline
+from casewright.operators.skew import salted_join
+from casewright.session import cut_lineage
 from casewright.sources.incident_parsers import mentioned_components
 
 HYPOTHESIS = ["incident", "component", "signature"]
+STAMP = "yyyy-MM-dd HH:mm:ss"
 SOURCES = ["logs", "deployment", "known_issue", "runbook", "previous_incident"]
 
 
@@ -40,7 +43,6 @@ def candidates(logs: DataFrame) -> DataFrame:
             F.count_if(F.col("level") == "ERROR").alias("error_count"),
             F.min("ts").alias("first_ts"),
             F.max("ts").alias("last_ts"),
-            F.min("message").alias("sample_message"),
         )
     )
 
@@ -70,39 +72,51 @@ def catalogue(records: DataFrame, record_id: str, text: list[str], excerpt: Colu
                  weight.alias("weight"), *(extra or [])).alias("record"))
 
 
-def match_records(hypotheses: DataFrame, records: DataFrame, name: str) -> DataFrame:
-    """The best record whose component equals the hypothesis' and whose words
-    contain every word of its signature.
+def match_records(signatures: DataFrame, records: DataFrame, name: str) -> DataFrame:
+    """Add to each row of ``signatures`` the best record whose component is equal
+    and whose words contain every word of the signature (NULL if none does).
 
-    Records with equal words are one record for this purpose and merge first, as
-    do hypotheses with equal signatures. They then meet on one word of the
-    signature, its longest, instead of pairing up within a component.
+    Records with equal words are one record for this purpose and merge first.
+    Signature and record then meet on one word, the signature's longest, instead
+    of pairing up within a component.
     """
-    part = [c for c in ("incident", "component") if c in records.columns]
-    best = F.min("record").alias("record")
-    distinct_records = records.groupBy(*part, "terms").agg(best)
-    by_word = distinct_records.select(*part, "terms", "record", F.explode("terms").alias("_word"))
-    wanted = (
-        hypotheses.select(*part, "signature").distinct()
-        .withColumn("_terms", F.array_distinct(tokenize(F.col("signature"))))
-        .withColumn("_word", F.array_max(F.transform("_terms", lambda t: F.struct(F.length(t), t.alias("t"))))["t"])
+    part = [c for c in ("incident", "component") if c in signatures.columns]
+    best = F.min("record").alias(name)
+    by_word = (
+        records.groupBy(*part, "terms").agg(F.min("record").alias("record"))
+        .withColumn("_word", F.explode("terms"))
     )
     matched = (
-        wanted.join(by_word, [*part, "_word"])
+        signatures.select(*part, "signature", "_terms", "_word")
+        .join(by_word, [*part, "_word"])
         .filter(F.size(F.array_except("_terms", "terms")) == 0)
         .groupBy(*part, "signature").agg(best)
     )
-    return matched.withColumnRenamed("record", name)
+    return signatures.join(matched, [*part, "signature"], "left")
+
+
+def distinct_signatures(hypotheses: DataFrame, part: list[str]) -> DataFrame:
+    """The signatures to look up, once each, with the number of hypotheses."""
+    longest = lambda term: F.struct(F.length(term).alias("length"), term.alias("term"))
+    return (
+        hypotheses.groupBy(*part, "signature").agg(F.count("*").alias("hypothesis_count"))
+        .withColumn("_terms", F.array_distinct(tokenize(F.col("signature"))))
+        .withColumn("_word", F.array_max(F.transform("_terms", longest))["term"])
+    )
 
 
 def gather_evidence(logs: DataFrame, deployments: DataFrame, known_issues: DataFrame, runbooks: DataFrame,
                     previous_incidents: DataFrame, calibration: Calibration = Calibration()) -> DataFrame:
-    """One row per hypothesis with one struct (or NULL) for each source type."""
+    """One row per hypothesis with one struct (or NULL) for each source type.
+
+    Catalogues either belong to an incident (they have an ``incident`` column) or
+    are shared by all of them.
+    """
     thin = calibration.thin
     found = candidates(logs).withColumn("logs", F.struct(
         F.col("component").alias("id"),
-        F.concat_ws(" ", F.concat(F.col("line_count").cast("string"), F.lit("x")),
-                    F.col("component"), F.col("sample_message")).alias("excerpt"),
+        F.format_string("%dx %s: %s, first %s, last %s", F.col("line_count"), F.col("component"), F.col("signature"),
+                        F.date_format("first_ts", STAMP), F.date_format("last_ts", STAMP)).alias("excerpt"),
         F.when((F.col("error_count") > 0) | (F.col("line_count") >= 2), 1.0).otherwise(thin).alias("weight")))
     issue = catalogue(
         known_issues.withColumnRenamed("affected_component", "component"), "issue_id", ["title", "signature"],
@@ -115,12 +129,20 @@ def gather_evidence(logs: DataFrame, deployments: DataFrame, known_issues: DataF
         mentioned_components(previous_incidents, "summary"), "incident_id", ["summary"],
         F.concat_ws(": ", "incident_id", "root_cause"), thin, F.col("caveat").isNotNull(), extra=["root_cause"])
 
-    evidence = found.join(
+    catalogues = {"known_issue": issue, "runbook": runbook, "previous_incident": precedent}
+    scoped = all("incident" in records.columns for records in catalogues.values())
+    part = ["incident", "component"] if scoped else ["component"]
+    matches = distinct_signatures(found, part)
+    for name, records in catalogues.items():
+        matches = match_records(matches, records, name)
+    matches = matches.drop("_terms", "_word")
+
+    timed = found.join(
         deployment_before(found, deployments, calibration.lookback), ["incident", "component", "first_ts"], "left")
-    for name, records in (("known_issue", issue), ("runbook", runbook), ("previous_incident", precedent)):
-        keys = [c for c in ("incident", "component") if c in records.columns]
-        evidence = evidence.join(match_records(found, records, name), [*keys, "signature"], "left")
-    return evidence
+    if scoped:
+        return timed.join(matches, HYPOTHESIS).drop("hypothesis_count")
+    # Catalogues shared by all incidents: one signature may recur in very many.
+    return salted_join(timed, cut_lineage(matches), ["component", "signature"], "hypothesis_count").drop("hypothesis_count")
 
 
 def corroborate(evidence: DataFrame, calibration: Calibration = Calibration()) -> DataFrame:

@@ -45,13 +45,13 @@ def describe_columns(df: DataFrame, dictionary: DataFrame, file: str) -> DataFra
     return df
 
 
-def write_answer_file(answers: DataFrame, path: str, order_by: str = "question_id") -> None:
+def write_answer_file(answers: DataFrame, path: str, order_by: str = "question_id", drop: list[str] | None = None) -> None:
     """One indented JSON array, the submission format of a question batch.
 
     Rows are streamed to the file one partition at a time in output order, so
     the driver never holds the whole batch.
     """
-    _stream_json(answers.orderBy(order_by), path, opening="[", closing="]",
+    _stream_json(answers.orderBy(order_by).drop(*(drop or [])), path, opening="[", closing="]",
                  render=lambda row: json.dumps(_plain(row.asDict(recursive=True)), indent=2))
 
 
