@@ -9,7 +9,7 @@ WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 def tokenize(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), WORD_BREAK), lambda word: word != "")
+    return F.array_remove(F.split(F.lower(text), WORD_BREAK), "")
 
 
 def clean_document(text: Column) -> Column:

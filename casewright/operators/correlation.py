@@ -113,7 +113,8 @@ def gather_evidence(logs: DataFrame, deployments: DataFrame, known_issues: DataF
     are shared by all of them.
     """
     thin = calibration.thin
-    found = candidates(logs).withColumn("logs", F.struct(
+    # Read by the deployment, signature and final joins: parse the logs once.
+    found = cut_lineage(candidates(logs)).withColumn("logs", F.struct(
         F.col("component").alias("id"),
         F.format_string("%dx %s: %s, first %s, last %s", F.col("line_count"), F.col("component"), F.col("signature"),
                         F.date_format("first_ts", STAMP), F.date_format("last_ts", STAMP)).alias("excerpt"),

@@ -40,7 +40,8 @@ def get_policy_document(policy_docs: DataFrame, source: str) -> DataFrame:
 
 
 def clients_without_payments(clients: DataFrame, payments: DataFrame) -> DataFrame:
-    return clients.join(payments.select("client_id"), "client_id", "left_anti")
+    """Each paying client counts once, so a busy one weighs no more than others."""
+    return clients.join(payments.select("client_id").distinct(), "client_id", "left_anti")
 
 
 def country_code_mismatches(payments: DataFrame) -> DataFrame:

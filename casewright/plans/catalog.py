@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from casewright.functions.rows import once
 from casewright.operators import correlation, lookups, retrieval, rules, structuring, timeline
 from casewright.plans import incident, investigation
 from casewright.sources import incident_parsers as parse, warehouse as w
@@ -20,6 +21,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUESTION = "Is the thintion of estion to be nding for the ingor and the oution?"
 SINGLE_CLIENT = 7
 INCIDENT_CALIBRATION = correlation.Calibration(lookback="7 days")
+FACTS_READ_BACK = ("amount double, payment_count bigint, combined_amount double, "
+                   "payment_ids array<string>, review_actions array<string>")
 TIME_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 # One question per payment, worded by the payment's currency.
@@ -279,13 +282,13 @@ def payment_answers(spark, sf_dir):
         w.choose(F.col("currency"), QUESTION_OF_CURRENCY).alias("question"))
     answers = investigation.answer_questions(
         questions, payments, w.clients(spark, sf_dir), rules.standard_rules(spark))
-    fact = lambda name: F.get_json_object("facts", f"$.{name}")
-    return plain(answers.select(
-        "question_id", "payment_id", "citations", "tools_used", fact("amount").cast("double").alias("amount"),
-        F.coalesce(fact("payment_count").cast("bigint"), F.lit(0)).alias("payment_count"),
-        F.coalesce(fact("combined_amount").cast("double"), F.lit(0.0)).alias("combined_amount"),
-        F.coalesce(F.array_size(F.from_json(fact("payment_ids"), "array<string>")), F.lit(0)).alias("listed_payments"),
-        F.coalesce(F.array_join(F.from_json(fact("review_actions"), "array<string>"), ","), F.lit("")).alias("review_actions")))
+    read = once(answers, "fact", F.from_json("facts", FACTS_READ_BACK))
+    return plain(read.select(
+        "question_id", "payment_id", "citations", "tools_used", "fact.amount",
+        F.coalesce("fact.payment_count", F.lit(0)).alias("payment_count"),
+        F.coalesce("fact.combined_amount", F.lit(0.0)).alias("combined_amount"),
+        F.coalesce(F.array_size("fact.payment_ids"), F.lit(0)).alias("listed_payments"),
+        F.coalesce(F.array_join("fact.review_actions", ","), F.lit("")).alias("review_actions")))
 
 
 QUERIES: dict[str, Query] = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casewright.operators import correlation as c, retrieval
+from casewright.session import cut_lineage
 from casewright.sources import corpus as corpora, incident_parsers as parse
 
 # Which document of an incident folder holds which source type.
@@ -42,7 +43,7 @@ def incident_reports(tables: dict[str, DataFrame], calibration: c.Calibration =
     excerpts; it never adds to the confidence.
     """
     scored = c.corroborate(c.gather_evidence(**tables, calibration=calibration), calibration)
-    leaders = c.leading_hypothesis(scored)
+    leaders = cut_lineage(c.leading_hypothesis(scored))
     impacted = c.impacted_systems(leaders, tables["logs"])
 
     review = F.col("needs_human_review")

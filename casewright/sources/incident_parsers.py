@@ -12,11 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casewright import schemas
+from casewright.functions.rows import once
 from casewright.functions.text import (
     code_spans, message_attributes, message_signature, mttr_minutes, unwrap,
 )
 
-LOG_LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\s+([A-Z]+)\s+(\S+)\s+(.*)$"
+LOG_LINE = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\s+[A-Z]+\s+\S"
 CAVEAT = r"(?i)unverified|unconfirmed|may not apply"
 
 
@@ -26,11 +27,12 @@ def _scope(df: DataFrame) -> list[str]:
 
 def log_events(lines: DataFrame) -> DataFrame:
     """(incident, ts, level, component, message, attrs, signature) per log line."""
-    part = lambda group: F.regexp_extract("line", LOG_LINE, group)
+    part = lambda index: F.get("parts", index)
+    matching = lines.filter(F.col("line").rlike(LOG_LINE))
     return (
-        lines.filter(F.col("line").rlike(LOG_LINE))
-        .select(*_scope(lines), part(1).try_cast("timestamp_ntz").alias("ts"), part(2).alias("level"),
-                part(3).alias("component"), part(4).alias("message"))
+        once(matching, "parts", F.split("line", r"\s+", 5))
+        .select(*_scope(lines), F.concat_ws(" ", part(0), part(1)).try_cast("timestamp_ntz").alias("ts"),
+                part(2).alias("level"), part(3).alias("component"), F.coalesce(part(4), F.lit("")).alias("message"))
         .withColumn("attrs", message_attributes(F.col("message")))
         .withColumn("signature", message_signature(F.col("message")))
     )

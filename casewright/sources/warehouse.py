@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from casewright import schemas
+from casewright.functions.rows import once
 from casewright.functions.text import choose
 
 # How the tables' codes stand for the workloads' domains.
@@ -135,7 +136,7 @@ def _words(k: Column) -> Column:
 
 def _operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         F.col("user_id").cast("string").alias("incident"),
         "event_id", "ts", "event_type", "value",
         F.concat(F.lit("svc-"), (k % 25 + 1).cast("string")).alias("component"),
@@ -145,30 +146,26 @@ def _operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as application-log lines, one incident per user."""
-    return _operations(spark, sf_dir).select(
-        "incident",
-        F.format_string(
-            "%s %-5s %-24s %s: event_id=%d",
-            F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
-            F.coalesce(choose(F.col("event_type"), LEVEL_OF_EVENT), F.lit("INFO")),
-            F.col("component"), F.col("words"), F.col("event_id"),
-        ).alias("line"),
-    )
+    line = F.format_string(
+        "%s %-5s %-24s %s: event_id=%d",
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
+        F.coalesce(choose(F.col("event_type"), LEVEL_OF_EVENT), F.lit("INFO")),
+        F.col("component"), F.col("words"), F.col("event_id"))
+    return once(_operations(spark, sf_dir), "line", line).select("incident", "line")
 
 
 def deployment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sign-up events as rows of a Markdown deployment table."""
-    return _operations(spark, sf_dir).filter("event_type = 'signup'").select(
-        "incident",
-        F.format_string(
-            "| **v%d** | **%s** | **%s** | changed %s |",
-            F.col("event_id"), F.date_format("ts", "yyyy-MM-dd HH:mm"), F.col("component"), F.col("words"),
-        ).alias("line"),
-    )
+    line = F.format_string(
+        "| **v%d** | **%s** | **%s** | changed %s |",
+        F.col("event_id"), F.date_format("ts", "yyyy-MM-dd HH:mm"), F.col("component"), F.col("words"))
+    signups = _operations(spark, sf_dir).filter("event_type = 'signup'")
+    return once(signups, "line", line).select("incident", "line")
 
 
 def _catalogue(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    return table(spark, sf_dir, "part").filter(choose(F.col("p_type"), CATALOGUE_OF_TYPE) == kind).select(
+    part = spread(table(spark, sf_dir, "part"))
+    return part.filter(choose(F.col("p_type"), CATALOGUE_OF_TYPE) == kind).select(
         "p_partkey", "p_name", "p_size",
         F.concat(F.lit("svc-"), F.substring_index("p_brand", "#", -1)).alias("component"),
         F.when(F.col("p_retailprice") > 1000, "unverified").otherwise("confirmed").alias("standing"),
@@ -176,24 +173,23 @@ def _catalogue(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 
 
 def known_issue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _catalogue(spark, sf_dir, "known_issue").select(
-        F.format_string('KI-%d,%s fault,"seen as %s, in logs",%s,%s', F.col("p_partkey"), F.col("p_name"),
-                        F.col("p_name"), F.col("component"), F.col("standing")).alias("line"))
+    line = F.format_string(
+        'KI-%d,%s fault,"seen as %s, in logs",%s,%s',
+        *map(F.col, ("p_partkey", "p_name", "p_name", "component", "standing")))
+    return once(_catalogue(spark, sf_dir, "known_issue"), "line", line).select("line")
 
 
 def runbook_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _catalogue(spark, sf_dir, "runbook").select(
-        F.format_string(
-            "## RB-%d: Fault of %s\n\n**Symptoms**: `%s` logging %s.\n\n**Remediation**: restart %s (%s).\n\n"
-            "**Typical MTTR: %d minutes.**",
-            F.col("p_partkey"), F.col("component"), F.col("component"), F.col("p_name"), F.col("component"),
-            F.col("standing"), F.col("p_size")).alias("text"))
+    text = F.format_string(
+        "## RB-%d: Fault of %s\n\n**Symptoms**: `%s` logging %s.\n\n**Remediation**: restart %s (%s).\n\n"
+        "**Typical MTTR: %d minutes.**",
+        *map(F.col, ("p_partkey", "component", "component", "p_name", "component", "standing", "p_size")))
+    return once(_catalogue(spark, sf_dir, "runbook"), "text", text).select("text")
 
 
 def previous_incident_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _catalogue(spark, sf_dir, "previous_incident").select(
-        F.format_string(
-            "## INC-%d (2023-05-01)\n\n**Summary**: `%s` logging %s.\n\n**Root cause**: %s.\n\n"
-            "**Resolution**: restarted.\n\n**MTTR**: %d minutes.",
-            F.col("p_partkey"), F.col("component"), F.col("p_name"), F.col("standing"), F.col("p_size"),
-        ).alias("text"))
+    text = F.format_string(
+        "## INC-%d (2023-05-01)\n\n**Summary**: `%s` logging %s.\n\n**Root cause**: %s.\n\n"
+        "**Resolution**: restarted.\n\n**MTTR**: %d minutes.",
+        *map(F.col, ("p_partkey", "component", "p_name", "standing", "p_size")))
+    return once(_catalogue(spark, sf_dir, "previous_incident"), "text", text).select("text")
