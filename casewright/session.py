@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,14 +31,25 @@ def build_session(app_name: str = "casewright", master: str | None = None,
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share for intermediate tables: the one the cluster
+    names in ``spark.checkpoint.dir``. Only where that is unset (tests, local
+    runs) a temporary one is chosen, once per session."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="casewright-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Store ``df`` once through a reliable checkpoint and read it back.
+    """Write ``df`` as a table in the shared folder and read it back.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where that is unset (tests, local runs) is a temporary one chosen.
+    Later steps then survive lost executors without recomputing ``df``, read only
+    the columns they need, and Spark knows the table's true size when it chooses
+    between a broadcast and a shuffle join.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        configured = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="casewright-checkpoint-"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
