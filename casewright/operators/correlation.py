@@ -160,6 +160,33 @@ def corroborate(evidence: DataFrame, calibration: Calibration = Calibration()) -
     )
 
 
+def evidence_rows(evidence: DataFrame) -> DataFrame:
+    """The evidence of all source types as one relation, one row per item."""
+    items = [F.struct(F.lit(source).alias("source_type"), F.col(f"{source}.id").alias("record_id"),
+                      F.col(f"{source}.weight").alias("weight"), F.col(f"{source}.excerpt").alias("excerpt"))
+             for source in SOURCES]
+    return evidence.select(*HYPOTHESIS, F.inline(F.array(*items))).filter("record_id IS NOT NULL")
+
+
+def before_and_after(logs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Clean and failing lines of a component before and from a moment on, for one
+    ``mark_ts`` per (incident, component).
+
+    Lines of one second merge before the join, so a busy component joins with at
+    most one row per second.
+    """
+    per_second = logs.groupBy("incident", "component", "ts").agg(
+        F.count_if(F.col("level") == "ERROR").alias("failed"), F.count_if(F.col("level") != "ERROR").alias("clean"))
+    before = F.col("ts") < F.col("mark_ts")
+    part = lambda name, when: F.sum(F.when(when, F.col(name)).otherwise(0)).alias
+    return (
+        per_second.join(marks.select("incident", "component", "mark_ts"), ["incident", "component"])
+        .groupBy("incident", "component", "mark_ts")
+        .agg(part("clean", before)("clean_before"), part("failed", before)("failed_before"),
+             part("clean", ~before)("clean_after"), part("failed", ~before)("failed_after"))
+    )
+
+
 def leading_hypothesis(scored: DataFrame) -> DataFrame:
     """One hypothesis per incident: best corroborated, then most frequent, then
     earliest; the name settles what is left."""

@@ -197,6 +197,12 @@ def _search(scorer) -> Query:
     return query
 
 
+def policy_document(spark, sf_dir):
+    """The full texts of one source."""
+    documents = lookups.get_policy_document(w.table(spark, sf_dir, "documents"), "src7")
+    return plain(documents.select("doc_id", "source", F.md5("text").alias("text_md5")))
+
+
 def rank_documents(spark, sf_dir):
     return plain(retrieval.rank_documents(_index(spark, sf_dir), QUESTION, retrieval.bm25))
 
@@ -266,6 +272,30 @@ def corroboration(spark, sf_dir):
         *correlation.HYPOTHESIS, "line_count", "source_count", "confidence_score", "needs_human_review", *identified))
 
 
+def evidence_rows(spark, sf_dir):
+    evidence = correlation.gather_evidence(**_tables(spark, sf_dir), calibration=INCIDENT_CALIBRATION)
+    return plain(correlation.evidence_rows(evidence).select(*correlation.HYPOTHESIS, "source_type", "record_id", "weight"))
+
+
+def before_and_after(spark, sf_dir):
+    """Clean and failing lines around the latest deployment of each component."""
+    tables = _tables(spark, sf_dir)
+    latest = tables["deployments"].groupBy("incident", "component").agg(F.max("ts").alias("mark_ts"))
+    return plain(correlation.before_and_after(tables["logs"], latest))
+
+
+def component_paths(spark, sf_dir):
+    """Regions over nations over their customers and suppliers, as a call tree."""
+    table = lambda name: w.table(spark, sf_dir, name)
+    nation = table("nation").join(table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    tops = nation.select(F.col("r_name").alias("incident"), F.col("r_name").alias("parent"), F.col("n_name").alias("child"))
+    leaves = [
+        table(name).join(nation, F.col(f"{key}_nationkey") == F.col("n_nationkey")).select(
+            F.col("r_name").alias("incident"), F.col("n_name").alias("parent"), F.col(f"{key}_name").alias("child"))
+        for name, key in (("customer", "c"), ("supplier", "s"))]
+    return plain(correlation.component_paths(tops.unionByName(leaves[0]).unionByName(leaves[1])))
+
+
 def incident_reports(spark, sf_dir):
     reports = incident.incident_reports(_tables(spark, sf_dir), INCIDENT_CALIBRATION)
     return plain(reports.select(
@@ -275,15 +305,24 @@ def incident_reports(spark, sf_dir):
 
 # --- answers ----------------------------------------------------------------
 
+def _questions(payments):
+    return payments.select(
+        F.concat(F.lit("Q-"), "payment_id").alias("question_id"), "payment_id",
+        w.choose(F.col("currency"), QUESTION_OF_CURRENCY).alias("question"))
+
+
+def case_sections(spark, sf_dir):
+    payments = cut_lineage(w.payments(spark, sf_dir))
+    return plain(investigation.case_sections(
+        _questions(payments), payments, w.clients(spark, sf_dir), rules.standard_rules(spark)))
+
+
 def payment_answers(spark, sf_dir):
     """One question on every payment, answered in one plan. The payment view is
     read by six steps of it, so its joins run once and the result is stored."""
     payments = cut_lineage(w.payments(spark, sf_dir))
-    questions = payments.select(
-        F.concat(F.lit("Q-"), "payment_id").alias("question_id"), "payment_id",
-        w.choose(F.col("currency"), QUESTION_OF_CURRENCY).alias("question"))
     answers = investigation.answer_questions(
-        questions, payments, w.clients(spark, sf_dir), rules.standard_rules(spark))
+        _questions(payments), payments, w.clients(spark, sf_dir), rules.standard_rules(spark))
     read = once(answers, "fact", F.from_json("facts", FACTS_READ_BACK))
     return plain(read.select(
         "question_id", "payment_id", "citations", "tools_used", "fact.amount",
@@ -319,6 +358,7 @@ QUERIES: dict[str, Query] = {
     "tfidf_topk": _search(retrieval.tfidf_cosine),
     "bm25_topk": _search(retrieval.bm25),
     "keyword_overlap_topk": _search(retrieval.keyword_overlap),
+    "policy_document": policy_document,
     "rank_documents": rank_documents,
     "policy_evidence": policy_evidence,
     "vector_topk": vector_search,
@@ -329,6 +369,10 @@ QUERIES: dict[str, Query] = {
     "previous_incidents": previous_incidents,
     "hypotheses": hypotheses,
     "corroboration": corroboration,
+    "evidence_rows": evidence_rows,
+    "before_and_after": before_and_after,
+    "component_paths": component_paths,
     "incident_reports": incident_reports,
+    "case_sections": case_sections,
     "payment_answers": payment_answers,
 }

@@ -100,7 +100,11 @@ def rank_corpus(queries: DataFrame, corpus: DataFrame) -> DataFrame:
 
 def investigate(spark: SparkSession, data_dir: str, calibration: c.Calibration = c.Calibration()) -> DataFrame:
     """Reports for every incident folder below ``data_dir``."""
-    queries, corpus = corpora.load_incidents(spark, data_dir)
+    return reports_of(*corpora.load_incidents(spark, data_dir), calibration)
+
+
+def reports_of(queries: DataFrame, corpus: DataFrame, calibration: c.Calibration = c.Calibration()) -> DataFrame:
+    """Reports from (incident, query) and (incident, source, text)."""
     by_file = (
         rank_corpus(queries, corpus)
         .groupBy("incident", F.substring_index("source", "#", 1).alias("source")).agg(F.max("score").alias("score"))

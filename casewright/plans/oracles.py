@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from casewright.operators.rules import STANDARD_RULES
 from casewright.plans.catalog import QUESTION, QUESTION_OF_CURRENCY, SINGLE_CLIENT
+from casewright.plans.investigation import ASSUMED_DAY, ASSUMED_RATE, REQUESTED
 from casewright.sources import warehouse as w
 
 
@@ -235,6 +236,7 @@ ORACLES: dict[str, str] = {
     "tfidf_topk": f"{TFIDF} {TOP_TEN}",
     "bm25_topk": f"{BM25} {TOP_TEN}",
     "keyword_overlap_topk": f"{OVERLAP} {TOP_TEN}",
+    "policy_document": "SELECT doc_id, source, md5(text) AS text_md5 FROM documents WHERE source = 'src7'",
     "rank_documents": f"{BM25} SELECT source, max(score) AS score FROM scores WHERE score > 0 GROUP BY 1",
     "policy_evidence": f"""WITH {_chunks('benchmark', 'item_id')},
         words AS (SELECT chunk_id, {_tokens('text')} AS tokens FROM chunks),
@@ -270,6 +272,24 @@ ORACLES: dict[str, str] = {
     "corroboration": f"""{INCIDENT} SELECT incident, component, signature, line_count, CAST(source_count AS BIGINT) AS source_count,
         confidence_score, confidence_score < 50 AS needs_human_review, coalesce(dp_id, '') AS deployment, coalesce(ki_id, '') AS known_issue,
         coalesce(rb_id, '') AS runbook, coalesce(pi_id, '') AS previous_incident FROM scored""",
+    "evidence_rows": f"""{INCIDENT}, items AS (
+          SELECT incident, component, signature, 'logs' AS source_type, component AS record_id,
+                 CASE WHEN error_count > 0 OR line_count >= 2 THEN 1.0 ELSE 0.5 END AS weight FROM scored
+          UNION ALL SELECT incident, component, signature, 'deployment', dp_id, 1.0 FROM scored WHERE dp_id IS NOT NULL
+          UNION ALL SELECT s.incident, component, signature, 'known_issue', ki.id, ki.weight FROM scored s JOIN ki USING (component, signature)
+          UNION ALL SELECT s.incident, component, signature, 'runbook', rb.id, rb.weight FROM scored s JOIN rb USING (component, signature)
+          UNION ALL SELECT s.incident, component, signature, 'previous_incident', pi.id, pi.weight FROM scored s JOIN pi USING (component, signature))
+        SELECT incident, component, signature, source_type, record_id, CAST(weight AS DOUBLE) AS weight FROM items""",
+    "before_and_after": f"""WITH {OPS}, marks AS (SELECT incident, component, max(ts) AS mark_ts FROM deploys GROUP BY ALL)
+        SELECT incident, component, {_time('mark_ts')} AS mark_ts,
+        count(*) FILTER (level <> 'ERROR' AND ts < mark_ts) AS clean_before, count(*) FILTER (level = 'ERROR' AND ts < mark_ts) AS failed_before,
+        count(*) FILTER (level <> 'ERROR' AND ts >= mark_ts) AS clean_after, count(*) FILTER (level = 'ERROR' AND ts >= mark_ts) AS failed_after
+        FROM logs JOIN marks USING (incident, component) GROUP BY incident, component, marks.mark_ts""",
+    "component_paths": """WITH n AS (SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+        leaves AS (SELECT r_name, n_name, c_name AS name FROM customer JOIN n ON c_nationkey = n_nationkey
+          UNION ALL SELECT r_name, n_name, s_name FROM supplier JOIN n ON s_nationkey = n_nationkey)
+        SELECT r_name AS incident, r_name AS ancestor, n_name AS component, CAST(1 AS BIGINT) AS hops FROM n
+        UNION ALL SELECT r_name, n_name, name, 1 FROM leaves UNION ALL SELECT r_name, r_name, name, 2 FROM leaves""",
     "incident_reports": f"""{INCIDENT},
         leads AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY incident
           ORDER BY confidence_score DESC, line_count DESC, first_ts, component, signature) = 1),
@@ -288,6 +308,21 @@ ORACLES: dict[str, str] = {
           ELSE coalesce(remediation, 'no matching runbook; escalate to the component owner') END AS remediation,
         confidence_score, confidence_score < 50 AS needs_human_review
         FROM leads JOIN impacted USING (incident)""",
+    "case_sections": f"""{PAY_CLIENT}, {DECISIONS}, {WINDOWS}, {_asks},
+        per AS (SELECT payment_id, string_agg(review_action || ' by ' || source, '; ' ORDER BY source, review_action) AS stated,
+                       list(DISTINCT review_action) AS actions, bool_or(comparison_basis = 'one_to_one_assumed') AS assumed FROM decisions GROUP BY 1),
+        facts AS (SELECT q.question_id, q.payment_id, p.*, c.country, c.risk_rating, per.stated, per.actions, coalesce(per.assumed, false) AS assumed,
+            q.currency = 'CHF' AS asks, q.currency = 'CHF' AND v.payment_count >= 2 AND v.total_amount > 100000 AS splits, v.currency AS window_currency
+          FROM questions q JOIN payments p USING (payment_id) JOIN clients c USING (client_id)
+          JOIN windows v USING (client_id, beneficiary_name, payment_date) LEFT JOIN per USING (payment_id)),
+        listed AS (SELECT *, list_sort(list_distinct(list_concat(coalesce(actions, []), CASE WHEN splits THEN ['structuring review'] ELSE [] END))) AS todo FROM facts)
+        SELECT question_id, payment_id, currency || ' ' || CAST(amount AS VARCHAR) || ' to ' || beneficiary_name || '; destination code '
+            || beneficiary_country_code || '; client in ' || country || ' rated ' || risk_rating AS observed_facts,
+        concat_ws('; ', stated, CASE WHEN splits THEN 'structuring review by combined value' END) AS policy_triggers,
+        concat_ws('; ', CASE WHEN assumed OR (splits AND window_currency <> 'USD') THEN '{_quoted(ASSUMED_RATE)}' END,
+                        CASE WHEN asks THEN '{ASSUMED_DAY}' END) AS assumptions,
+        CASE WHEN len(todo) > 0 THEN '{_quoted(REQUESTED)}' ELSE '' END AS missing_evidence,
+        CASE WHEN len(todo) > 0 THEN array_to_string(todo, ' and ') ELSE 'standard monitoring' END AS next_action FROM listed""",
     "payment_answers": f"""{PAY_CLIENT}, {DECISIONS}, {WINDOWS}, {_asks},
         actions AS (SELECT payment_id, string_agg(review_action, ',' ORDER BY source, review_action) AS review_actions,
                            list(DISTINCT source) AS sources FROM decisions GROUP BY 1),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,15 +32,18 @@ def build_session(app_name: str = "casewright", master: str | None = None,
     return builder.getOrCreate()
 
 
+@cache
+def _temporary_folder(application_id: str) -> tempfile.TemporaryDirectory:
+    """Removed when the driver process ends."""
+    return tempfile.TemporaryDirectory(prefix=f"casewright-{application_id}-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share for intermediate tables: the one the cluster
     names in ``spark.checkpoint.dir``. Only where that is unset (tests, local
-    runs) a temporary one is chosen, once per session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="casewright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    runs) a temporary one is used."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    return configured or _temporary_folder(spark.sparkContext.applicationId).name
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casewright.operators import correlation
-from casewright.plans import cli, incident
+from casewright.plans import cli, facade, incident
 from casewright.sources import corpus as corpora, incident_parsers as parse
 
 LOGS = """# Application logs
@@ -230,6 +230,22 @@ def test_latency_pairs(spark):
     assert [(r.order_id, r.latency_seconds) for r in found] == [("a", 2795)]
 
 
+def test_one_incident_as_plain_texts(spark, data_dir):
+    query, texts = facade.load_incident(spark, data_dir, "loud")
+    assert query == "Why do pages fail?"
+    assert list(texts)[-1] == "known_issues.csv" and texts["logs.md"] == LOGS
+    report = facade.investigate(spark, query, texts)
+    assert list(report) == incident.REPORT_KEYS
+    assert report["mttr_minutes"] == 12 and report["needs_human_review"] is False
+
+
+def test_lines_around_the_deployment(corpus):
+    tables = incident.typed_tables(corpus.filter("incident = 'loud'"))
+    marks = tables["deployments"].filter("version = 'v2'").withColumnRenamed("ts", "mark_ts")
+    row = correlation.before_and_after(tables["logs"], marks).first()
+    assert (row.component, row.clean_before, row.failed_before, row.clean_after, row.failed_after) == ("cache-node", 0, 0, 0, 2)
+
+
 def test_report_file(spark, data_dir, tmp_path):
     target = tmp_path / "answers.json"
     cli.main(["incidents", "--data", data_dir, "--output", str(target)])

@@ -4,7 +4,7 @@ import pytest
 
 from casewright import schemas
 from casewright.operators import retrieval, rules
-from casewright.plans import cli, investigation, registry
+from casewright.plans import cli, facade, investigation, registry
 from casewright.sources import tabular
 
 from conftest import CLIENTS, PAYMENTS, POLICIES
@@ -100,25 +100,56 @@ def test_largest_window_record(payments):
     assert registry.largest_window(payments, "C2003", "Nobody")["count"] == 0
 
 
-def test_command_line_writes_one_array(spark, tmp_path):
+@pytest.fixture()
+def data_dir(tmp_path):
     data = tmp_path / "data"
     (data / "policies").mkdir(parents=True)
     for name, text in POLICIES.items():
         (data / "policies" / name).write_text(text)
-    head = ",".join(schemas.PAYMENTS.fieldNames())
-    (data / "payments.csv").write_text("\n".join([head, *[",".join(row) for row in PAYMENTS]]) + "\n")
-    head = ",".join(schemas.CLIENTS.fieldNames())
-    (data / "clients.csv").write_text("\n".join([head, *[",".join(row) for row in CLIENTS]]) + "\n")
+    for name, schema, rows in (("payments", schemas.PAYMENTS, PAYMENTS), ("clients", schemas.CLIENTS, CLIENTS)):
+        lines = [",".join(schema.fieldNames()), *[",".join(row) for row in rows]]
+        (data / f"{name}.csv").write_text("\n".join(lines) + "\n")
+    return data
+
+
+def test_command_line_writes_one_array(spark, data_dir):
     reversed_questions = [dict(zip(schemas.QUESTIONS.fieldNames(), q)) for q in QUESTIONS[::-1]]
-    (data / "questions.json").write_text(json.dumps(reversed_questions))
-    target = tmp_path / "submission.json"
-    cli.main(["questions", "--data", str(data), "--questions", str(data / "questions.json"), "--output", str(target)])
+    (data_dir / "questions.json").write_text(json.dumps(reversed_questions))
+    target = data_dir / "submission.json"
+    cli.main(["questions", "--data", str(data_dir), "--questions", str(data_dir / "questions.json"), "--output", str(target)])
     written = json.loads(target.read_text())
     assert [w["question_id"] for w in written] == [q["question_id"] for q in reversed_questions]
     assert set(written[0]) == set(investigation.ANSWER_FIELDS)
     assert written[-1]["facts"]["client_country"] == "UAE"
 
 
+def test_tools_as_plain_functions(spark, data_dir):
+    desk = facade.PaymentDesk(spark, str(data_dir))
+    assert desk.get_client_profile("C2003")["country"] == "Switzerland"
+    assert desk.get_client_profile("none") == {} == desk.get_payment("none")
+    assert {c["client_id"] for c in desk.get_clients_by_country("Singapore")} == {"C2001", "C2002"}
+    assert len(list(desk.get_client_payments("C2003"))) == 6
+    assert desk.aggregate_beneficiary_24h("C2003", "Northstar Trading")["count"] == 3
+    assert [r["beneficiary_name"] for r in desk.find_repeated_beneficiaries("C2003")] == ["Northstar Trading"]
+    hits = desk.search_policy("high value payment enhanced review threshold", top_k=2)
+    assert len(hits) == 2 and set(hits[0]) == {"source", "text", "score"}
+    assert desk.index is desk.index
+    assert desk.get_policy_document("high_risk_jurisdictions.md")["text"].startswith("# High-Risk")
+    answer = desk.run_agent("What review requirement applies to P50001 and why?", "P50001")
+    assert set(answer) == {"answer", "citations", "facts", "tools_used"}
+    assert answer["facts"]["client_country"] == "Singapore"
+
+
+def test_sections_are_kept_apart(spark, payments, clients):
+    questions = spark.createDataFrame(QUESTIONS[:4], schemas.QUESTIONS)
+    rows = {r.question_id: r for r in investigation.case_sections(
+        questions, payments, clients, rules.standard_rules(spark)).collect()}
+    assert rows["Q01"].next_action == "standard monitoring" and rows["Q01"].policy_triggers == ""
+    assert rows["Q02"].next_action == "RM review and additional review and enhanced review"
+    assert rows["Q04"].policy_triggers == "structuring review by combined value"
+    assert "one 24-hour window" in rows["Q04"].assumptions and rows["Q04"].missing_evidence
+
+
 def test_csv_scan_declares_types_and_rejects_bad_rows(spark, tmp_path):
     good = tmp_path / "p.csv"
     good.write_text(",".join(schemas.PAYMENTS.fieldNames()) + "\n" + ",".join(PAYMENTS[0]) + "\n")
