@@ -33,8 +33,7 @@ class PaymentDesk:
     @property
     def index(self):
         if self._index is None:
-            self._index = retrieval.build_index(
-                retrieval.chunk_documents(retrieval.clean_documents(self.policies)))
+            self._index = investigation.policy_index(self.policies)
         return self._index
 
     def get_client_profile(self, client_id: str) -> dict:
@@ -65,7 +64,7 @@ class PaymentDesk:
     def run_agent(self, question: str, payment_id: str) -> dict:
         asked = self.spark.createDataFrame([("question", payment_id, question)], schemas.QUESTIONS)
         answer = record(investigation.answer_questions(
-            asked, self.payments, self.clients, rules.parse_rules(self.policies), self.policies))
+            asked, self.payments, self.clients, rules.parse_rules(self.policies), self.policies, self.index))
         return {"answer": answer["answer"], "citations": answer["citations"],
                 "facts": json.loads(answer["facts"]), "tools_used": answer["tools_used"]}
 

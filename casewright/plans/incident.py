@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casewright.operators import correlation as c, retrieval
@@ -22,14 +24,19 @@ REPORT_KEYS = [
 ]
 
 
-def typed_tables(corpus: DataFrame) -> dict[str, DataFrame]:
-    """The five evidence relations of a corpus of (incident, source, text)."""
-    lines = lambda source: corpora.corpus_lines(corpus, FILE_OF_SOURCE[source])
-    docs = lambda source: corpus.filter(F.col("source") == FILE_OF_SOURCE[source])
+def typed_tables(corpus: DataFrame, lines: Callable[[str], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The five evidence relations of a corpus of (incident, source, text).
+
+    ``lines`` gives the (incident, line) rows of a line-oriented file; by default
+    they are split out of the corpus texts.
+    """
+    lines = lines or (lambda source: corpora.corpus_lines(corpus, source))
+    of = lambda kind: lines(FILE_OF_SOURCE[kind])
+    docs = lambda kind: corpus.filter(F.col("source") == FILE_OF_SOURCE[kind])
     return {
-        "logs": parse.log_events(lines("logs")),
-        "deployments": parse.deployments(lines("deployment")),
-        "known_issues": parse.known_issues(lines("known_issue")),
+        "logs": parse.log_events(of("logs")),
+        "deployments": parse.deployments(of("deployment")),
+        "known_issues": parse.known_issues(of("known_issue")),
         "runbooks": parse.runbooks(docs("runbook")),
         "previous_incidents": parse.previous_incidents(docs("previous_incident")),
     }
@@ -81,32 +88,34 @@ def incident_reports(tables: dict[str, DataFrame], calibration: c.Calibration =
 
 
 def rank_corpus(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(incident, source, score): documents of each incident against its query,
-    known issues as one candidate per row (``known_issues.csv#KI-101``)."""
-    issues = corpus.filter(F.col("source").endswith(".csv"))
+    """(incident, source, score): each document of an incident by its best passage
+    for the incident's query, known issues as one candidate per row
+    (``known_issues.csv#KI-101``)."""
+    is_table = F.col("source").endswith(".csv")
     issue_rows = (
-        issues.select("incident", "source", F.explode(F.split("text", r"\r?\n")).alias("text"))
+        corpus.filter(is_table).select("incident", "source", F.explode(F.split("text", r"\r?\n")).alias("text"))
         .filter(~F.col("text").startswith("issue_id,") & (F.trim("text") != ""))
         .withColumn("source", F.concat_ws("#", "source", F.substring_index("text", ",", 1)))
     )
-    documents = corpus.filter(~F.col("source").endswith(".csv")).select("incident", "source", "text")
-    units = documents.unionByName(issue_rows)
-    chunks = units.withColumnRenamed("source", "chunk_id")
-    hits = retrieval.score_all(
-        retrieval.index_rows(chunks), queries.select("incident", F.col("incident").alias("question_id"), F.col("query").alias("question")),
-        within=["incident"])
-    return hits.select("incident", F.col("chunk_id").alias("source"), "score")
+    units = corpus.filter(~is_table).select("incident", "source", "text").unionByName(issue_rows)
+    chunks = retrieval.chunk_documents(units)
+    asked = queries.select("incident", F.col("incident").alias("question_id"), F.col("query").alias("question"))
+    hits = retrieval.score_all(retrieval.index_rows(chunks), asked, within=["incident"])
+    source = F.regexp_replace("chunk_id", r"#\d+#\d+$", "")
+    return hits.groupBy("incident", source.alias("source")).agg(F.max("score").alias("score"))
 
 
 def investigate(spark: SparkSession, data_dir: str, calibration: c.Calibration = c.Calibration()) -> DataFrame:
     """Reports for every incident folder below ``data_dir``."""
-    return reports_of(*corpora.load_incidents(spark, data_dir), calibration)
+    queries, corpus = corpora.load_incidents(spark, data_dir)
+    return reports_of(queries, corpus, calibration, lambda source: corpora.scan_lines(spark, data_dir, source))
 
 
-def reports_of(queries: DataFrame, corpus: DataFrame, calibration: c.Calibration = c.Calibration()) -> DataFrame:
+def reports_of(queries: DataFrame, corpus: DataFrame, calibration: c.Calibration = c.Calibration(),
+               lines: Callable[[str], DataFrame] | None = None) -> DataFrame:
     """Reports from (incident, query) and (incident, source, text)."""
     by_file = (
         rank_corpus(queries, corpus)
         .groupBy("incident", F.substring_index("source", "#", 1).alias("source")).agg(F.max("score").alias("score"))
     )
-    return incident_reports(typed_tables(corpus), calibration, relevance=by_file)
+    return incident_reports(typed_tables(corpus, lines), calibration, relevance=by_file)

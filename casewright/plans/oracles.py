@@ -253,7 +253,7 @@ ORACLES: dict[str, str] = {
           QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) <= 10),
         covered AS (SELECT question_id, chunk_id, count(*) AS hits FROM asked JOIN postings USING (term) GROUP BY ALL),
         sizes AS (SELECT question_id, count(*) AS terms FROM asked GROUP BY 1),
-        rescored AS (SELECT question_id, chunk_id, round(score * hits / terms, 6) AS score
+        rescored AS (SELECT question_id, chunk_id, score * hits / terms AS score
           FROM fetched JOIN covered USING (question_id, chunk_id) JOIN sizes USING (question_id))
         SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score
         FROM rescored QUALIFY rank <= 3""",

@@ -52,12 +52,17 @@ def load_incidents(spark: SparkSession, data_dir: str) -> tuple[DataFrame, DataF
     return queries, corpus
 
 
-def corpus_lines(corpus: DataFrame, source: str) -> DataFrame:
-    """(incident, line) of one document type; line-oriented parsers read this.
+def scan_lines(spark: SparkSession, data_dir: str, source: str) -> DataFrame:
+    """(incident, line) of one document type of every incident folder. Files are
+    read in splits, so a log of any size is parsed in parallel."""
+    return (
+        spark.read.text(f"{data_dir.rstrip('/')}/*/", pathGlobFilter=source)
+        .select(_incident_name().alias("incident"), F.col("value").alias("line"))
+    )
 
-    Large logs are better scanned by line from the start (``spark.read.text``
-    without ``wholetext``), which yields the same relation in splittable form.
-    """
+
+def corpus_lines(corpus: DataFrame, source: str) -> DataFrame:
+    """The same relation from documents that are already in memory as texts."""
     return (
         corpus.filter(F.col("source") == source)
         .select("incident", F.explode(F.split("text", r"\r?\n")).alias("line"))
