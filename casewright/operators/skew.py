@@ -16,29 +16,33 @@ def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
 
 
 def salted_join(rows: DataFrame, per_key: DataFrame, keys: list[str], weight: str,
-                share: int = HEAVY_SHARE, small_rows: int = SMALL_ROWS) -> DataFrame:
+                share: int = HEAVY_SHARE, small_rows: int = SMALL_ROWS,
+                weights: DataFrame | None = None) -> DataFrame:
     """Inner join of ``rows`` with ``per_key``, whose ``weight`` counts the rows
     of each (unique) key.
 
     A small ``per_key`` is broadcast: no row moves, so no key can be hot. Beyond
-    that size, a key that carries more than ``1/share`` of the total weight is spread over
-    several salts. Fewer than ``share`` keys can be that heavy, so the salt table
-    is small by construction and safe to broadcast. The salt is a hash of the
-    row, so a recomputed task places its rows exactly as before.
+    that size, a key that carries more than ``1/share`` of the total weight is
+    spread over several salts. Fewer than ``share`` keys can be that heavy, so the
+    salt table is small by construction and safe to broadcast. The salt is a hash
+    of the row, so a recomputed task places its rows exactly as before.
+
+    The weights are read several times: give a stored ``per_key``, or its keys and
+    weights alone as a stored ``weights``.
     """
-    if per_key.limit(small_rows + 1).count() <= small_rows:
+    weights = per_key if weights is None else weights
+    if weights.limit(small_rows + 1).count() <= small_rows:
         return rows.join(F.broadcast(per_key), keys)
-    total = per_key.agg(F.sum(weight)).scalar()
-    fanned = per_key.withColumn(
-        "_salts",
+    total = weights.agg(F.sum(weight)).scalar()
+    salts = (
         F.when(F.col(weight) * share > total, F.ceil(F.col(weight) * share / total))
-        .otherwise(1).cast("int"),
+        .otherwise(1).cast("int")
     )
-    heavy = fanned.filter("_salts > 1").select(*keys, "_salts")
+    heavy = weights.select(*keys, salts.alias("_salts")).filter("_salts > 1")
     placed = (
         rows.join(F.broadcast(heavy), keys, "left")
         .withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.coalesce("_salts", F.lit(1))).cast("int"))
         .drop("_salts")
     )
-    copies = fanned.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return placed.join(copies, [*keys, "_salt"]).drop("_salt")

@@ -74,11 +74,11 @@ def test_no_decoy_is_ever_cited(answers):
     assert not any("decoy" in row.answer for row in answers.values())
 
 
-def test_large_windows_come_as_rows(spark, payments, clients):
+def test_large_windows_come_as_rows(spark, payments):
     windows = investigation.asked_windows(payments.filter("payment_id = 'P50003'"), payments, rules.standard_rules(spark))
     assert investigation.window_lists(windows, payments, listed=2).count() == 0
     questions = spark.createDataFrame(QUESTIONS, schemas.QUESTIONS)
-    members = investigation.answer_members(questions, payments, clients, rules.standard_rules(spark))
+    members = investigation.answer_members(questions, payments, rules.standard_rules(spark))
     assert {r.payment_id for r in members.collect()} == {"P50003", "P50180", "P50181"}
 
 
