@@ -14,33 +14,39 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ROLLING_WINDOW = "24 hours"
 BUCKET = "1 minute"
+TICK = "1 microsecond"
 
 
 def running(rows: DataFrame, keys: list[str], at: str, values: dict[str, Callable[[Column], Column]],
-            combine: Callable[[str, Column, Column], Column], tie: str | None = None,
-            backwards: bool = False) -> DataFrame:
+            combine: Callable[[str, Column, Column], Column], wanted: Column, backwards: bool = False) -> DataFrame:
     """Replace each column of ``values`` by its aggregate over all rows of the key
-    up to and including the row's own time (from it onwards if ``backwards``).
+    up to and including the row's own time (from it onwards if ``backwards``), and
+    keep the ``wanted`` rows (a condition on the other columns).
 
     ``values`` maps a column to an aggregate that can be taken in parts, and
     ``combine`` joins the part of earlier buckets with the part inside the bucket.
+    Both parts read the same columns of one shuffle, so Spark runs it once.
     """
     way = F.desc if backwards else F.asc
-    order = [way(at)] + ([way(tie)] if tie else [])
     bucketed = rows.withColumn("_bucket", F.window(at, BUCKET).getField("start"))
-    so_far = Window.partitionBy(*keys, "_bucket").orderBy(*order).rangeBetween(
+    for name in (*keys, "_bucket"):  # stated here, or each part infers its own half
+        bucketed = bucketed.filter(F.col(name).isNotNull())
+    bucketed = bucketed.repartition(*keys, "_bucket")
+    so_far = Window.partitionBy(*keys, "_bucket").orderBy(way(at)).rangeBetween(
         Window.unboundedPreceding, Window.currentRow)
-    earlier = Window.partitionBy(*keys).orderBy(way("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy(way("_from")).rowsBetween(Window.unboundedPreceding, -1)
 
-    per_bucket = bucketed.groupBy(*keys, "_bucket").agg(
-        *[aggregate(F.col(name)).alias(name) for name, aggregate in values.items()])
-    carried = per_bucket.select(
-        *keys, "_bucket",
-        *[aggregate(F.col(name)).over(earlier).alias(f"_before_{name}") for name, aggregate in values.items()])
     inside = bucketed.select(
         *[c for c in bucketed.columns if c not in values],
         *[aggregate(F.col(name)).over(so_far).alias(name) for name, aggregate in values.items()])
-    joined = inside.join(carried, [*keys, "_bucket"])
+    per_bucket = bucketed.groupBy(*keys, "_bucket").agg(
+        F.min(at).alias("_from"), F.bool_or(wanted).alias("_any_wanted"),
+        *[aggregate(F.col(name)).alias(name) for name, aggregate in values.items()])
+    carried = per_bucket.select(
+        *keys, "_bucket", "_any_wanted",
+        *[aggregate(F.col(name)).over(earlier).alias(f"_before_{name}") for name, aggregate in values.items()],
+    ).filter("_any_wanted")
+    joined = inside.filter(wanted).join(carried, [*keys, "_bucket"])
     return joined.select(
         *[c for c in rows.columns if c not in values],
         *[combine(name, F.col(f"_before_{name}"), F.col(name)).alias(name) for name in values])
@@ -53,17 +59,17 @@ def _add(_: str, before: Column, inside: Column) -> Column:
 def rolling_activity(rows: DataFrame, keys: list[str], at: str, amount: str) -> DataFrame:
     """Count and total over the 24 hours that end at each distinct time of a key.
 
-    A row enters at its time and leaves just after the window's length, so the
-    rolling figures are running sums of entries and exits.
+    A row enters at its time and leaves one clock tick after the window's length,
+    so the rolling figures are running sums of entries and exits.
     """
     points = rows.groupBy(*keys, at).agg(F.count("*").alias("count_24h"), F.sum(amount).alias("total_24h"))
-    entry = F.struct(F.col(at), F.lit(False).alias("_leaving"), "count_24h", "total_24h")
+    entry = F.struct(F.col(at), F.lit(True).alias("_entry"), "count_24h", "total_24h")
     leave = F.struct(
-        (F.col(at) + F.expr(f"INTERVAL {ROLLING_WINDOW}")).alias(at), F.lit(True).alias("_leaving"),
+        (F.col(at) + F.expr(f"INTERVAL {ROLLING_WINDOW}") + F.expr(f"INTERVAL {TICK}")).alias(at), F.lit(False).alias("_entry"),
         (-F.col("count_24h")).alias("count_24h"), (-F.col("total_24h")).alias("total_24h"))
     moves = points.select(*keys, F.inline(F.array(entry, leave)))
-    sums = running(moves, keys, at, {"count_24h": F.sum, "total_24h": F.sum}, _add, tie="_leaving")
-    return sums.filter(~F.col("_leaving")).drop("_leaving")
+    sums = running(moves, keys, at, {"count_24h": F.sum, "total_24h": F.sum}, _add, F.col("_entry"))
+    return sums.drop("_entry")
 
 
 def as_of(probes: DataFrame, marks: DataFrame, keys: list[str], at: str, mark_at: str,
@@ -83,9 +89,9 @@ def as_of(probes: DataFrame, marks: DataFrame, keys: list[str], at: str, mark_at
     )
     both = mark_times.unionByName(probe_times, allowMissingColumns=True)
     limit = F.expr(f"INTERVAL {lookback}")
-    nearest = F.greatest if not forward else F.least
+    nearest = F.least if forward else F.greatest
     found = running(both, keys, "_at", {"mark": pick}, lambda _, before, inside: nearest(before, inside),
-                    backwards=forward).filter("probe_count IS NOT NULL")
+                    F.col("probe_count").isNotNull(), backwards=forward)
     distance_ok = (
         F.col(f"mark.{mark_at}") <= F.col("_at") + limit if forward
         else F.col(f"mark.{mark_at}") >= F.col("_at") - limit)

@@ -76,3 +76,11 @@ def test_pairs_of_a_batch_are_not_shuffled(spark, monkeypatch):
     questions = spark.createDataFrame([("q", "a 7 9")], "question_id string, question string")
     plan = physical(retrieval.score_all(retrieval.index_rows(more), questions))
     assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(chunk_id" in plan
+
+
+@pytest.mark.parametrize("name, scans", [("rolling_24h_activity", 1), ("asof_prior_event", 2), ("event_pair_latency", 2)])
+def test_both_parts_of_a_running_aggregate_share_one_shuffle(no_broadcast, name, scans):
+    df = registered.queries()[name](no_broadcast, registered.SMOKE_DIR)
+    df.collect()
+    final = physical(df).split("Initial Plan")[0]
+    assert "ReusedExchange" in final and final.count("FileScan") == scans
