@@ -165,3 +165,13 @@ def test_column_descriptions(spark, tmp_path, payments):
     path.write_text('file,field,description\npayments.csv,channel,"Branch, Online or RM-assisted"\n')
     described = tabular.describe_columns(payments, tabular.read_data_dictionary(spark, str(path)), "payments.csv")
     assert described.schema["channel"].metadata == {"comment": "Branch, Online or RM-assisted"}
+
+
+def test_a_payment_asked_about_very_often(spark, payments, clients, monkeypatch):
+    rows = [(f"H{i}", "P50003", QUESTIONS[2][2]) for i in range(60)] + [(q, p, t) for q, p, t in QUESTIONS]
+    questions = spark.createDataFrame(rows, schemas.QUESTIONS)
+    answer = lambda: sorted(investigation.answer_questions(
+        questions, payments, clients, rules.standard_rules(spark)).collect())
+    usual = answer()
+    monkeypatch.setattr(investigation, "WIDE_ROWS", 0)
+    assert answer() == usual and len(usual) == len(rows)

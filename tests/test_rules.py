@@ -70,3 +70,8 @@ def test_lookups(payments, clients):
 def test_mismatched_country_and_code(payments):
     ids = {r.payment_id for r in lookups.country_code_mismatches(payments).collect()}
     assert ids == {"P50000", "P50002", "P50003", "P50004", "P50180", "P50181", "P50182"}
+
+
+def test_unknown_clients_still_meet_the_global_rules(spark, make_payments, clients):
+    orphan = make_payments([("A", "C9999", "X", "AE", "130000.00", "CHF", "2026-01-01")])
+    assert triggered(orphan, clients, spark) == {"A": {"global-enhanced", "high-risk-AE"}}
