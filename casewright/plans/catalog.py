@@ -260,6 +260,20 @@ def previous_incidents(spark, sf_dir):
         F.coalesce("caveat", F.lit("")).alias("caveat")))
 
 
+def call_tree(spark, sf_dir):
+    return plain(parse.call_tree(w.architecture_documents(spark, sf_dir)))
+
+
+def components(spark, sf_dir):
+    return plain(parse.components(w.architecture_documents(spark, sf_dir)))
+
+
+def api_endpoints(spark, sf_dir):
+    endpoints = parse.api_endpoints(w.api_documents(spark, sf_dir))
+    named = F.transform("fields", lambda f: F.concat_ws(":", f["field"], f["type"], f["notes"]))
+    return plain(endpoints.withColumn("fields", named))
+
+
 def hypotheses(spark, sf_dir):
     return plain(correlation.candidates(_tables(spark, sf_dir)["logs"]))
 
@@ -367,6 +381,9 @@ QUERIES: dict[str, Query] = {
     "known_issues": known_issues,
     "runbooks": runbooks,
     "previous_incidents": previous_incidents,
+    "call_tree": call_tree,
+    "components": components,
+    "api_endpoints": api_endpoints,
     "hypotheses": hypotheses,
     "corroboration": corroboration,
     "evidence_rows": evidence_rows,

@@ -267,6 +267,16 @@ ORACLES: dict[str, str] = {
     "runbooks": f"WITH {CATALOGUES} SELECT runbook_id, title, symptoms, remediation, mttr_minutes, caveat FROM runbooks",
     "previous_incidents": f"""WITH {CATALOGUES} SELECT incident_id, date, summary, root_cause, resolution, mttr_minutes, caveat
         FROM previous_incidents""",
+    "call_tree": """SELECT CAST(o_orderkey AS VARCHAR) AS incident, e.parent, e.child FROM (SELECT *, unnest([
+          {'parent': 'client-' || o_custkey, 'child': 'order-' || o_orderkey},
+          {'parent': 'order-' || o_orderkey, 'child': 'status-' || o_orderstatus},
+          {'parent': 'client-' || o_custkey, 'child': 'billing'}]) AS e FROM orders)""",
+    "components": """SELECT CAST(o_orderkey AS VARCHAR) AS incident, 'order-' || o_orderkey AS component,
+        'has priority ' || o_orderpriority || '.' AS description FROM orders
+        UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'billing', 'shared.' FROM orders""",
+    "api_endpoints": """SELECT CAST(p_partkey AS VARCHAR) AS incident, 'GET' AS method, '/parts/' || p_partkey AS path, p_brand AS owner,
+        'size:integer:up to ' || p_size || ',type:string:' || p_type AS fields, p_partkey AS timeout_ms,
+        '200 OK,404 NO_' || p_type AS response_codes FROM part""",
     "hypotheses": f"""WITH {OPS}, {HYPOTHESES} SELECT incident, component, signature, line_count, error_count,
         {_time('first_ts')} AS first_ts, {_time('last_ts')} AS last_ts FROM hypotheses""",
     "corroboration": f"""{INCIDENT} SELECT incident, component, signature, line_count, CAST(source_count AS BIGINT) AS source_count,

@@ -193,3 +193,25 @@ def previous_incident_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
         "**Resolution**: restarted.\n\n**MTTR**: %d minutes.",
         *map(F.col, ("p_partkey", "component", "p_name", "standing", "p_size")))
     return once(_catalogue(spark, sf_dir, "previous_incident"), "text", text).select("text")
+
+
+def architecture_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One architecture overview per order."""
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+    text = F.format_string(
+        "# Overview\n\n```\nClient\n  -> client-%d\n       -> order-%d      (priority %s,\n"
+        "                              checked)\n            -> status-%s\n       -> billing\n```\n\n"
+        "## Components\n\n- **order-%d**: has priority\n  %s.\n- **billing**: shared.\n\nNo others.\n",
+        *map(F.col, ("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus", "o_orderkey", "o_orderpriority")))
+    return once(orders, "text", text).select(F.col("o_orderkey").cast("string").alias("incident"), "text")
+
+
+def api_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One API section per part."""
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size"))
+    text = F.format_string(
+        "# API\n\n## `GET /parts/%d`\n\nOwned by: `%s`, nobody else.\n\n| Field | Type | Notes |\n|---|---|---|\n"
+        "| `size` | integer | up to %d |\n| `type` | string | %s |\n\n**Timeout**: waits %dms.\n\n"
+        "**Response codes**: `200 OK`, `404 NO_%s`.\n",
+        *map(F.col, ("p_partkey", "p_brand", "p_size", "p_type", "p_partkey", "p_type")))
+    return once(part, "text", text).select(F.col("p_partkey").cast("string").alias("incident"), "text")
