@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from casewright.llm import secret_ledger
+from casewright.llm import positional_index, secret_ledger
 
 QUERIES = {
+    "op6_positional_index": positional_index.op6_positional_index,
     "op8_secret_ledger": secret_ledger.op8_secret_ledger,
 }
 
 ORACLES = {
+    "op6_positional_index": positional_index.ORACLE_SQL,
     "op8_secret_ledger": secret_ledger.ORACLE_SQL,
 }
