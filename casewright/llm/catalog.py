@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from casewright.llm import positional_index, secret_ledger
+from casewright.llm import golay_dedup, positional_index, secret_ledger
 
 QUERIES = {
+    "op5_golay_dedup": golay_dedup.op5_golay_dedup,
     "op6_positional_index": positional_index.op6_positional_index,
     "op8_secret_ledger": secret_ledger.op8_secret_ledger,
 }
