@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from casewright.llm import golay_dedup, positional_index, secret_ledger
+from casewright.llm import budget_mix, golay_dedup, histogram_topk, positional_index, secret_ledger
 
 QUERIES = {
+    "op2_budget_mix": budget_mix.op2_budget_mix,
+    "op7_histogram_topk": histogram_topk.op7_histogram_topk,
     "op5_golay_dedup": golay_dedup.op5_golay_dedup,
     "op6_positional_index": positional_index.op6_positional_index,
     "op8_secret_ledger": secret_ledger.op8_secret_ledger,
 }
 
 ORACLES = {
+    "op7_histogram_topk": histogram_topk.ORACLE_SQL,
     "op6_positional_index": positional_index.ORACLE_SQL,
     "op8_secret_ledger": secret_ledger.ORACLE_SQL,
 }
