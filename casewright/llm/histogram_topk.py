@@ -9,6 +9,8 @@ the k least ids of each task. No task or query ever holds more than counts and k
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -158,7 +160,7 @@ def topk(vectors: DataFrame, k: int = K, step: int = QUERY_STEP, block: int = BL
     asked = all_rows.filter(F.col("vec_id") % step == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     found = []
     rows = asked.orderBy("vec_id").toLocalIterator()
-    while some := [row for row, _ in zip(rows, range(block))]:
+    while some := list(islice(rows, block)):
         ids = np.array([r.vec_id for r in some], np.int64)
         queries = [np.floor(np.array(r.v, float)) for r in some]
         kth = kth_scores(all_rows, ids, queries, k)
