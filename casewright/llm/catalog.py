@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from casewright.llm import budget_mix, golay_dedup, histogram_topk, positional_index, secret_ledger
+from casewright.llm import budget_mix, golay_dedup, histogram_topk, positional_index, repair_tokens, secret_ledger
 
 QUERIES = {
+    "op9_repair_tokens": repair_tokens.op9_repair_tokens,
     "op2_budget_mix": budget_mix.op2_budget_mix,
     "op7_histogram_topk": histogram_topk.op7_histogram_topk,
     "op5_golay_dedup": golay_dedup.op5_golay_dedup,
