@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from casewright.llm import budget_mix, golay_dedup, gru_language, histogram_topk, positional_index, repair_tokens, secret_ledger
+from casewright.llm import attention_lm, budget_mix, golay_dedup, gru_language, histogram_topk, positional_index, repair_tokens, secret_ledger
 
 QUERIES = {
+    "op4_attention_lm": attention_lm.op4_attention_lm,
     "op3_gru_language": gru_language.op3_gru_language,
     "op9_repair_tokens": repair_tokens.op9_repair_tokens,
     "op2_budget_mix": budget_mix.op2_budget_mix,
