@@ -37,16 +37,16 @@ def test_stages_equal_brute_force(spark, tmp_path):
     names = [name for name, _ in pipeline.STAGES]
 
     kept = {i: v for i, v in kept.items() if any(map(str.isalpha, v[0] or ""))}
-    assert Counter(r.doc_id for r in out[names[0]]) == Counter(kept)
+    assert Counter(r.doc_id for r in out[names[0]]) == Counter(list(kept))
     ids = sorted(kept)
     label = brute([simhash(kept[i][0]) for i in ids])
     kept = {i: kept[i] for k, i in enumerate(ids) if label[k] == k}
-    assert Counter(r.doc_id for r in out[names[1]]) == Counter(kept)
+    assert Counter(r.doc_id for r in out[names[1]]) == Counter(list(kept))
     ids = sorted(kept)
     bad = {ids[r[0]] for r in contaminated([kept[i][0] for i in ids], ITEMS) if r[-1]}
     assert {126, 127} <= bad
     kept = {i: v for i, v in kept.items() if i not in bad}
-    assert Counter(r.doc_id for r in out[names[2]]) == Counter(kept)
+    assert Counter(r.doc_id for r in out[names[2]]) == Counter(list(kept))
 
     mix, sizes, taken = out[names[3]], Counter(), Counter()
     for t, s in kept.values():
