@@ -278,8 +278,13 @@ def learnable() -> Column:
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that have no language (null texts, texts without a letter); all columns kept."""
+    """``docs`` without the rows that have no language (null texts, texts without a letter); all columns kept.
+
+    Where no row can be learned from, the same rows go: there is no model to ask, but no doubt either.
+    """
     model = trained(docs, learnable())
+    if model is None:
+        return docs.filter(F.rlike("text", F.lit(r"\p{L}")))
     rows = packed(docs, F.col("text"))
     return predict(rows, model, "row").filter(F.col("lang_pred") != UNKNOWN).select("row.*")
 
