@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from casewright.llm import attention_lm, budget_mix, golay_dedup, gru_language, histogram_topk, license_compression, positional_index, repair_tokens, secret_ledger
+from casewright.llm import attention_lm, budget_mix, feistel_pii, golay_dedup, gru_language, histogram_topk, license_compression, positional_index, repair_tokens, secret_ledger
 
 QUERIES = {
+    "op10_feistel_pii": feistel_pii.op10_feistel_pii,
     "op1_license_compression": license_compression.op1_license_compression,
     "op4_attention_lm": attention_lm.op4_attention_lm,
     "op3_gru_language": gru_language.op3_gru_language,
