@@ -217,26 +217,36 @@ def impacted_systems(leaders: DataFrame, logs: DataFrame) -> DataFrame:
     return together.groupBy("incident").agg(F.array_sort(F.collect_list("component")).alias("impacted_systems"))
 
 
-def component_paths(edges: DataFrame, depth: int = 3) -> DataFrame:
-    """(incident, ancestor, component, hops) up to ``depth`` edges apart."""
-    step = edges.select("incident", F.col("parent").alias("ancestor"), F.col("child").alias("component"))
-    paths, frontier = step.withColumn("hops", F.lit(1)), step
-    for hops in range(2, depth + 1):
+def component_paths(edges: DataFrame) -> DataFrame:
+    """(incident, ancestor, component, hops): every path along the edges, of any length.
+
+    One row per path. A path never comes back to a component it has passed, so a
+    cycle of calls ends. Each step is stored, so a deep tree is never recomputed.
+    """
+    step = edges.select("incident", F.col("parent").alias("component"), F.col("child").alias("next"))
+    frontier = edges.filter("parent <> child").select(
+        "incident", F.col("parent").alias("ancestor"), F.col("child").alias("component"), F.array("parent", "child").alias("route"))
+    paths = None
+    while True:
+        frontier = cut_lineage(frontier)
+        found = frontier.select("incident", "ancestor", "component", (F.size("route") - 1).alias("hops"))
+        paths = found if paths is None else paths.unionByName(found)
+        if frontier.isEmpty():
+            return paths
         frontier = (
-            frontier.join(edges.withColumnRenamed("parent", "component"), ["incident", "component"])
-            .select("incident", "ancestor", F.col("child").alias("component"))
+            frontier.join(step, ["incident", "component"]).filter(~F.array_contains("route", F.col("next")))
+            .select("incident", "ancestor", F.col("next").alias("component"), F.array_append("route", F.col("next")).alias("route"))
         )
-        paths = paths.unionByName(frontier.withColumn("hops", F.lit(hops)))
-    return paths
 
 
-def event_latency(events: DataFrame, start: str, end: str, key: list[str], lookahead: str) -> DataFrame:
-    """Seconds from each ``start`` event to the next ``end`` event of its key."""
+def event_latency(events: DataFrame, start: str, end: str, key: list[str], lookahead: str | None = None) -> DataFrame:
+    """Seconds from each ``start`` event to the next ``end`` event of its key, at most
+    ``lookahead`` later if that is given. ``start_count``: starts at this very time."""
     begun = events.filter(F.col("kind") == start)
     ended = events.filter(F.col("kind") == end).select(*key, "ts")
     return (
         timeline.as_of(begun, ended, key, "ts", "ts", lookahead, forward=True)
         .filter("mark IS NOT NULL")
-        .select(*key, F.col("ts").alias("started_at"), F.col("mark.ts").alias("ended_at"))
+        .select(*key, F.col("ts").alias("started_at"), F.col("mark.ts").alias("ended_at"), F.col("probe_count").alias("start_count"))
         .withColumn("latency_seconds", F.timestamp_diff("SECOND", "started_at", "ended_at"))
     )

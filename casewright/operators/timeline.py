@@ -73,9 +73,9 @@ def rolling_activity(rows: DataFrame, keys: list[str], at: str, amount: str) ->
 
 
 def as_of(probes: DataFrame, marks: DataFrame, keys: list[str], at: str, mark_at: str,
-          lookback: str, forward: bool = False) -> DataFrame:
+          lookback: str | None = None, forward: bool = False) -> DataFrame:
     """For each distinct (key, time) of ``probes``, the latest row of ``marks`` of
-    the same key at or before that time and at most ``lookback`` earlier.
+    the same key at or before that time, at most ``lookback`` earlier if that is given.
 
     With ``forward`` the earliest mark at or after the probe. ``probe_count``
     says how many probes share the time; ``mark`` is NULL where none qualifies.
@@ -88,13 +88,15 @@ def as_of(probes: DataFrame, marks: DataFrame, keys: list[str], at: str, mark_at
         .groupBy(*keys, F.col(mark_at).alias("_at")).agg(pick("mark").alias("mark"))
     )
     both = mark_times.unionByName(probe_times, allowMissingColumns=True)
-    limit = F.expr(f"INTERVAL {lookback}")
     nearest = F.least if forward else F.greatest
     found = running(both, keys, "_at", {"mark": pick}, lambda _, before, inside: nearest(before, inside),
                     F.col("probe_count").isNotNull(), backwards=forward)
-    distance_ok = (
-        F.col(f"mark.{mark_at}") <= F.col("_at") + limit if forward
-        else F.col(f"mark.{mark_at}") >= F.col("_at") - limit)
+    distance_ok = F.lit(True)
+    if lookback:
+        limit = F.expr(f"INTERVAL {lookback}")
+        distance_ok = (
+            F.col(f"mark.{mark_at}") <= F.col("_at") + limit if forward
+            else F.col(f"mark.{mark_at}") >= F.col("_at") - limit)
     return found.select(
         *keys, F.col("_at").alias(at), "probe_count",
         F.when(distance_ok, F.col("mark")).alias("mark"))

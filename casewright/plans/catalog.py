@@ -156,9 +156,9 @@ def asof_prior_event(spark, sf_dir):
 
 
 def event_pair_latency(spark, sf_dir):
-    """Seconds from each view to the user's next click within an hour."""
+    """Seconds from each view to the user's next click, however much later."""
     events = _events(spark, sf_dir).withColumnRenamed("event_type", "kind")
-    return plain(correlation.event_latency(events, "view", "click", ["user_id"], "1 hour"))
+    return plain(correlation.event_latency(events, "view", "click", ["user_id"]))
 
 
 def error_episodes(spark, sf_dir):
@@ -169,7 +169,7 @@ def error_episodes(spark, sf_dir):
 # --- retrieval --------------------------------------------------------------
 
 def _chunks(spark, sf_dir):
-    documents = w.spread(w.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    documents = w.table(spark, sf_dir, "documents").select("doc_id", "text")
     return retrieval.chunk_documents(documents, source="doc_id")
 
 
@@ -178,7 +178,7 @@ def _index(spark, sf_dir):
 
 
 def clean_documents(spark, sf_dir):
-    documents = w.spread(w.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    documents = w.table(spark, sf_dir, "documents").select("doc_id", "text")
     return plain(retrieval.clean_documents(documents).select("doc_id", F.md5("text").alias("text_md5")))
 
 
@@ -299,7 +299,7 @@ def before_and_after(spark, sf_dir):
 
 
 def component_paths(spark, sf_dir):
-    """Regions over nations over their customers and suppliers, as a call tree."""
+    """Regions over nations over their customers and suppliers, and orders under customers, as a call tree."""
     table = lambda name: w.table(spark, sf_dir, name)
     nation = table("nation").join(table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     tops = nation.select(F.col("r_name").alias("incident"), F.col("r_name").alias("parent"), F.col("n_name").alias("child"))
@@ -307,7 +307,10 @@ def component_paths(spark, sf_dir):
         table(name).join(nation, F.col(f"{key}_nationkey") == F.col("n_nationkey")).select(
             F.col("r_name").alias("incident"), F.col("n_name").alias("parent"), F.col(f"{key}_name").alias("child"))
         for name, key in (("customer", "c"), ("supplier", "s"))]
-    return plain(correlation.component_paths(tops.unionByName(leaves[0]).unionByName(leaves[1])))
+    orders = table("orders").join(table("customer"), F.col("o_custkey") == F.col("c_custkey")).join(
+        nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("r_name").alias("incident"), F.col("c_name").alias("parent"), F.concat(F.lit("Order#"), "o_orderkey").alias("child"))
+    return plain(correlation.component_paths(tops.unionByName(leaves[0]).unionByName(leaves[1]).unionByName(orders)))
 
 
 def incident_reports(spark, sf_dir):

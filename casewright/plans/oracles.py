@@ -218,10 +218,10 @@ ORACLES: dict[str, str] = {
         CASE WHEN m.ts >= p.ts - INTERVAL 7 DAY THEN m.event_id ELSE -1 END AS prior_event_id,
         CASE WHEN m.ts >= p.ts - INTERVAL 7 DAY THEN {_time('m.ts')} ELSE '' END AS prior_ts
         FROM probes p ASOF LEFT JOIN marks m ON p.user_id = m.user_id AND p.ts >= m.ts""",
-    "event_pair_latency": f"""WITH v AS (SELECT DISTINCT user_id, ts FROM events WHERE event_type = 'view'),
-        pairs AS (SELECT v.user_id, v.ts AS started, min(c.ts) AS ended FROM v JOIN events c ON c.user_id = v.user_id
-          AND c.event_type = 'click' AND c.ts >= v.ts AND c.ts <= v.ts + INTERVAL 1 HOUR GROUP BY ALL)
-        SELECT user_id, {_time('started')} AS started_at, {_time('ended')} AS ended_at,
+    "event_pair_latency": f"""WITH v AS (SELECT user_id, ts, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY ALL),
+        c AS (SELECT DISTINCT user_id, ts FROM events WHERE event_type = 'click'),
+        pairs AS (SELECT v.user_id, v.ts AS started, c.ts AS ended, n FROM v ASOF JOIN c ON c.user_id = v.user_id AND v.ts <= c.ts)
+        SELECT user_id, {_time('started')} AS started_at, {_time('ended')} AS ended_at, n AS start_count,
         CAST(floor(epoch_us(ended) / 1e6 - epoch_us(started) / 1e6) AS BIGINT) AS latency_seconds FROM pairs""",
     "error_episodes": f"""WITH e AS (SELECT user_id, ts, ts > lag(ts) OVER along + INTERVAL 720 MINUTE AS opens FROM events
           WHERE event_type = 'error' WINDOW along AS (PARTITION BY user_id ORDER BY ts)),
@@ -299,7 +299,9 @@ ORACLES: dict[str, str] = {
         leaves AS (SELECT r_name, n_name, c_name AS name FROM customer JOIN n ON c_nationkey = n_nationkey
           UNION ALL SELECT r_name, n_name, s_name FROM supplier JOIN n ON s_nationkey = n_nationkey)
         SELECT r_name AS incident, r_name AS ancestor, n_name AS component, CAST(1 AS BIGINT) AS hops FROM n
-        UNION ALL SELECT r_name, n_name, name, 1 FROM leaves UNION ALL SELECT r_name, r_name, name, 2 FROM leaves""",
+        UNION ALL SELECT r_name, n_name, name, 1 FROM leaves UNION ALL SELECT r_name, r_name, name, 2 FROM leaves
+        UNION ALL SELECT r_name, unnest([c_name, n_name, r_name]), 'Order#' || o_orderkey, unnest([1, 2, 3])
+          FROM orders JOIN customer ON o_custkey = c_custkey JOIN n ON c_nationkey = n_nationkey""",
     "incident_reports": f"""{INCIDENT},
         leads AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY incident
           ORDER BY confidence_score DESC, line_count DESC, first_ts, component, signature) = 1),

@@ -13,16 +13,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from casewright.operators import lookups, retrieval, structuring
 
-RULES_OF_CONDUCT = [
-    "Facts come from the payment and client relations before any claim.",
-    "Arithmetic and aggregation are relational, never narrated.",
-    "Policy statements come from retrieved passages.",
-    "Observed facts and assumptions are kept apart.",
-    "A policy trigger is not proof of suspicious activity.",
-    "Missing evidence is named where it matters.",
-    "Every answer cites its policy sources.",
-]
-
 
 @dataclass(frozen=True)
 class Tool:

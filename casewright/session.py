@@ -40,10 +40,30 @@ def _temporary_folder(application_id: str) -> tempfile.TemporaryDirectory:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share for intermediate tables: the one the cluster
-    names in ``spark.checkpoint.dir``. Only where that is unset (tests, local
-    runs) a temporary one is used."""
+    names in ``spark.checkpoint.dir``. Only where that is unset and everything runs
+    in one process (tests, local runs) a temporary one is used."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or _temporary_folder(spark.sparkContext.applicationId).name
+    if configured:
+        return configured
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+    return _temporary_folder(spark.sparkContext.applicationId).name
+
+
+@cache
+def _own_folder(shared: str, application_id: str) -> str:
+    """This application's part of the shared folder, deleted when it ends."""
+    path = f"{shared}/{application_id}"
+    context = SparkSession.active().sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
+def own_folder(spark: SparkSession) -> str:
+    """A folder for tables that no one needs after this application."""
+    return _own_folder(shared_folder(spark), spark.sparkContext.applicationId)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -54,6 +74,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     between a broadcast and a shuffle join.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -17,7 +17,7 @@ from casewright.functions.text import (
     code_spans, message_attributes, message_signature, mttr_minutes, unwrap,
 )
 
-LOG_LINE = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\s+[A-Z]+\s+\S"
+LOG_LINE = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(?:[.,]\d{1,9})?Z?\s+[A-Z]+\s+\S"
 CAVEAT = r"(?i)unverified|unconfirmed|may not apply"
 
 
@@ -29,8 +29,10 @@ def log_events(lines: DataFrame) -> DataFrame:
     """(incident, ts, level, component, message, attrs, signature) per log line."""
     part = lambda index: F.get("parts", index)
     matching = lines.filter(F.col("line").rlike(LOG_LINE))
+    # A stamp with T, a comma before the fraction or a final Z reads like the plain one.
+    line = F.regexp_replace("line", r"^(\S{10})[ T](\d{2}:\d{2}:\d{2})[.,]?(\d*)Z?", "$1 $2.$3")
     return (
-        once(matching, "parts", F.split("line", r"\s+", 5))
+        once(matching, "parts", F.split(F.regexp_replace(line, r"^(\S+ \S{8})\.(?=\s)", "$1"), r"\s+", 5))
         .select(*_scope(lines), F.concat_ws(" ", part(0), part(1)).try_cast("timestamp_ntz").alias("ts"),
                 part(2).alias("level"), part(3).alias("component"), F.coalesce(part(4), F.lit("")).alias("message"))
         .withColumn("attrs", message_attributes(F.col("message")))
@@ -38,6 +40,12 @@ def log_events(lines: DataFrame) -> DataFrame:
     )
 
 
+def rejected_log_lines(lines: DataFrame) -> DataFrame:
+    """Lines that are not blank and that ``log_events`` leaves out, to be counted or read."""
+    line = F.col("line")
+    return lines.filter(line.rlike(r"\S") & ~line.rlike(LOG_LINE))
+
+
 def table_cells(line: Column) -> Column:
     """Cells of a Markdown table row, trimmed and without bold marks or code quotes."""
     inner = F.regexp_replace(line, r"^\s*\|\s*|\s*\|\s*$", "")

@@ -62,13 +62,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give row-local text work every core when the scan has fewer splits than
-    cores (a few small files). A scan of many splits stays as it is: no shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
@@ -136,7 +129,7 @@ def _words(k: Column) -> Column:
 
 def _operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
-    return spread(table(spark, sf_dir, "events")).select(
+    return table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("incident"),
         "event_id", "ts", "event_type", "value",
         F.concat(F.lit("svc-"), (k % 25 + 1).cast("string")).alias("component"),
@@ -164,7 +157,7 @@ def deployment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _catalogue(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    part = spread(table(spark, sf_dir, "part"))
+    part = table(spark, sf_dir, "part")
     return part.filter(choose(F.col("p_type"), CATALOGUE_OF_TYPE) == kind).select(
         "p_partkey", "p_name", "p_size",
         F.concat(F.lit("svc-"), F.substring_index("p_brand", "#", -1)).alias("component"),
@@ -197,7 +190,7 @@ def previous_incident_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def architecture_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One architecture overview per order."""
-    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     text = F.format_string(
         "# Overview\n\n```\nClient\n  -> client-%d\n       -> order-%d      (priority %s,\n"
         "                              checked)\n            -> status-%s\n       -> billing\n```\n\n"
@@ -208,7 +201,7 @@ def architecture_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def api_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One API section per part."""
-    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size"))
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
     text = F.format_string(
         "# API\n\n## `GET /parts/%d`\n\nOwned by: `%s`, nobody else.\n\n| Field | Type | Notes |\n|---|---|---|\n"
         "| `size` | integer | up to %d |\n| `type` | string | %s |\n\n**Timeout**: waits %dms.\n\n"

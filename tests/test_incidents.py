@@ -253,3 +253,29 @@ def test_report_file(spark, data_dir, tmp_path):
     assert list(written) == ["loud", "quiet"]
     assert set(written["loud"]) == set(incident.REPORT_KEYS)
     assert all(r["needs_human_review"] == (r["confidence_score"] < 50) for r in written.values())
+
+
+def test_long_and_circular_paths(spark):
+    chain = [("x", f"n{i}", f"n{i + 1}") for i in range(6)]
+    edges = spark.createDataFrame([*chain, ("y", "a", "b"), ("y", "b", "a"), ("y", "c", "c")], "incident string, parent string, child string")
+    paths = correlation.component_paths(edges).collect()
+    assert sum(r.incident == "x" for r in paths) == 21 and max(r.hops for r in paths) == 6
+    assert sorted((r.ancestor, r.component) for r in paths if r.incident == "y") == [("a", "b"), ("b", "a")]
+
+
+def test_latency_without_a_limit_and_with_equal_starts(spark):
+    rows = [("a", "queued", "2024-01-01 00:00:00"), ("a", "queued", "2024-01-01 00:00:00"), ("a", "sent", "2024-01-04 03:24:00")]
+    events = spark.createDataFrame(rows, "order_id string, kind string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    (row,) = correlation.event_latency(events, "queued", "sent", ["order_id"]).collect()
+    assert (row.latency_seconds, row.start_count) == (75 * 3600 + 24 * 60, 2)
+
+
+def test_log_stamps_and_rejected_lines(spark):
+    lines = ["2024-01-01 10:00:00 ERROR web down", "2024-01-01T10:00:00Z ERROR web down", "2024-01-01 10:00:00,250 WARN web slow",
+             "2024-01-01T10:00:00.5 INFO web", "no stamp here", "  "]
+    frame = spark.createDataFrame([(line,) for line in lines], "line string")
+    rows = parse.log_events(frame).collect()
+    assert [(str(r.ts), r.level, r.component, r.message) for r in rows] == [
+        ("2024-01-01 10:00:00", "ERROR", "web", "down"), ("2024-01-01 10:00:00", "ERROR", "web", "down"),
+        ("2024-01-01 10:00:00.250000", "WARN", "web", "slow"), ("2024-01-01 10:00:00.500000", "INFO", "web", "")]
+    assert [r.line for r in parse.rejected_log_lines(frame).collect()] == ["no stamp here"]

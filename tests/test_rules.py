@@ -1,3 +1,6 @@
+import pytest
+
+from casewright import schemas
 from casewright.operators import lookups, rules
 
 
@@ -75,3 +78,14 @@ def test_mismatched_country_and_code(payments):
 def test_unknown_clients_still_meet_the_global_rules(spark, make_payments, clients):
     orphan = make_payments([("A", "C9999", "X", "AE", "130000.00", "CHF", "2026-01-01")])
     assert triggered(orphan, clients, spark) == {"A": {"global-enhanced", "high-risk-AE"}}
+
+
+def test_regions_and_destinations_come_from_the_documents(spark):
+    docs = [("regional_uk.md", "# United Kingdom Payment Procedure 2026\n\n- Payments above GBP 10,000 equivalent require RM review.\n", {}),
+            ("high_risk_jurisdictions.md", "IR (Iran) and KP (North Korea) are high-risk destinations.\n", {})]
+    found = {r.rule_id: r for r in rules.parse_rules(spark.createDataFrame(docs, schemas.POLICY_DOCS)).collect()}
+    assert found["united kingdom-rm"].scope_country == "United Kingdom"
+    assert {r.destination_code for r in found.values()} == {None, "IR", "KP"}
+    nameless = spark.createDataFrame([("regional_x.md", "- Payments above GBP 10,000 equivalent require RM review.\n", {})], schemas.POLICY_DOCS)
+    with pytest.raises(Exception, match="without a country"):
+        rules.parse_rules(nameless).collect()

@@ -53,9 +53,9 @@ def test_mixed_currencies_are_marked_and_split(make_payments):
 
 
 def test_currency_codes_survive_the_number(spark):
-    df = spark.createDataFrame([("USD",), ("CHF",), ("HKD",), ("dollar",), (None,)], "c string")
+    df = spark.createDataFrame([("USD",), ("CHF",), ("HKD",), ("USDT",), ("dollar",), ("long code",), (None,)], "c string")
     back = df.select("c", currency_code(currency_number(F.col("c"))).alias("back")).collect()
-    assert {r.c: r.back for r in back} == {"USD": "USD", "CHF": "CHF", "HKD": "HKD", "dollar": None, None: None}
+    assert {r.c: r.back for r in back} == {"USD": "USD", "CHF": "CHF", "HKD": "HKD", "USDT": "USDT", "dollar": "dollar", "long code": None, None: None}
 
 
 @pytest.mark.parametrize("small_rows", [0, 1000])
@@ -85,3 +85,11 @@ def test_salted_join_spreads_the_heavy_key(spark):
             spark.conf.set(key, value)
     assert sum(r["count"] for r in per_task) == 3000
     assert len(per_task) == 4
+
+
+def test_one_currency_of_any_length_is_never_mixed(make_payments):
+    rows = [("1", "C1", "B", "GB", "5.00", "USDT", "2026-01-01"), ("2", "C1", "B", "GB", "5.00", "USDT", "2026-01-01"),
+            ("3", "C2", "B", "GB", "5.00", "A-LONG-CODE", "2026-01-01"), ("4", "C2", "B", "GB", "5.00", "A-LONG-CODE", "2026-01-01"),
+            ("5", "C3", "B", "GB", "5.00", "USDT", "2026-01-01"), ("6", "C3", "B", "GB", "5.00", "USD", "2026-01-01")]
+    found = {r.client_id: r.currency for r in structuring.beneficiary_windows(make_payments(rows)).collect()}
+    assert found == {"C1": "USDT", "C2": None, "C3": "mixed"}
