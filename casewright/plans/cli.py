@@ -19,6 +19,7 @@ def main(argv: list[str] | None = None) -> None:
     commands = parser.add_subparsers(dest="command", required=True)
     ask = commands.add_parser("questions", help="answer a JSON file of questions")
     ask.add_argument("--questions", required=True)
+    ask.add_argument("--lines", action="store_true", help="write a folder of JSON Lines, one file per task, without lists of payments")
     report = commands.add_parser("incidents", help="report on every incident folder")
     for command in (ask, report):
         command.add_argument("--data", required=True, help="folder with the input data")
@@ -32,8 +33,11 @@ def main(argv: list[str] | None = None) -> None:
             tabular.read_questions(spark, args.questions),
             tabular.read_payments(spark, f"{args.data}/payments.csv"),
             tabular.read_clients(spark, f"{args.data}/clients.csv"),
-            rules.parse_rules(policies), policies)
-        tabular.write_answer_file(answers, args.output, order_by="position", drop=["position"])
+            rules.parse_rules(policies), policies, lists=not args.lines)
+        if args.lines:
+            tabular.write_answer_lines(answers, args.output)
+        else:
+            tabular.write_answer_file(answers, args.output, order_by="position", drop=["position"])
     else:
         tabular.write_report_file(incident.investigate(spark, args.data), args.output)
 

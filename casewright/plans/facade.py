@@ -64,7 +64,7 @@ class PaymentDesk:
     def run_agent(self, question: str, payment_id: str) -> dict:
         asked = self.spark.createDataFrame([("question", payment_id, question)], schemas.QUESTIONS)
         answer = record(investigation.answer_questions(
-            asked, self.payments, self.clients, rules.parse_rules(self.policies), self.policies, self.index))
+            asked, self.payments, self.clients, rules.parse_rules(self.policies), self.policies, self.index, lists=True))
         return {"answer": answer["answer"], "citations": answer["citations"],
                 "facts": json.loads(answer["facts"]), "tools_used": answer["tools_used"]}
 

@@ -335,20 +335,24 @@ ORACLES: dict[str, str] = {
                         CASE WHEN asks THEN '{ASSUMED_DAY}' END) AS assumptions,
         CASE WHEN len(todo) > 0 THEN '{_quoted(REQUESTED)}' ELSE '' END AS missing_evidence,
         CASE WHEN len(todo) > 0 THEN array_to_string(todo, ' and ') ELSE 'standard monitoring' END AS next_action FROM listed""",
+    "answer_members": f"""{PAY}, asked AS (SELECT DISTINCT client_id, beneficiary_name, payment_date FROM payments WHERE currency = 'CHF')
+        SELECT client_id, beneficiary_name, CAST(payment_date AS VARCHAR) AS payment_date, payment_id, CAST(amount AS DOUBLE) AS amount, channel
+        FROM payments JOIN asked USING (client_id, beneficiary_name, payment_date)""",
     "payment_answers": f"""{PAY_CLIENT}, {DECISIONS}, {WINDOWS}, {_asks},
         actions AS (SELECT payment_id, string_agg(review_action, ',' ORDER BY source, review_action) AS review_actions,
                            list(DISTINCT source) AS sources FROM decisions GROUP BY 1),
-        facts AS (SELECT q.question_id, q.payment_id, q.currency, p.amount, c.country, v.payment_count, v.total_amount, a.review_actions,
+        per_client AS (SELECT client_id, count(*) FILTER (payment_count >= 2 AND total_amount > 100000) AS client_windows FROM windows GROUP BY 1),
+        facts AS (SELECT q.question_id, q.payment_id, q.currency, p.amount, c.country, v.payment_count, v.total_amount, a.review_actions, n.client_windows,
             list_sort(list_distinct(list_concat(['global_payment_policy.md'],
               CASE c.country WHEN 'Singapore' THEN ['regional_singapore.md'] WHEN 'Switzerland' THEN ['regional_switzerland.md'] ELSE [] END,
               coalesce(a.sources, []), CASE q.currency WHEN 'HKD' THEN ['high_risk_jurisdictions.md'] ELSE [] END))) AS cited
           FROM questions q JOIN payments p USING (payment_id) JOIN clients c USING (client_id) JOIN windows v USING (client_id, beneficiary_name, payment_date)
-          LEFT JOIN actions a USING (payment_id))
+          JOIN per_client n USING (client_id) LEFT JOIN actions a USING (payment_id))
         SELECT question_id, payment_id, array_to_string(cited, ',') AS citations,
-        CASE currency WHEN 'CHF' THEN 'get_payment,get_client_profile,get_client_payments,aggregate_beneficiary_24h,search_policy'
-             ELSE 'get_payment,get_client_profile,search_policy' END AS tools_used, CAST(amount AS DOUBLE) AS amount,
+        CASE currency WHEN 'CHF' THEN 'get_payment,get_client_profile,get_client_payments,aggregate_beneficiary_24h'
+             ELSE 'get_payment,get_client_profile' END AS tools_used, CAST(amount AS DOUBLE) AS amount,
         CASE currency WHEN 'CHF' THEN payment_count ELSE 0 END AS payment_count,
         CASE currency WHEN 'CHF' THEN CAST(total_amount AS DOUBLE) ELSE 0.0 END AS combined_amount,
-        CASE currency WHEN 'CHF' THEN payment_count ELSE 0 END AS listed_payments,
+        CASE currency WHEN 'CHF' THEN client_windows ELSE -1 END AS client_windows,
         coalesce(review_actions, '') AS review_actions FROM facts""",
 }

@@ -2,6 +2,8 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from casewright import schemas
 from casewright.operators import retrieval, rules
 from casewright.plans import cli, facade, investigation, registry
@@ -10,20 +12,21 @@ from casewright.sources import tabular
 from conftest import CLIENTS, PAYMENTS, POLICIES
 
 QUESTIONS = [
-    ("Q01", "P50000", "Should P50000 require enhanced review? Explain using policy."),
-    ("Q02", "P50001", "What review requirement applies to P50001 and why?"),
-    ("Q04", "P50003", "Does the data show a possible transaction-splitting pattern for C2003? Explain."),
-    ("Q07", "P50003", "What additional information should be requested before escalating the potential structuring pattern?"),
-    ("Q08", "P50004", "What payment-review threshold applies based on the client's region?"),
-    ("Q10", "P50006", "Summarize the investigation workflow that should be followed."),
-    ("Q99", "P99999", "What review requirement applies to P99999 and why?"),
+    ("Q01", "P50000", "Has anyone to look at P50000 before it is released?"),
+    ("Q02", "P50001", "Who has to approve P50001, and on what grounds?"),
+    ("Q04", "P50003", "Could C2003 have split one transfer into parts?"),
+    ("Q07", "P50003", "Which details are still missing before this goes to Compliance?"),
+    ("Q08", "P50004", "From what amount on does the payer's country ask for a review?"),
+    ("Q10", "P50006", "Which steps come next for this case?"),
+    ("Q11", "P50004", "Was this transfer split, or does the client do that elsewhere?"),
+    ("Q99", "P99999", "Who has to approve P99999, and on what grounds?"),
 ]
 
 
 @pytest.fixture(scope="module")
 def answers(spark, payments, clients, policies):
     questions = spark.createDataFrame(QUESTIONS, schemas.QUESTIONS)
-    rows = investigation.answer_questions(questions, payments, clients, rules.parse_rules(policies), policies).collect()
+    rows = investigation.answer_questions(questions, payments, clients, rules.parse_rules(policies), policies, lists=True).collect()
     assert len(rows) == len(QUESTIONS)
     return {r.question_id: r for r in rows}
 
@@ -35,7 +38,8 @@ def test_no_review(answers):
     facts = json.loads(row.facts)
     assert (facts["amount"], facts["currency"], facts["beneficiary_country_code"]) == (12000.0, "USD", "SG")
     assert (facts["client_id"], facts["client_country"], facts["client_risk_rating"]) == ("C2000", "UAE", "Medium")
-    assert "Standard monitoring applies" in row.answer
+    assert "standard monitoring" in row.answer
+    assert "A policy trigger does not by itself establish suspicious activity." in row.answer  # quoted from the policy
 
 
 def test_layered_rules(answers):
@@ -54,11 +58,11 @@ def test_structuring_answer(answers):
     assert facts["individual_amounts"] == [45000.0, 35000.0, 30000.0]
     assert (facts["combined_amount"], facts["threshold"], facts["combined_currency"]) == (110000.0, 100000.0, "CHF")
     assert facts["channels"] == ["Branch", "Online", "RM-assisted"]
-    assert "escalation to Compliance" in row.answer and "not proof of intent" in row.answer
+    assert "escalate to Compliance" in row.answer and "does not show intent" in row.answer
 
 
 def test_other_intents(answers):
-    assert "source of funds" in answers["Q07"].answer
+    assert "where the money comes from" in answers["Q07"].answer
     assert "CHF 80,000" in answers["Q08"].answer and "75,000" not in answers["Q08"].answer
     assert "1. Establish client and payment facts." in answers["Q10"].answer
     assert "investigation_procedure.md" in answers["Q10"].citations
@@ -66,7 +70,35 @@ def test_other_intents(answers):
 
 def test_unknown_payment(answers):
     row = answers["Q99"]
-    assert "not found" in row.answer and row.citations == []
+    assert "no payment P99999" in row.answer and row.citations == [] and row.tools_used == ["get_payment"]
+
+
+def test_a_client_is_judged_by_all_of_its_windows(answers):
+    row = answers["Q11"]
+    facts = json.loads(row.facts)
+    assert (facts["payment_count"], facts["structuring_windows_of_client"], facts["payment_ids"]) == (1, 1, ["P50004"])
+    assert "does not look split" in row.answer and "Northstar Trading on 2026-04-11, CHF 110,000" in row.answer
+    assert "structuring review" in row.answer
+
+
+def test_limits_of_another_country_do_not_count(spark, make_payments, clients):
+    paid = make_payments([(f"P{i}", "C2003", "B", "GB", "6000.00", "CHF", "2026-01-01") for i in range(2)])
+    table = rules.standard_rules(spark)
+    british = spark.createDataFrame([("uk", "regional_uk.md", "UK", "combined", None, "GBP", None, "structuring review")], table.schema)
+    both = table.union(british.withColumn("threshold", F.lit(10_000).cast("decimal(18,2)")))
+    (swiss,) = investigation.client_windows(paid, paid, clients, both).collect()
+    assert (swiss.is_structuring, float(swiss.structuring_threshold), swiss.structuring_currency) == (False, 100000.0, "USD")
+    (uk,) = investigation.client_windows(*2 * (paid.withColumn("client_id", F.lit("C2021")),), clients, both).collect()
+    assert (uk.is_structuring, uk.structuring_currency) == (True, "GBP")
+
+
+@pytest.mark.parametrize("question, intent", [
+    ("Does the data show a possible structuring pattern?", "structuring"), ("Name the documents I need", "documents"),
+    ("What evidence do we lack?", "missing_evidence"), ("Tell facts from assumptions", "separation"), ("How would you investigate it?", "workflow"),
+    ("Is the beneficiary in a listed jurisdiction below the limit?", "destination"), ("Which limits hold here?", "threshold"), ("May it go out?", "review")])
+def test_intents_follow_word_stems(spark, question, intent):
+    asked = spark.createDataFrame([(question,)], "q string")
+    assert asked.select(investigation.question_intent(F.col("q")).alias("i")).first().i == intent
 
 
 def test_no_decoy_is_ever_cited(answers):
@@ -74,12 +106,18 @@ def test_no_decoy_is_ever_cited(answers):
     assert not any("decoy" in row.answer for row in answers.values())
 
 
-def test_large_windows_come_as_rows(spark, payments):
-    windows = investigation.asked_windows(payments.filter("payment_id = 'P50003'"), payments, rules.standard_rules(spark))
-    assert investigation.window_lists(windows, payments, listed=2).count() == 0
+def test_members_of_any_number(spark, payments, make_payments, clients):
     questions = spark.createDataFrame(QUESTIONS, schemas.QUESTIONS)
-    members = investigation.answer_members(questions, payments, rules.standard_rules(spark))
-    assert {r.payment_id for r in members.collect()} == {"P50003", "P50180", "P50181"}
+    members = investigation.answer_members(questions, payments)
+    assert {r.payment_id for r in members.collect()} == {"P50003", "P50180", "P50181", "P50004"}
+    many = make_payments([(f"M{i:04d}", "C2003", "B", "CH", "100.00", "CHF", "2026-01-01") for i in range(1001)])
+    asked = spark.createDataFrame([("Q", "M0000", "Was this split?")], schemas.QUESTIONS)
+    assert investigation.answer_members(asked, many).count() == 1001
+    for lists in (False, True):
+        (row,) = investigation.answer_questions(asked, many, clients, rules.standard_rules(spark), lists=lists).collect()
+        facts = json.loads(row.facts)
+        assert facts["payment_count"] == 1001 and len(facts.get("payment_ids", [])) == 1001 * lists
+        assert row.tools_used == ["get_payment", "get_client_profile", "get_client_payments", "aggregate_beneficiary_24h"]
 
 
 def test_registry(payments, clients, policies):

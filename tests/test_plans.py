@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
 from casewright.operators import retrieval, rules, structuring
+from casewright.plans import catalog
 from casewright.sources import warehouse
 
 
@@ -23,7 +24,7 @@ def physical(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(registered.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_no_cross_join_no_python_no_single_task_window(no_broadcast, name):
     plan = physical(registered.queries()[name](no_broadcast, registered.SMOKE_DIR))
     assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin|EvalPython|InPandas", plan)
