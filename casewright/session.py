@@ -51,19 +51,19 @@ def shared_folder(spark: SparkSession) -> str:
     return _temporary_folder(spark.sparkContext.applicationId).name
 
 
-@cache
-def _own_folder(shared: str, application_id: str) -> str:
-    """This application's part of the shared folder, deleted when it ends."""
-    path = f"{shared}/{application_id}"
-    context = SparkSession.active().sparkContext
-    folder = context._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return path
+_OWN_FOLDERS: set[str] = set()
 
 
 def own_folder(spark: SparkSession) -> str:
-    """A folder for tables that no one needs after this application."""
-    return _own_folder(shared_folder(spark), spark.sparkContext.applicationId)
+    """This application's part of the shared folder, for tables that no one needs
+    after it: deleted when the application ends."""
+    context = spark.sparkContext
+    path = f"{shared_folder(spark)}/{context.applicationId}"
+    if path not in _OWN_FOLDERS:
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
+        _OWN_FOLDERS.add(path)
+    return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
