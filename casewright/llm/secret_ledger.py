@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from casewright.llm.common import table
-from casewright.session import cut_lineage, shared_folder
+from casewright.session import cut_lineage, own_folder
 
 
 @dataclass(frozen=True)
@@ -180,7 +180,7 @@ def report(per_path: DataFrame) -> DataFrame:
 
 def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents, from a ledger that starts empty."""
-    folder = f"{shared_folder(spark)}/secret-ledger-{uuid.uuid4().hex}"
+    folder = f"{own_folder(spark)}/secret-ledger-{uuid.uuid4().hex}"
     return report(scan_versions(spark, table(spark, sf_dir, "documents"), folder))
 
 
