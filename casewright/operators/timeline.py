@@ -25,7 +25,8 @@ def running(rows: DataFrame, keys: list[str], at: str, values: dict[str, Callabl
 
     ``values`` maps a column to an aggregate that can be taken in parts, and
     ``combine`` joins the part of earlier buckets with the part inside the bucket.
-    Both parts read the same columns of one shuffle, so Spark runs it once.
+    Both parts read the same columns of one shuffle, so Spark runs it once. Rows
+    without a key or a time belong to no run and are left out.
     """
     way = F.desc if backwards else F.asc
     bucketed = rows.withColumn("_bucket", F.window(at, BUCKET).getField("start"))
