@@ -26,9 +26,10 @@ def read_data_dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of questions; rows keep the file order in ``position``."""
+    """Questions in file order (``position``): JSON Lines, which are read in splits,
+    where the name ends in .jsonl, else one JSON array, which one task has to parse."""
     return (
-        spark.read.schema(schemas.QUESTIONS).json(path, multiLine=True)
+        spark.read.schema(schemas.QUESTIONS).json(path, multiLine=not path.endswith(".jsonl"))
         .withColumn("position", F.monotonically_increasing_id())
     )
 

@@ -98,10 +98,19 @@ def client_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as payments. The supplier join comes first: it is the small
-    side, and filters on amount and destination then run below the order join."""
+def payment(spark: SparkSession, sf_dir: str, payment_id: str) -> DataFrame:
+    """One payment by its ID. The ID is made of keys, so they reach the scans as filters."""
+    order, line, part, supplier = map(int, payment_id.split("-"))
+    return payments(spark, sf_dir, (F.col("l_orderkey") == order) & (F.col("l_linenumber") == line)
+                    & (F.col("l_partkey") == part) & (F.col("l_suppkey") == supplier))
+
+
+def payments(spark: SparkSession, sf_dir: str, only: Column | None = None) -> DataFrame:
+    """Line items (``only`` some of them) as payments. The supplier join comes first: it is
+    the small side, and filters on amount and destination then run below the order join."""
     lineitem, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    if only is not None:
+        lineitem = lineitem.filter(only)
     supplier, nations = table(spark, sf_dir, "supplier"), _nations(spark, sf_dir)
     beneficiaries = supplier.join(nations, supplier.s_nationkey == nations.n_nationkey)
     return (

@@ -161,6 +161,16 @@ def test_command_line_writes_one_array(spark, data_dir):
     assert written[-1]["facts"]["client_country"] == "UAE"
 
 
+def test_questions_and_answers_as_lines(spark, data_dir):
+    lines = [json.dumps(dict(zip(schemas.QUESTIONS.fieldNames(), q))) for q in QUESTIONS]
+    (data_dir / "questions.jsonl").write_text("\n".join(lines) + "\n")
+    asked = tabular.read_questions(spark, str(data_dir / "questions.jsonl")).orderBy("position").collect()
+    assert [r.question_id for r in asked] == [q[0] for q in QUESTIONS]
+    target = data_dir / "answers"
+    cli.main(["questions", "--lines", "--data", str(data_dir), "--questions", str(data_dir / "questions.jsonl"), "--output", str(target)])
+    assert {r.question_id for r in spark.read.json(str(target)).collect()} == {q[0] for q in QUESTIONS}
+
+
 def test_tools_as_plain_functions(spark, data_dir):
     desk = facade.PaymentDesk(spark, str(data_dir))
     assert desk.get_client_profile("C2003")["country"] == "Switzerland"

@@ -44,6 +44,13 @@ def test_scan_reads_only_needed_columns_and_filters_before_the_order_join(no_bro
     assert plan.index("array_contains(Subquery") > order_join
 
 
+def test_a_payment_is_read_by_its_keys(no_broadcast):
+    no_broadcast.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = physical(registered.queries()["payment_lookup"](no_broadcast, registered.SMOKE_DIR))
+    assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(l_orderkey", plan) and "EqualTo(o_orderkey" in plan
+    no_broadcast.conf.unset("spark.sql.maxMetadataStringLength")
+
+
 def test_aggregates_hash_and_combine_before_the_shuffle(no_broadcast):
     plan = physical(structuring.beneficiary_windows(warehouse.payments(no_broadcast, registered.SMOKE_DIR)))
     assert "SortAggregate" not in plan and "partial_sum" in plan
