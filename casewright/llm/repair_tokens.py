@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +29,12 @@ SHARD_TOKENS = 2_000_000
 #: Symbols have 16 bits: ids of the tokenizer first, nonterminals after them.
 SYMBOLS = 65_536
 #: A pair must be this frequent to become a rule, and so many become rules at once.
-FREQUENT = 16
-AT_ONCE = 2048
+FREQUENT = 32
+AT_ONCE = 4096
 #: Expansions up to this length are looked up; longer rules are first replaced by their parts.
 FLAT = 64
-#: Distinct units that a worker keeps the ids of before it starts anew (about 100 MB).
-REMEMBERED = 500_000
+#: Distinct units that a worker keeps the ids of (about 200 MB); later ones are encoded where they are met.
+REMEMBERED = 1_000_000
 #: Characters of text whose new units are encoded together.
 TOGETHER = 2_000_000
 MAGIC = 0x31475052
@@ -52,7 +53,8 @@ class Encoder:
     given to the tokenizer whole.
     """
 
-    WHOLE = re.compile(r"\s \s|\s \Z")
+    SIMPLE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+[.,]?")
+    WHOLE = re.compile(r" (?<=\s )(?:\s|\Z)")
 
     def __init__(self, vocabulary: str = VOCABULARY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has one task per core already
@@ -64,11 +66,35 @@ class Encoder:
         self.terminals = self.tokenizer.get_vocab_size(with_added_tokens=True)
         if self.terminals + AT_ONCE > SYMBOLS:
             raise ValueError("the vocabulary leaves no numbers of 16 bits for nonterminals")
+        self.merge = self.tokenizer.model.tokenize
+        space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
         self.known: dict[str, bytes] = {}
+        # How the tokenizer writes the bytes of a letter, and its id of a mark that ends a word.
+        letters = [chr(c) for c in range(0xC0, 0x250) if c not in (0xD7, 0xF7)]
+        self.written = str.maketrans({c: "".join(self.tokenizer.encode(c, add_special_tokens=False).tokens) for c in letters})
+        self.space, self.marks = space, {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,"}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _units(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of units. A word of Latin letters, with a full stop or comma or without, is
+        one or two pieces of the pattern: its merges can be asked for directly. A key
+        that begins with a space is a text's first unit, which has none before it."""
+        done: dict[str, bytes] = {}
+        simple, space, merge = self.SIMPLE.fullmatch, self.space, self.merge
+        for unit in units:
+            if simple(unit):
+                mark = self.marks.get(unit[-1])
+                word = unit[:-1] if mark else unit
+                if not word.isascii():
+                    word = word.translate(self.written)
+                ids = [t.id for t in merge(space + word)]
+                done[unit] = array("H", ids + mark if mark else ids).tobytes()
+        rest = [u for u in units if u not in done]
+        done.update(zip(rest, self._alone([u[1:] if u.startswith(" ") else " " + u for u in rest]), strict=True))
+        return done
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, and the end id."""
         end, known = np.array([END_ID], "<u2").tobytes(), self.known
@@ -79,20 +105,45 @@ class Encoder:
                 units.append(None)
                 continue
             first, *rest = text.split(" ")
-            # Keys have no space but for the first unit's, which is the one without a space in the text.
             units.append([*([" " + first] if first else []), *rest])
             new.update(units[-1])
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-        fresh = [u for u in new if u not in known]
-        known.update(zip(fresh, self._ids([u[1:] if u.startswith(" ") else " " + u for u in fresh]), strict=True))
+        new.difference_update(known)
+        met = self._units(list(new))
+        if len(known) < REMEMBERED:  # the first units met hold the frequent ones
+            known.update(met)
+            met = known
+        elif met:
+            met = _Both(known, met)
+        else:
+            met = known
         out = []
         for text, parts in zip(texts, units, strict=True):
-            coded = self._ids([text])[0] if parts is None else b"".join(map(known.__getitem__, parts))
+            coded = self._alone([text])[0] if parts is None else b"".join(map(met.__getitem__, parts))
             out.append(np.frombuffer(coded + end, "<u2"))
         return out
 
 
+class _Both(dict):
+    """Units that are remembered, and behind them those of this call only."""
+
+    def __init__(self, known: dict[str, bytes], met: dict[str, bytes]):
+        super().__init__(met)
+        self.known = known
+
+    def __missing__(self, unit: str) -> bytes:
+        return self.known[unit]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(vocabulary: str) -> Encoder:
+    """One per worker process: the tasks that follow each other share what it remembers."""
+    if vocabulary not in _ENCODERS:
+        _ENCODERS[vocabulary] = Encoder(vocabulary)
+    return _ENCODERS[vocabulary]
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, ends, rules): Re-Pair of ``ids``; ``ends`` marks the last id of each
     document, which joins no pair. Rule k expands symbol terminals + k to its two parts."""
@@ -178,6 +229,11 @@ class Shard:
         begin = np.cumsum(sizes) - sizes
         return self.flat[np.repeat(self.flat_at[symbols] - begin, sizes) + np.arange(int(sizes.sum()))]
 
+    def documents(self) -> list[np.ndarray]:
+        ids = self._expand(self.symbols)
+        upto = np.concatenate([[0], np.cumsum(self.lengths[self.symbols])])[self.first[1:-1]]
+        return np.split(ids, upto)
+
     def document(self, k: int) -> np.ndarray:
         return self._expand(self.symbols[self.first[k]:self.first[k + 1]])
 
@@ -197,7 +253,7 @@ def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY, shard_tokens: in
     order of a hash of the text, so that equal ids spread). Other columns are not read.
     """
     def pack_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(vocabulary), TaskContext.get().partitionId()
+        encoder, part = encoder_of(vocabulary), TaskContext.get().partitionId()
         ids, documents, tokens, number = [], [], 0, 0
 
         def shard() -> pa.RecordBatch:
@@ -246,8 +302,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 shard, sizes, sums = Shard(batch["shard"][row].as_py()), [], []
-                for k in range(shard.n_docs):
-                    ids = shard.document(k)
+                for ids in shard.documents():
                     sizes.append(len(ids))
                     sums.append(zlib.crc32(ids.astype("<u4")))
                 n = shard.n_docs

@@ -34,7 +34,11 @@ def test_remembered_units_give_the_tokenizers_ids(plain, monkeypatch):
     encoder, rng = repair.Encoder(), random.Random(1)
     texts = [t or "" for t in TEXTS] + ["".join(rng.choice("ab, .\n\t 1é'  \xa0\u2003\x1c\x85") for _ in range(30)) for _ in range(3000)]
     assert [e.tolist() for e in encoder.encode(texts)] == [plain(t) for t in texts]
+    every = [chr(c) for c in range(0x2E80) if not 0xD800 <= c < 0xE000]
+    texts = ["a " + " ".join("x" + c + "y" + c + m for m in ("", ".", ",", "!") for c in every)]
+    assert [e.tolist() for e in encoder.encode(texts)] == [plain(t) for t in texts]
     monkeypatch.setattr(repair, "REMEMBERED", 1)
+    encoder.known = {"b": encoder.known["b"]}
     assert [e.tolist() for e in encoder.encode(texts[:20])] == [plain(t) for t in texts[:20]]
 
 
@@ -47,6 +51,7 @@ def test_compression_round_trip_and_random_access():
     assert len(data) < sum(map(len, parts))  # under half of two bytes an id
     shard = repair.Shard(data)
     assert shard.n_docs == len(parts) and len(shard.rules)
+    assert [d.tolist() for d in shard.documents()] == [p.tolist() for p in parts]
     for k, part in enumerate(parts):
         assert shard.document(k).tolist() == part.tolist()
         a = int(rng.integers(0, len(part)))
