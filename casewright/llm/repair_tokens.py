@@ -28,9 +28,11 @@ END_ID = 2
 SHARD_TOKENS = 2_000_000
 #: Symbols have 16 bits: ids of the tokenizer first, nonterminals after them.
 SYMBOLS = 65_536
-#: A pair must be this frequent to become a rule, and so many become rules at once.
+#: A pair must be this frequent to become a rule, so many become rules at once, and a round goes on
+#: only if its pairs cover such a share of the symbols.
 FREQUENT = 32
 AT_ONCE = 4096
+GAIN = 0.02
 #: Expansions up to this length are looked up; longer rules are first replaced by their parts.
 FLAT = 64
 #: Distinct units that a worker keeps the ids of (about 200 MB); later ones are encoded where they are met.
@@ -38,6 +40,8 @@ REMEMBERED = 1_000_000
 #: Characters of text whose new units are encoded together.
 TOGETHER = 2_000_000
 MAGIC = 0x31475052
+#: Key of a line feed between two lines; no unit looks like it.
+LINE_FEED = "  "
 
 SHARDS = "part int, number int, n_tokens long, doc_ids array<long>, shard binary"
 _SHARDS_ARROW = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("n_tokens", pa.int64()),
@@ -53,7 +57,8 @@ class Encoder:
     given to the tokenizer whole.
     """
 
-    SIMPLE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+[.,]?")
+    SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@[-`{-~]*)")
+    LINES = re.compile(r"\n(?:\s|\Z|(?<=\s\n))")
     WHOLE = re.compile(r" (?<=\s )(?:\s|\Z)")
 
     def __init__(self, vocabulary: str = VOCABULARY):
@@ -68,29 +73,33 @@ class Encoder:
             raise ValueError("the vocabulary leaves no numbers of 16 bits for nonterminals")
         self.merge = self.tokenizer.model.tokenize
         space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
-        self.known: dict[str, bytes] = {}
-        # How the tokenizer writes the bytes of a letter, and its id of a mark that ends a word.
+        self.known = {LINE_FEED: self._alone(["\n"])[0]}
+        # How the tokenizer writes the bytes of a letter.
         letters = [chr(c) for c in range(0xC0, 0x250) if c not in (0xD7, 0xF7)]
         self.written = str.maketrans({c: "".join(self.tokenizer.encode(c, add_special_tokens=False).tokens) for c in letters})
-        self.space, self.marks = space, {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,"}
+        self.space = space
 
     def _alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _units(self, units: list[str]) -> dict[str, bytes]:
-        """Ids of units. A word of Latin letters, with a full stop or comma or without, is
+        """Ids of units. A word of Latin letters, with ASCII marks after it or without, is
         one or two pieces of the pattern: its merges can be asked for directly. A key
-        that begins with a space is a text's first unit, which has none before it."""
+        that begins with a space is a line's first unit, which has none before it."""
         done: dict[str, bytes] = {}
         simple, space, merge = self.SIMPLE.fullmatch, self.space, self.merge
+        marks: dict[str, bytes] = {}
         for unit in units:
-            if simple(unit):
-                mark = self.marks.get(unit[-1])
-                word = unit[:-1] if mark else unit
+            if m := simple(unit):
+                word, mark = m.groups()
                 if not word.isascii():
                     word = word.translate(self.written)
-                ids = [t.id for t in merge(space + word)]
-                done[unit] = array("H", ids + mark if mark else ids).tobytes()
+                ids = array("H", [t.id for t in merge(space + word)]).tobytes()
+                if mark:
+                    if mark not in marks:
+                        marks[mark] = array("H", [t.id for t in merge(mark)]).tobytes()
+                    ids += marks[mark]
+                done[unit] = ids
         rest = [u for u in units if u not in done]
         done.update(zip(rest, self._alone([u[1:] if u.startswith(" ") else " " + u for u in rest]), strict=True))
         return done
@@ -104,9 +113,18 @@ class Encoder:
             if self.WHOLE.search(text):
                 units.append(None)
                 continue
-            first, *rest = text.split(" ")
-            units.append([*([" " + first] if first else []), *rest])
-            new.update(units[-1])
+            # Lines without white space at their ends are taken apart too: a line feed is a piece alone.
+            lines = [text] if text.startswith("\n") or self.LINES.search(text) else text.split("\n")
+            parts: list[str] = []
+            for line in lines:
+                first, *rest = line.split(" ")
+                if parts:
+                    parts.append(LINE_FEED)
+                if first:
+                    parts.append(" " + first)
+                parts += rest
+            units.append(parts)
+            new.update(parts)
         new.difference_update(known)
         met = self._units(list(new))
         if len(known) < REMEMBERED:  # the first units met hold the frequent ones
@@ -154,7 +172,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndar
         pairs, counts = np.unique(keys[free], return_counts=True)
         often = np.flatnonzero(counts >= FREQUENT)
         best = often[np.argsort(-counts[often], kind="stable")][:min(AT_ONCE, SYMBOLS - terminals - len(rules))]
-        if not len(best):
+        if counts[best].sum() < GAIN * len(symbols) or not len(best):
             break
         # Slots by hash; of two pairs in one slot the more frequent is kept, the other waits for the next round.
         slots = np.full(1 << 18, -1, np.int32)

@@ -11,7 +11,7 @@ from casewright.llm import repair_tokens as repair
 from tests.llm.frames import documents, empty
 
 TEXTS = ["a b  c", " lead", "trail ", "x   y", "tab\t z\n q \n r", "\n \n", "  ", " ", "", None, "Hello, world! it's 12345",
-         "é ü 漢字   nbsp", "<|endoftext|> a<|endoftext|>b", "\0 zero \0x", "end\n ", "one two " * 9000, "###" * 500,
+         "é ü 漢字   nbsp", "<|endoftext|> a<|endoftext|>b", "\0 zero \0x", "end\n ", "one\ntwo\nthree four\nfive", "\nlead", "two\n\nlines", "nbsp\n\xa0x", "\xa0\nx y", "a\n\n", "tail\n", "one two " * 9000, "###" * 500,
          "Is and retitioning ouen the of, nterti thorreou ndernt.\nIs ndble whst"]
 
 
@@ -35,10 +35,10 @@ def test_remembered_units_give_the_tokenizers_ids(plain, monkeypatch):
     texts = [t or "" for t in TEXTS] + ["".join(rng.choice("ab, .\n\t 1é'  \xa0\u2003\x1c\x85") for _ in range(30)) for _ in range(3000)]
     assert [e.tolist() for e in encoder.encode(texts)] == [plain(t) for t in texts]
     every = [chr(c) for c in range(0x2E80) if not 0xD800 <= c < 0xE000]
-    texts = ["a " + " ".join("x" + c + "y" + c + m for m in ("", ".", ",", "!") for c in every)]
+    texts = ["a " + " ".join("x" + c + "y" + c + m for m in ("", ".", ",", "!'", "'s", "<|", "%%%") for c in every)]
     assert [e.tolist() for e in encoder.encode(texts)] == [plain(t) for t in texts]
     monkeypatch.setattr(repair, "REMEMBERED", 1)
-    encoder.known = {"b": encoder.known["b"]}
+    encoder.known = {k: encoder.known[k] for k in ("b", repair.LINE_FEED)}
     assert [e.tolist() for e in encoder.encode(texts[:20])] == [plain(t) for t in texts[:20]]
 
 
