@@ -22,7 +22,7 @@ from casewright.llm.common import packed, table
 from casewright.session import cut_lineage
 
 #: Words of a segment; one document is never cut, so a longer one is a segment alone.
-SEGMENT_WORDS = 4_000_000
+SEGMENT_WORDS = 2_000_000
 #: Words of a block of test items: about 1 MB of ids and, at most, as many terms to broadcast.
 BLOCK_WORDS = 200_000
 WINDOW = 13

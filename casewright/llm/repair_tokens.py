@@ -14,6 +14,8 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
+from threading import Timer
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ GAIN = 0.02
 FLAT = 64
 #: Distinct units that a worker keeps the ids of (about 200 MB); later ones are encoded where they are met.
 REMEMBERED = 1_000_000
+#: After so long without a task of this kind they are forgotten.
+IDLE_SECONDS = 5.0
 #: Characters of text whose new units are encoded together.
 TOGETHER = 2_000_000
 MAGIC = 0x31475052
@@ -104,6 +108,9 @@ class Encoder:
         done.update(zip(rest, self._alone([u[1:] if u.startswith(" ") else " " + u for u in rest]), strict=True))
         return done
 
+    def forget(self) -> None:
+        self.known = {LINE_FEED: self.known[LINE_FEED]}
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, and the end id."""
         end, known = np.array([END_ID], "<u2").tobytes(), self.known
@@ -153,13 +160,24 @@ class _Both(dict):
 
 
 _ENCODERS: dict[str, Encoder] = {}
+_TIMERS: dict[str, Timer] = {}
 
 
-def encoder_of(vocabulary: str) -> Encoder:
-    """One per worker process: the tasks that follow each other share what it remembers."""
+@contextmanager
+def encoder_of(vocabulary: str) -> Iterator[Encoder]:
+    """One per worker process: the tasks that follow each other share what it remembers.
+    A worker that does other work for a while gives that memory back."""
+    if vocabulary in _TIMERS:
+        _TIMERS.pop(vocabulary).cancel()
     if vocabulary not in _ENCODERS:
         _ENCODERS[vocabulary] = Encoder(vocabulary)
-    return _ENCODERS[vocabulary]
+    encoder = _ENCODERS[vocabulary]
+    try:
+        yield encoder
+    finally:
+        _TIMERS[vocabulary] = timer = Timer(IDLE_SECONDS, encoder.forget)
+        timer.daemon = True
+        timer.start()
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -270,8 +288,8 @@ def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY, shard_tokens: in
     Null texts are empty; every row is a document, also where ids repeat (then in the
     order of a hash of the text, so that equal ids spread). Other columns are not read.
     """
-    def pack_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = encoder_of(vocabulary), TaskContext.get().partitionId()
+    def packed_parts(batches: Iterator[pa.RecordBatch], encoder: Encoder) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
         ids, documents, tokens, number = [], [], 0, 0
 
         def shard() -> pa.RecordBatch:
@@ -298,6 +316,10 @@ def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY, shard_tokens: in
         if documents:
             yield shard()
 
+    def pack_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with encoder_of(vocabulary) as encoder:
+            yield from packed_parts(batches, encoder)
+
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
                        F.xxhash64("text").alias("h"))
     ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
