@@ -3,9 +3,11 @@
 Around every word that license texts use, a block the size of a template is compressed
 twice with Zstandard: alone, and with the template as a raw dictionary. What the
 dictionary saves, against the template's own compressed size, is the share of the
-template that the block holds. The templates that save most are then compared word by
-word: the fewest words to insert, delete or replace turn the template into some run of
-the block's words, and these differences decide and are reported.
+template that the block holds. It ranks the templates and breaks ties between findings,
+but gives none up: of a template of a few dozen bytes Zstandard's own overhead eats most
+of the saving. Every template whose words the block holds is compared word by word: the
+fewest words to insert, delete or replace turn the template into some run of the
+block's words, and these differences decide and are reported.
 """
 
 from __future__ import annotations
@@ -27,9 +29,6 @@ CUES = ("licens", "copyright", "permission", "redistribution", "warrant", "publi
 _CUE = re.compile("|".join(CUES))
 _WORD = re.compile(r"[^\W_]+")
 LEVEL = 3
-#: Templates that are compared word by word, and the least share of a template that makes it one of them.
-WINNERS = 3
-LEAST_SHARE = 0.4
 #: One difference is allowed per so many words of a template.
 WORDS_PER_DIFFERENCE = 15
 
@@ -118,6 +117,10 @@ class Template:
     def allowed(self) -> int:
         return len(self.words) // WORDS_PER_DIFFERENCE
 
+    def possible(self, present: set[str]) -> bool:
+        """False if so many words are absent that no run can be near enough: each of them is a difference."""
+        return sum(w not in present for w in self.words) <= self.allowed
+
 
 @lru_cache(maxsize=1)
 def templates() -> list[Template]:
@@ -168,6 +171,7 @@ class Finding:
     end: int
     differences: int
     words: int
+    saved: float = 0.0
 
 
 def scan(text: str | None) -> list[Finding]:
@@ -178,42 +182,57 @@ def scan(text: str | None) -> list[Finding]:
     words, places = words_at(text)
     starts = np.array([a for a, _ in places])
     found: dict[tuple[str, int, int], Finding] = {}
-    seen: dict[tuple[str, ...], list[tuple[Template, int, int, int]]] = {}
+    seen: dict[tuple[str, ...], list[tuple[Template, int, int, int, float]]] = {}
     cued = [k for k, w in enumerate(words) if _CUE.search(w) or w == "public" and words[k + 1:k + 2] == ["domain"]]
     reach = max(len(t.words) + t.allowed for t in templates())
     for k in cued:
         around = tuple(words[max(0, k - reach):k + reach + 1])
         if around not in seen:
             seen[around] = _winners(around, min(k, reach))
-        for template, first, last, count in seen[around]:
+        for template, first, last, count, saved in seen[around]:
             a, b = max(0, k - reach) + first, max(0, k - reach) + last
             span = (int(starts[a]), places[b - 1][1])
-            found.setdefault((template.license, *span), Finding(template.license, *span, count, len(template.words)))
+            found.setdefault((template.license, *span), Finding(template.license, *span, count, len(template.words), saved))
     kept: list[Finding] = []
-    for f in sorted(found.values(), key=lambda f: (f.differences - f.words, f.differences, f.start, f.license)):
+    for f in sorted(found.values(), key=lambda f: (f.differences - f.words, f.differences, f.start, -f.saved, f.license)):
         if all(f.end <= other.start or f.start >= other.end for other in kept):
             kept.append(f)
     return sorted(kept, key=lambda f: f.start)
 
 
-def _winners(around: tuple[str, ...], at: int) -> list[tuple[Template, int, int, int]]:
-    """Confirmed templates near the word ``at``: template, first and last word (exclusive), differences."""
-    ranked = []
+def _winners(around: tuple[str, ...], at: int) -> list[tuple[Template, int, int, int, float]]:
+    """Confirmed templates near the word ``at``, those that save most first: template, first and
+    last word (exclusive), differences, share saved."""
+    ranked, present = [], set(around)
     for number, template in enumerate(templates()):
+        if not template.possible(present):
+            continue
         wide = len(template.words) + template.allowed
         lower = max(0, at - wide)
         block = list(around[lower:at + wide + 1])
-        ranked.append((-share(template, block), number, lower, block))
+        if template.possible(set(block)):
+            ranked.append((-share(template, block), number, lower, block))
     ranked.sort(key=lambda r: r[:2])
     out = []
-    for _, number, lower, block in [r for r in ranked if -r[0] >= LEAST_SHARE][:WINNERS]:
+    for less, number, lower, block in ranked:
         template = templates()[number]
-        count, first, last = differences(template.words, block)
-        if count <= template.allowed and last > first:
-            out.append((template, lower + first, lower + last, count))
+        out += [(template, lower + first, lower + last, count, -less) for first, last, count in _runs(template, block)]
     return out
 
 
+def _runs(template: Template, block: list[str]) -> Iterator[tuple[int, int, int]]:
+    """(first, last, differences) of all runs near enough to the template; a block may hold a neighbour's notice too."""
+    parts = [(0, len(block))]
+    while parts:
+        a, b = parts.pop()
+        if not template.possible(set(block[a:b])):
+            continue
+        count, first, last = differences(template.words, block[a:b])
+        if count <= template.allowed and last > first:
+            yield a + first, a + last, count
+            parts += [(a, a + first), (a + last, b)]
+
+
 FOUND = "licenses string, n_found long, exact long, spans string"
 
 

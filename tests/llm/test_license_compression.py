@@ -66,3 +66,44 @@ def test_documents(spark):
     assert [rows[i].licenses for i in range(5)] == ["MIT", "", "", "MIT", "MIT"]
     assert rows[3].spans == "MIT:120000:120030:0" and rows[4].spans == "MIT:2:32:0"
     assert scan.license_scan(docs.union(docs)).count() == 10 and scan.license_scan(empty(spark)).count() == 0
+
+
+#: Words of many shapes, so that filler and notice share nothing that a compressor could use.
+VARIED = random.Random(5)
+
+
+def varied(n):
+    return " ".join("".join(VARIED.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(VARIED.randrange(3, 12))) for _ in range(n))
+
+
+def exact_runs(text):
+    """Brute force: (license, first word, last word) of every verbatim template."""
+    words, _ = scan.words_at(text)
+    for name, texts in scan.TEMPLATES.items():
+        for wanted in (scan.words_at(t)[0] for t in texts):
+            for k in range(len(words) - len(wanted) + 1):
+                if words[k:k + len(wanted)] == wanted:
+                    yield name, k, k + len(wanted)
+
+
+def longest(runs):
+    """Of runs that overlap the longest stays."""
+    kept = []
+    for run in sorted(runs, key=lambda r: (r[1] - r[2], r[1])):
+        if all(run[2] <= k[1] or run[1] >= k[2] for k in kept):
+            kept.append(run)
+    return sorted(kept, key=lambda r: r[1])
+
+
+def found_runs(text):
+    starts = {a: k for k, (a, _) in enumerate(scan.words_at(text)[1])}
+    ends = {b: k + 1 for k, (_, b) in enumerate(scan.words_at(text)[1])}
+    return [(f.license, starts[f.start], ends[f.end]) for f in scan.scan(text)]
+
+
+def test_verbatim_templates_among_varied_words_equal_brute_force():
+    for texts in scan.TEMPLATES.values():
+        for text in texts:
+            for _ in range(8):
+                whole = f"{varied(200)} {text} {varied(200)}"
+                assert found_runs(whole) == longest(exact_runs(whole)) != [], whole
