@@ -182,14 +182,15 @@ def scan(text: str | None) -> list[Finding]:
     words, places = words_at(text)
     starts = np.array([a for a, _ in places])
     found: dict[tuple[str, int, int], Finding] = {}
-    seen: dict[tuple[str, ...], list[tuple[Template, int, int, int, float]]] = {}
+    seen: dict[tuple[tuple[str, ...], int], list[tuple[Template, int, int, int, float]]] = {}
     cued = [k for k, w in enumerate(words) if _CUE.search(w) or w == "public" and words[k + 1:k + 2] == ["domain"]]
     reach = max(len(t.words) + t.allowed for t in templates())
     for k in cued:
         around = tuple(words[max(0, k - reach):k + reach + 1])
-        if around not in seen:
-            seen[around] = _winners(around, min(k, reach))
-        for template, first, last, count, saved in seen[around]:
+        at = min(k, reach)  # in a short text all cues have the same words around them
+        if (around, at) not in seen:
+            seen[around, at] = _winners(around, at)
+        for template, first, last, count, saved in seen[around, at]:
             a, b = max(0, k - reach) + first, max(0, k - reach) + last
             span = (int(starts[a]), places[b - 1][1])
             found.setdefault((template.license, *span), Finding(template.license, *span, count, len(template.words), saved))

@@ -107,3 +107,12 @@ def test_verbatim_templates_among_varied_words_equal_brute_force():
             for _ in range(8):
                 whole = f"{varied(200)} {text} {varied(200)}"
                 assert found_runs(whole) == longest(exact_runs(whole)) != [], whole
+
+
+def test_every_cue_of_a_short_text_is_looked_at():
+    names = [(name, text) for name, texts in scan.TEMPLATES.items() for text in texts if len(scan.words_at(text)[0]) < 15]
+    for name, text in names:
+        for other in ("Check the license first", names[len(text) % len(names)][1]):
+            whole = f"{other} {varied(30)} {text} {varied(30)} {text} {text}"
+            assert found_runs(whole) == longest(exact_runs(whole)), whole
+            assert [n for n, *_ in found_runs(whole)][-3:] == [name] * 3
