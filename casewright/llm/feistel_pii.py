@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from datetime import date
 
@@ -86,12 +86,23 @@ def _put(digits: str, text: str) -> str:
 
 @dataclass(frozen=True)
 class Kind:
-    """``check`` tells whether a match is one; ``change`` is (match, permutation, back) -> pseudonym."""
+    """``check`` tells whether a match is one; ``change`` is (match, permutation, back) -> pseudonym;
+    ``parts`` are the places in a match that are checked, in this order."""
 
     name: str
     pattern: re.Pattern
     check: Callable[[str], bool]
     change: Callable[[str, Permutation, bool], str]
+    parts: Callable[[str], Iterable[tuple[int, int]]] = lambda text: [(0, len(text))]
+
+
+_GROUP = re.compile("[0-9]+")
+
+
+def _shorter(text: str) -> Iterator[tuple[int, int]]:
+    """Parts of a run of digit groups that could be a card, long ones and early ones first."""
+    groups = [m.span() for m in _GROUP.finditer(text)]
+    yield from sorted(((a, b) for i, (a, _) in enumerate(groups) for _, b in groups[i:]), key=lambda s: (s[0] - s[1], s[0]))
 
 
 def _card_ok(text: str) -> bool:
@@ -138,10 +149,16 @@ def _plan(national: str) -> bool:
 
 
 def _phone_ok(text: str) -> bool:
+    """The sign of a country is enough; without it the number must follow the numbering plan."""
     digits = _digits(text)
-    if text.startswith("+") and not text.startswith("+1"):
-        return 8 <= len(digits) <= 15 and digits[0] != "0"
-    return _plan(digits[-10:]) and digits[:-10] in ("", "1")
+    if text.startswith("+1"):
+        return len(digits) == 11
+    return 8 <= len(digits) <= 15 if text.startswith("+") else _plan(digits)
+
+
+def _phone_parts(text: str) -> Iterator[tuple[int, int]]:
+    """The whole match, then without its last groups: digits that follow a number may be none of its own."""
+    return ((0, m.end()) for m in reversed(list(re.finditer(r"[0-9]+\)?", text))))
 
 
 def _phone(text: str, p: Permutation, back: bool) -> str:
@@ -149,7 +166,9 @@ def _phone(text: str, p: Permutation, back: bool) -> str:
     if text.startswith("+") and not text.startswith("+1"):
         kept, rest = digits[:2], digits[2:]  # the country stays
         return _put(kept + str(p.of(f"phone {kept}", 10 ** len(rest), int(rest), back=back)).zfill(len(rest)), text)
-    new = str(p.of("phone", 10 ** 10, int(digits[-10:]), lambda v: _plan(str(v).zfill(10)), back)).zfill(10)
+    # Numbers inside the numbering plan stay inside, others outside.
+    inside = _plan(digits[-10:])
+    new = str(p.of("phone", 10 ** 10, int(digits[-10:]), lambda v: _plan(str(v).zfill(10)) == inside, back)).zfill(10)
     return _put(digits[:-10] + new, text)
 
 
@@ -212,22 +231,16 @@ KINDS = (
     Kind("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"),
          lambda t: True, _email),
     Kind("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), _iban_ok, _iban),
-    Kind("card", re.compile(_D + r"[0-9](?:[ -]?[0-9]){12,18}" + _E), _card_ok, _card),
-    Kind("phone", re.compile(r"(?<![0-9+])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}" + _E
-                             + r"|(?<![0-9+])\+[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6}" + _E), _phone_ok, _phone),
+    Kind("card", re.compile(_D + r"[0-9](?:[ -]?[0-9]){12,18}" + _E), _card_ok, _card, _shorter),
+    Kind("phone", re.compile(r"(?<![0-9+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}" + _E
+                             + r"|(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}" + _E
+                             + r"|(?<![0-9+])\+[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6}" + _E), _phone_ok, _phone, _phone_parts),
     Kind("social", re.compile(_D + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _E), _social_ok, _social),
     Kind("address", re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"), _address_ok, _address),
     Kind("date", re.compile(_D + r"[0-9]{4}-[0-9]{2}-[0-9]{2}" + _E
                             + r"|(?<![0-9./])[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4}(?![./]?[0-9])"),
          lambda t: _day(t) is not None, _date),
 )
-_GROUP = re.compile("[0-9]+")
-
-
-def _shorter(text: str) -> Iterator[tuple[int, int]]:
-    """Parts of a run of digit groups that could be a card, long ones and early ones first."""
-    groups = [m.span() for m in _GROUP.finditer(text)]
-    yield from sorted(((a, b) for i, (a, _) in enumerate(groups) for _, b in groups[i:]), key=lambda s: (s[0] - s[1], s[0]))
 
 
 def find(text: str) -> list[tuple[int, int, int]]:
@@ -235,14 +248,20 @@ def find(text: str) -> list[tuple[int, int, int]]:
     if not re.search("[0-9].?[0-9]|@", text):
         return []
     found: list[tuple[int, int, int]] = []
-    for number, kind in enumerate(KINDS):
+    other = bytearray(len(text))
+    # Phones last: of their parts those come first that leave what other kinds have found.
+    for number, kind in sorted(enumerate(KINDS), key=lambda k: k[1].name == "phone"):
         at = 0
         while m := kind.pattern.search(text, at):
-            a, b = m.span()
-            spans = ((a + i, a + j) for i, j in _shorter(m.group())) if kind.name == "card" else [(a, b)]
+            a = m.start()
+            spans = ((a + i, a + j) for i, j in kind.parts(m.group()))
+            if kind.name == "phone":
+                spans = sorted(spans, key=lambda s: any(other[s[0]:s[1]]))
             span = next(((i, j) for i, j in spans if kind.check(text[i:j])), None)
             if span:
                 found.append((*span, number))
+                if kind.name != "phone":
+                    other[span[0]:span[1]] = b"\1" * (span[1] - span[0])
             # A match that fails its check may hide one that begins a little later.
             at = span[1] if span else _next_group(text, a)
     found.sort(key=lambda f: (f[2], f[0]))

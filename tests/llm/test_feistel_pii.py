@@ -74,3 +74,27 @@ def test_documents(spark):
     assert rows[0].text.split()[1] == rows[4].text.split()[1] != "a1@b.example.com"
     assert rows[1].text is None and rows[2].text == "" and rows[3].n_card == 1 and rows[0].n_email == 1 and out.count() == 10
     assert pii.pseudonyms(empty(spark), "key").count() == 0
+
+
+def kinds_of(text):
+    new, spans = pii.pseudonymize(text, P)
+    assert pii.pseudonymize(new, P, back=True)[0] == text
+    return new, [(pii.KINDS[k].name, text[a:b]) for a, b, k in spans]
+
+
+def test_every_telephone_number_with_its_country_is_replaced():
+    for value in ("+1 (017) 555-7713", "+1 (132) 555-1352", "+1 269 155 3296", "+12695553296", "+1 2695553296", "+1(269)555-3296", "+10175557713"):
+        new, found = kinds_of(f"call {value}, now")
+        assert found == [("phone", value)] and value not in new
+    digits = lambda v: pii._digits(pii.pseudonymize(v, P)[0])
+    assert digits("+12695553296") == digits("+1 (269) 555-3296") and digits("+10175557713") == digits("+1 (017) 555-7713")
+    assert pii._plan(digits("+1 (269) 555-3296")[1:]) and not pii._plan(digits("+1 (017) 555-7713")[1:])
+
+
+def test_digits_behind_a_foreign_number_do_not_hide_it():
+    for value in ("+49 30 1234567", "+44 20 7946 0958", "+493012345678"):
+        for kind, other in (("card", "4944339490429605"), ("address", "102.168.1.10"), ("date", "2001-07-05"), (None, "77777777"), ("email", "8@x.org")):
+            text = f"call {value} {other}."
+            new, spans = pii.pseudonymize(text, P)
+            found = [(pii.KINDS[k].name, text[a:b]) for a, b, k in spans]
+            assert found == [("phone", value)] + [(kind, other)] * (kind is not None) and value not in new, (value, other, found)
