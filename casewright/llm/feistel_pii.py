@@ -25,6 +25,12 @@ ROUNDS = 10
 #: Name of the Spark setting with the secret key; without it a key for tests is used.
 KEY_SETTING = "spark.casewright.pii.key"
 TEST_KEY = "not a secret"
+#: Characters of an IBAN by country.
+IBAN_SIZES = {country: size for size, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}.items() for country in countries.split()}
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
 
@@ -123,6 +129,14 @@ def _iban_ok(text: str) -> bool:
     return 15 <= len(plain) <= 34 and iban_rest(plain) == 1
 
 
+def _iban_parts(text: str) -> list[tuple[int, int]]:
+    """Capitals and digits that follow may be none of the number: the groups that make up the country's
+    size, then the whole match, then, of a country without a known size, all with fewer groups."""
+    ends, own = [k for k, c in enumerate(text + " ") if c == " "], IBAN_SIZES.get(text[:2])
+    fits = [e for e in ends if e - text.count(" ", 0, e) == own]
+    return [(0, e) for e in [*fits, *(ends[::-1] if own is None else ends[-1:])]]
+
+
 def _iban(text: str, p: Permutation, back: bool) -> str:
     """Letters and digits of the account keep their kind and place; the check digits follow."""
     plain = text.replace(" ", "")
@@ -230,7 +244,7 @@ _E = r"(?![0-9])"
 KINDS = (
     Kind("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"),
          lambda t: True, _email),
-    Kind("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), _iban_ok, _iban),
+    Kind("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), _iban_ok, _iban, _iban_parts),
     Kind("card", re.compile(_D + r"[0-9](?:[ -]?[0-9]){12,18}" + _E), _card_ok, _card, _shorter),
     Kind("phone", re.compile(r"(?<![0-9+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}" + _E
                              + r"|(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}" + _E

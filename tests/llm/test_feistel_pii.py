@@ -98,3 +98,15 @@ def test_digits_behind_a_foreign_number_do_not_hide_it():
             new, spans = pii.pseudonymize(text, P)
             found = [(pii.KINDS[k].name, text[a:b]) for a, b, k in spans]
             assert found == [("phone", value)] + [(kind, other)] * (kind is not None) and value not in new, (value, other, found)
+
+
+def test_words_and_numbers_behind_an_iban_do_not_hide_it():
+    for value in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"):
+        for other in ("BIC: COBADEFF", "BIC", "EUR 50", "50 EUR", "1234", "A B C", "GB82 WEST", ""):
+            new, found = kinds_of(f"to {value} {other}")
+            assert found == [("iban", value)] and value not in new, (value, other, found)
+    two = "DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32"
+    assert kinds_of(two)[1] == [("iban", two[:27]), ("iban", two[28:])]
+    check = 98 - pii.iban_rest("ZZ00" + "1234567890123456")
+    assert kinds_of(f"ZZ{check:02d} 1234 5678 9012 3456 EUR")[1] == [("iban", f"ZZ{check:02d} 1234 5678 9012 3456")]
+    assert "iban" not in dict(kinds_of("DE89 3704 0044 0532 0130 01 EUR 50")[1])
