@@ -14,6 +14,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from datetime import date
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -46,9 +47,7 @@ class Permutation:
 
     def _network(self, name: str, n: int, value: int, back: bool) -> int:
         """On pairs (left, right) with left < a, right < b, a * b >= n: rounds add to each in turn."""
-        b = max(1, int(n ** 0.5))
-        while b * b < n:
-            b += 1
+        b = isqrt(n - 1) + 1
         a = -(-n // b)
         left, right = divmod(value, b)
         for k in reversed(range(ROUNDS)) if back else range(ROUNDS):

@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 
 import pytest
 
@@ -110,3 +112,12 @@ def test_words_and_numbers_behind_an_iban_do_not_hide_it():
     check = 98 - pii.iban_rest("ZZ00" + "1234567890123456")
     assert kinds_of(f"ZZ{check:02d} 1234 5678 9012 3456 EUR")[1] == [("iban", f"ZZ{check:02d} 1234 5678 9012 3456")]
     assert "iban" not in dict(kinds_of("DE89 3704 0044 0532 0130 01 EUR 50")[1])
+
+
+def test_long_mail_names_end():
+    rng = random.Random(3)
+    program = "import sys; from casewright.llm import feistel_pii as pii; p = pii.Permutation('key'); " \
+              "assert all(pii.pseudonymize(pii.pseudonymize(t, p)[0], p, back=True)[0] == t != pii.pseudonymize(t, p)[0] for t in sys.argv[1:])"
+    for size in (48, 64):
+        names = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(size)) + "@b.example.com" for _ in range(20)]
+        subprocess.run([sys.executable, "-c", program, *names], check=True, timeout=15)
