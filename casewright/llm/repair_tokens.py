@@ -30,11 +30,9 @@ END_ID = 2
 SHARD_TOKENS = 2_000_000
 #: Symbols have 16 bits: ids of the tokenizer first, nonterminals after them.
 SYMBOLS = 65_536
-#: A pair must be this frequent to become a rule, so many become rules at once, and a round goes on
-#: only if its pairs cover such a share of the symbols.
-FREQUENT = 32
-AT_ONCE = 4096
-GAIN = 0.02
+#: A pair must be this frequent to become a rule, and so many become rules at once.
+FREQUENT = 16
+AT_ONCE = 2048
 #: Expansions up to this length are looked up; longer rules are first replaced by their parts.
 FLAT = 64
 #: Distinct units that a worker keeps the ids of (about 200 MB); later ones are encoded where they are met.
@@ -190,7 +188,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndar
         pairs, counts = np.unique(keys[free], return_counts=True)
         often = np.flatnonzero(counts >= FREQUENT)
         best = often[np.argsort(-counts[often], kind="stable")][:min(AT_ONCE, SYMBOLS - terminals - len(rules))]
-        if counts[best].sum() < GAIN * len(symbols) or not len(best):
+        if not len(best):
             break
         # Slots by hash; of two pairs in one slot the more frequent is kept, the other waits for the next round.
         slots = np.full(1 << 18, -1, np.int32)

@@ -76,3 +76,13 @@ def test_repeated_and_null_ids_and_empty_tables(spark, plain):
     assert [r.doc_id for r in rows] == [None] * 3 + [0, 0, 1, 1, 2, 2]
     assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows)])[:-1].tolist()
     assert repair.written_and_read(empty(spark)).count() == 0
+
+
+def test_rules_are_made_until_no_pair_is_frequent():
+    ids = np.arange(20_000) % 20_011
+    for k in range(16):  # a pair that covers well under a hundredth of the symbols
+        ids[100 + 1000 * k:102 + 1000 * k] = 30_000, 30_001
+    ends = np.zeros(len(ids), bool)
+    ends[-1] = True
+    symbols, _, rules = repair.compress(ids, ends, 50_000)
+    assert rules.tolist() == [[30_000, 30_001]] and len(symbols) == len(ids) - 16
