@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from casewright.llm import attention_lm, budget_mix, feistel_pii, golay_dedup, gru_language, histogram_topk, license_compression, positional_index, repair_tokens, secret_ledger
+from casewright.llm import attention_lm, budget_mix, feistel_pii, golay_dedup, gru_language, histogram_topk, level_products, license_compression, positional_index, repair_tokens, secret_ledger
 
 QUERIES = {
     "op10_feistel_pii": feistel_pii.op10_feistel_pii,
@@ -15,10 +15,12 @@ QUERIES = {
     "op5_golay_dedup": golay_dedup.op5_golay_dedup,
     "op6_positional_index": positional_index.op6_positional_index,
     "op8_secret_ledger": secret_ledger.op8_secret_ledger,
+    "op11_level_products": level_products.op11_level_products,
 }
 
 ORACLES = {
     "op7_histogram_topk": histogram_topk.ORACLE_SQL,
     "op6_positional_index": positional_index.ORACLE_SQL,
     "op8_secret_ledger": secret_ledger.ORACLE_SQL,
+    "op11_level_products": level_products.ORACLE_SQL,
 }
