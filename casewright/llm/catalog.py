@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from casewright.llm import attention_lm, budget_mix, feistel_pii, golay_dedup, gru_language, histogram_topk, level_products, license_compression, positional_index, repair_tokens, secret_ledger
+from casewright.llm import attention_lm, budget_mix, chat_masks, feistel_pii, golay_dedup, gru_language, histogram_topk, level_products, license_compression, positional_index, repair_tokens, secret_ledger, table_kmeans
 
 QUERIES = {
     "op10_feistel_pii": feistel_pii.op10_feistel_pii,
@@ -16,6 +16,8 @@ QUERIES = {
     "op6_positional_index": positional_index.op6_positional_index,
     "op8_secret_ledger": secret_ledger.op8_secret_ledger,
     "op11_level_products": level_products.op11_level_products,
+    "op12_chat_masks": chat_masks.op12_chat_masks,
+    "op13_table_kmeans": table_kmeans.op13_table_kmeans,
 }
 
 ORACLES = {
@@ -23,4 +25,6 @@ ORACLES = {
     "op6_positional_index": positional_index.ORACLE_SQL,
     "op8_secret_ledger": secret_ledger.ORACLE_SQL,
     "op11_level_products": level_products.ORACLE_SQL,
+    "op12_chat_masks": chat_masks.ORACLE_SQL,
+    "op13_table_kmeans": table_kmeans.ORACLE_SQL,
 }
