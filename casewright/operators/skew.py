@@ -46,3 +46,22 @@ def salted_join(rows: DataFrame, per_key: DataFrame, keys: list[str], weight: st
     )
     copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return placed.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
+def spread_join(rows: DataFrame, others: DataFrame, keys: list[str], share: int = HEAVY_SHARE) -> DataFrame:
+    """Inner equi-join of two sides that both repeat their keys.
+
+    A key that carries more than ``1/share`` of ``rows`` is spread over several salts and
+    its ``others`` are copied to each. Fewer than ``share`` keys can be that heavy, which
+    bounds the broadcast table. The salt is a hash of the row, so a recomputed task places
+    its rows exactly as before. Both sides are read several times.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = rows.agg(F.count("*")).scalar()
+    heavy = F.broadcast(
+        counts.filter(F.col("_n") * share > total)
+        .select(*keys, F.ceil(F.col("_n") * share / total).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    placed = rows.join(heavy, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), salts).cast("int")).drop("_salts")
+    copies = others.join(heavy, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return placed.join(copies, [*keys, "_salt"]).drop("_salt")

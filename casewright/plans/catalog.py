@@ -7,14 +7,17 @@ the exact arithmetic is done, dates and times become text.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from casewright.functions.rows import once
-from casewright.operators import correlation, lookups, retrieval, rules, structuring, timeline
+from casewright.operators import (
+    correlation, impact_index, intervals, lookups, reach, retrieval, rules, structuring, timeline)
+from casewright.operators.index_segments import SegmentedIndex
 from casewright.plans import incident, investigation
-from casewright.session import cut_lineage
+from casewright.session import cut_lineage, own_folder
 from casewright.sources import incident_parsers as parse, warehouse as w
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -207,15 +210,39 @@ def rank_documents(spark, sf_dir):
     return plain(retrieval.rank_documents(_index(spark, sf_dir), QUESTION, retrieval.bm25))
 
 
+def _user_questions(spark, sf_dir):
+    return w.table(spark, sf_dir, "conversations").filter("role = 'user'").select(
+        F.concat_ws("-", "conv_id", "turn").alias("question_id"), F.col("text").alias("question"))
+
+
 def policy_evidence(spark, sf_dir):
     """Best passages of the benchmark texts for every user turn."""
-    questions = w.table(spark, sf_dir, "conversations").filter("role = 'user'").select(
-        F.concat_ws("-", "conv_id", "turn").alias("question_id"), F.col("text").alias("question"))
+    questions = _user_questions(spark, sf_dir)
     passages = retrieval.index_rows(retrieval.chunk_documents(w.table(spark, sf_dir, "benchmark"), source="item_id"))
     return plain(retrieval.retrieve_policy_evidence(passages, questions).select(
         "question_id", "rank", "chunk_id", "score"))
 
 
+def evidence_topk_pruned(spark, sf_dir):
+    """Best passages of all documents for every user turn, through an impact index."""
+    index = impact_index.build(_index(spark, sf_dir))
+    return plain(impact_index.evidence_topk(index, _user_questions(spark, sf_dir)).select(
+        "question_id", "rank", "chunk_id", "score"))
+
+
+def index_after_changes(spark, sf_dir):
+    """Term figures of a document index that went through four changes: all documents, the
+    French ones taken away, one source's put back with a line more, the benchmark added."""
+    documents, benchmark = w.table(spark, sf_dir, "documents"), w.table(spark, sf_dir, "benchmark")
+    texts = documents.select(F.col("doc_id").cast("string").alias("source"), "text", "lang", F.col("source").alias("origin"))
+    index = SegmentedIndex(spark, f"{own_folder(spark)}/segments-{uuid.uuid4().hex}")
+    index.change(texts)
+    index.change(removed=texts.filter("lang = 'fr'"))
+    index.change(texts.filter("origin = 'src3'").withColumn("text", F.concat("text", F.lit("\n\nAmended afterwards."))))
+    index.change(benchmark.select(F.concat(F.lit("item-"), F.col("item_id")).alias("source"), "text"))
+    return plain(index.term_statistics())
+
+
 def vector_search(spark, sf_dir):
     """Nearest embeddings to the mean of all embeddings."""
     vectors = w.table(spark, sf_dir, "embeddings")
@@ -313,6 +340,44 @@ def component_paths(spark, sf_dir):
     return plain(correlation.component_paths(tops.unionByName(leaves[0]).unionByName(leaves[1]).unionByName(orders)))
 
 
+def component_reach(spark, sf_dir):
+    """Orders of a customer as calls, each to the next two by date: as many paths as rabbits,
+    of which only the shortest count."""
+    along = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    called = F.array(*(F.lead("o_orderkey", n).over(along).cast("string") for n in (1, 2)))
+    edges = w.table(spark, sf_dir, "orders").withColumn("called", called).select(
+        F.col("o_custkey").cast("string").alias("incident"), F.col("o_orderkey").cast("string").alias("parent"),
+        F.explode("called").alias("child"))
+    return plain(reach.component_reach(edges))
+
+
+def call_cycles(spark, sf_dir):
+    """Nations that supply each other in a circle, by priority: each calls the nation that
+    supplies most of its quantity."""
+    table = lambda name: w.table(spark, sf_dir, name)
+    traded = (
+        table("lineitem").join(table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .filter("s_nationkey <> c_nationkey")
+        .groupBy(F.col("o_orderpriority").alias("incident"), "c_nationkey", "s_nationkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("quantity")))
+    most = Window.partitionBy("incident", "c_nationkey").orderBy(F.desc("quantity"), "s_nationkey")
+    edges = traded.withColumn("place", F.row_number().over(most)).filter("place = 1").select(
+        "incident", *(F.format_string("N%02d", c).alias(n) for c, n in (("c_nationkey", "parent"), ("s_nationkey", "child"))))
+    return plain(reach.call_cycles(reach.component_reach(edges)))
+
+
+def deployments_in_force(spark, sf_dir):
+    """Every deployment that was less than twelve hours old when its component wrote an
+    error line, whatever the incident."""
+    tables = _tables(spark, sf_dir)
+    errors = tables["logs"].filter("level = 'ERROR'").select("component", F.col("attrs")["event_id"].alias("event_id"), "ts")
+    spans = tables["deployments"].select(
+        "component", "version", F.col("ts").alias("deployed_at"), (F.col("ts") + F.expr("INTERVAL 12 HOURS")).alias("until"))
+    return plain(intervals.holding(errors, spans, ["component"], "ts", "deployed_at", "until").select(
+        "component", "event_id", "version"))
+
+
 def incident_reports(spark, sf_dir):
     reports = incident.incident_reports(_tables(spark, sf_dir), INCIDENT_CALIBRATION)
     return plain(reports.select(
@@ -385,6 +450,8 @@ QUERIES: dict[str, Query] = {
     "policy_document": policy_document,
     "rank_documents": rank_documents,
     "policy_evidence": policy_evidence,
+    "evidence_topk_pruned": evidence_topk_pruned,
+    "index_after_changes": index_after_changes,
     "vector_topk": vector_search,
     "log_events": log_events,
     "deployments": deployments,
@@ -399,6 +466,9 @@ QUERIES: dict[str, Query] = {
     "evidence_rows": evidence_rows,
     "before_and_after": before_and_after,
     "component_paths": component_paths,
+    "component_reach": component_reach,
+    "call_cycles": call_cycles,
+    "deployments_in_force": deployments_in_force,
     "incident_reports": incident_reports,
     "case_sections": case_sections,
     "answer_members": answer_members,

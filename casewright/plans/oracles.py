@@ -172,6 +172,29 @@ INCIDENT = f"WITH {OPS}, {CATALOGUES}, {HYPOTHESES}, {SCORED}"
 _asks = f"""questions AS (
   SELECT 'Q-' || payment_id AS question_id, payment_id, {_case('currency', QUESTION_OF_CURRENCY)} AS question, currency FROM payments)"""
 
+def _evidence(table: str, key: str) -> str:
+    """Best passages of a table's texts for every user turn."""
+    return f"""WITH {_chunks(table, key)},
+    words AS (SELECT chunk_id, {_tokens('text')} AS tokens FROM chunks),
+    postings AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(tokens) AS term FROM words) GROUP BY ALL),
+    norms AS (SELECT chunk_id, sqrt(sum(pow(1 + ln(tf), 2))) AS norm FROM postings GROUP BY 1),
+    df AS (SELECT term, count(*) AS df FROM postings GROUP BY 1),
+    questions AS (SELECT concat_ws('-', conv_id, turn) AS question_id, {_tokens('text')} AS tokens FROM conversations WHERE role = 'user'),
+    asked AS (SELECT question_id, term, count(*) AS qtf FROM (SELECT question_id, unnest(tokens) AS term FROM questions) GROUP BY ALL),
+    weights AS (SELECT question_id, term, (1 + ln(qtf)) * ln((SELECT count(*) FROM chunks) / df) AS weight FROM asked JOIN df USING (term)),
+    qnorms AS (SELECT question_id, sqrt(sum(pow(weight, 2))) AS qnorm FROM weights GROUP BY 1),
+    scores AS (SELECT question_id, chunk_id, round(sum(weight * (1 + ln(tf)) / norm) / any_value(qnorm), 6) AS score
+      FROM weights JOIN postings USING (term) JOIN norms USING (chunk_id) JOIN qnorms USING (question_id) GROUP BY ALL),
+    fetched AS (SELECT * FROM scores WHERE score > 0
+      QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) <= 10),
+    covered AS (SELECT question_id, chunk_id, count(*) AS hits FROM asked JOIN postings USING (term) GROUP BY ALL),
+    sizes AS (SELECT question_id, count(*) AS terms FROM asked GROUP BY 1),
+    rescored AS (SELECT question_id, chunk_id, score * hits / terms AS score
+      FROM fetched JOIN covered USING (question_id, chunk_id) JOIN sizes USING (question_id))
+    SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score
+    FROM rescored QUALIFY rank <= 3"""
+
+
 ORACLES: dict[str, str] = {
     "client_profiles": f"WITH {NATIONS}, {CLIENTS}, {PROFILES} SELECT * FROM profiles",
     "client_profile_lookup": f"WITH {NATIONS}, {CLIENTS}, {PROFILES} SELECT * FROM profiles WHERE client_id = {SINGLE_CLIENT}",
@@ -238,25 +261,15 @@ ORACLES: dict[str, str] = {
     "keyword_overlap_topk": f"{OVERLAP} {TOP_TEN}",
     "policy_document": "SELECT doc_id, source, md5(text) AS text_md5 FROM documents WHERE source = 'src7'",
     "rank_documents": f"{BM25} SELECT source, max(score) AS score FROM scores WHERE score > 0 GROUP BY 1",
-    "policy_evidence": f"""WITH {_chunks('benchmark', 'item_id')},
-        words AS (SELECT chunk_id, {_tokens('text')} AS tokens FROM chunks),
-        postings AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(tokens) AS term FROM words) GROUP BY ALL),
-        norms AS (SELECT chunk_id, sqrt(sum(pow(1 + ln(tf), 2))) AS norm FROM postings GROUP BY 1),
-        df AS (SELECT term, count(*) AS df FROM postings GROUP BY 1),
-        questions AS (SELECT concat_ws('-', conv_id, turn) AS question_id, {_tokens('text')} AS tokens FROM conversations WHERE role = 'user'),
-        asked AS (SELECT question_id, term, count(*) AS qtf FROM (SELECT question_id, unnest(tokens) AS term FROM questions) GROUP BY ALL),
-        weights AS (SELECT question_id, term, (1 + ln(qtf)) * ln((SELECT count(*) FROM chunks) / df) AS weight FROM asked JOIN df USING (term)),
-        qnorms AS (SELECT question_id, sqrt(sum(pow(weight, 2))) AS qnorm FROM weights GROUP BY 1),
-        scores AS (SELECT question_id, chunk_id, round(sum(weight * (1 + ln(tf)) / norm) / any_value(qnorm), 6) AS score
-          FROM weights JOIN postings USING (term) JOIN norms USING (chunk_id) JOIN qnorms USING (question_id) GROUP BY ALL),
-        fetched AS (SELECT * FROM scores WHERE score > 0
-          QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) <= 10),
-        covered AS (SELECT question_id, chunk_id, count(*) AS hits FROM asked JOIN postings USING (term) GROUP BY ALL),
-        sizes AS (SELECT question_id, count(*) AS terms FROM asked GROUP BY 1),
-        rescored AS (SELECT question_id, chunk_id, score * hits / terms AS score
-          FROM fetched JOIN covered USING (question_id, chunk_id) JOIN sizes USING (question_id))
-        SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score
-        FROM rescored QUALIFY rank <= 3""",
+    "policy_evidence": _evidence("benchmark", "item_id"),
+    "evidence_topk_pruned": _evidence("documents", "doc_id"),
+    "index_after_changes": f"""WITH texts AS (
+          SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents
+          WHERE (lang IS NULL OR lang <> 'fr') AND (source IS NULL OR source <> 'src3')
+          UNION ALL SELECT CAST(doc_id AS VARCHAR), text || chr(10) || chr(10) || 'Amended afterwards.' FROM documents WHERE source = 'src3'
+          UNION ALL SELECT 'item-' || item_id, text FROM benchmark),
+        {_chunks('texts', 'id')}, t AS (SELECT chunk_id, unnest({_tokens('text')}) AS term FROM chunks)
+        SELECT term, count(DISTINCT chunk_id) AS chunk_count, count(*) AS term_count FROM t GROUP BY 1""",
     "vector_topk": """WITH axes AS (SELECT unnest(range(1, 65)) AS i),
         mean AS (SELECT i, round(avg(CAST(embedding[i] AS DOUBLE)), 9) AS x FROM embeddings, axes GROUP BY i),
         dots AS (SELECT vec_id, label, sum(CAST(embedding[i] AS DOUBLE) * x) AS dot FROM embeddings, mean GROUP BY ALL)
@@ -302,6 +315,24 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT r_name, n_name, name, 1 FROM leaves UNION ALL SELECT r_name, r_name, name, 2 FROM leaves
         UNION ALL SELECT r_name, unnest([c_name, n_name, r_name]), 'Order#' || o_orderkey, unnest([1, 2, 3])
           FROM orders JOIN customer ON o_custkey = c_custkey JOIN n ON c_nationkey = n_nationkey""",
+    "component_reach": """WITH RECURSIVE o AS (
+          SELECT o_custkey AS k, o_orderkey AS a, unnest([lead(o_orderkey) OVER by_date, lead(o_orderkey, 2) OVER by_date]) AS b
+          FROM orders WINDOW by_date AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+        e AS (SELECT * FROM o WHERE b IS NOT NULL),
+        r AS (SELECT k, a, b, CAST(1 AS BIGINT) AS hops FROM e
+              UNION SELECT r.k, r.a, e.b, r.hops + 1 FROM r JOIN e ON e.k = r.k AND e.a = r.b)
+        SELECT CAST(k AS VARCHAR) AS incident, CAST(a AS VARCHAR) AS ancestor, CAST(b AS VARCHAR) AS component, min(hops) AS hops
+        FROM r GROUP BY ALL""",
+    "call_cycles": """WITH RECURSIVE t AS (SELECT o_orderpriority AS m, c_nationkey AS a, s_nationkey AS b, sum(CAST(l_quantity AS BIGINT)) AS n
+          FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey
+          JOIN customer ON o_custkey = c_custkey WHERE s_nationkey <> c_nationkey GROUP BY ALL),
+        e AS (SELECT m, a, b FROM t QUALIFY row_number() OVER (PARTITION BY m, a ORDER BY n DESC, b) = 1),
+        r AS (SELECT m, a, b FROM e UNION SELECT r.m, r.a, e.b FROM r JOIN e ON e.m = r.m AND e.a = r.b)
+        SELECT x.m AS incident, printf('N%02d', x.a) AS component, printf('N%02d', min(least(x.a, x.b))) AS cycle,
+               count(DISTINCT x.b) AS members
+        FROM r x JOIN r y ON y.m = x.m AND y.a = x.b AND y.b = x.a GROUP BY x.m, x.a""",
+    "deployments_in_force": f"""WITH {OPS} SELECT l.component, l.event_id, d.version FROM logs l JOIN deploys d
+        ON d.component = l.component AND d.ts <= l.ts AND l.ts < d.ts + INTERVAL 12 HOUR WHERE l.level = 'ERROR'""",
     "incident_reports": f"""{INCIDENT},
         leads AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY incident
           ORDER BY confidence_score DESC, line_count DESC, first_ts, component, signature) = 1),
