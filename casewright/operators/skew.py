@@ -48,8 +48,8 @@ def salted_join(rows: DataFrame, per_key: DataFrame, keys: list[str], weight: st
     return placed.join(copies, [*keys, "_salt"]).drop("_salt")
 
 
-def spread_join(rows: DataFrame, others: DataFrame, keys: list[str], share: int = HEAVY_SHARE) -> DataFrame:
-    """Inner equi-join of two sides that both repeat their keys.
+def spread_join(rows: DataFrame, others: DataFrame, keys: list[str], share: int = HEAVY_SHARE, how: str = "inner") -> DataFrame:
+    """Equi-join (``inner`` or ``left``) of two sides that may both repeat their keys.
 
     A key that carries more than ``1/share`` of ``rows`` is spread over several salts and
     its ``others`` are copied to each. Fewer than ``share`` keys can be that heavy, which
@@ -64,4 +64,4 @@ def spread_join(rows: DataFrame, others: DataFrame, keys: list[str], share: int
     salts = F.coalesce("_salts", F.lit(1))
     placed = rows.join(heavy, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), salts).cast("int")).drop("_salts")
     copies = others.join(heavy, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
-    return placed.join(copies, [*keys, "_salt"]).drop("_salt")
+    return placed.join(copies, [*keys, "_salt"], how).drop("_salt")
