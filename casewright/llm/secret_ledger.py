@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from casewright.llm.common import table
+from casewright.operators.skew import spread_join
 from casewright.session import cut_lineage, own_folder
 
 
@@ -150,8 +151,8 @@ def scan_versions(spark: SparkSession, versions: DataFrame, folder: str, path: s
 
 
 def at_paths(addressed: DataFrame, findings: DataFrame, rules=RULES) -> DataFrame:
-    """Findings of the given rules at every path: blobs have one row each before the join,
-    so a blob at a third of all paths is split by the adaptive join and copies only there."""
+    """Findings of the given rules at every path. Blobs have one row each before the join; a
+    blob at very many paths is spread over tasks, and its row copied to each of them."""
     known = F.create_map(*(part for rank, rule in enumerate(rules) for part in (
         F.lit(rule.version), F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.base).alias("base"),
                                       F.lit(rank).alias("rank")))))
@@ -160,7 +161,7 @@ def at_paths(addressed: DataFrame, findings: DataFrame, rules=RULES) -> DataFram
         F.array_sort(F.collect_list(F.struct("f.start", F.col("f.rule.rank").alias("rank"), "f.end",
                                              F.col("f.rule.kind").alias("kind"),
                                              F.col("f.rule.base").alias("base")))).alias("found"))
-    return addressed.join(per_blob, "blob", "left")
+    return spread_join(addressed, cut_lineage(per_blob), ["blob"], how="left")
 
 
 def _digest(found: Column) -> Column:

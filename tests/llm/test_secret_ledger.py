@@ -63,3 +63,22 @@ def test_no_python_on_the_executors(spark, tmp_path, capsys):
     docs = documents(spark, TEXTS)
     ledger.report(ledger.scan_versions(spark, docs, str(tmp_path / "ledger"))).explain()
     assert "Python" not in capsys.readouterr().out
+
+
+def test_a_blob_at_most_paths_is_spread_over_tasks(spark, tmp_path):
+    text = "a password = 'abcdefghijkl' end"
+    docs = documents(spark, [text] * 4000 + TEXTS)
+    per_path = ledger.scan_versions(spark, docs, str(tmp_path / "ledger"))
+    plan = per_path._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        sizes = [len(part) for part in per_path.select("blob").rdd.glom().collect()]
+        assert max(sizes) < 2500  # of 4013 rows, in four tasks
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    rows = ledger.report(per_path).collect()
+    assert len(rows) == 4000 + len(TEXTS) and {tuple(r)[1:] for r in rows if r.doc_id < 4000} == {expected(text)}
