@@ -234,22 +234,40 @@ def _windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sample(docs: DataFrame, training: Column, per_language: int = SAMPLE_DOCS) -> list:
     """Training windows (lang, h, k, window) of the documents with the least hashes of each language.
 
-    The hashes are found on narrow rows; texts are read for those documents only. Rows
-    that share an id share a hash: then the bound, not the choice, holds.
+    A hash is of id and text, so rows that share one are equal and count once. How many
+    rows a language has tells below which hash about twice as many as are wanted must lie;
+    only those are ranked, so no language ever meets in one task. Where repeated rows leave
+    too few of them, the bound is moved up.
     """
-    labelled = docs.select("text", "lang", F.xxhash64(F.lit(SEED), "doc_id").alias("h"), training.alias("use")).filter(
+    labelled = docs.select("text", "lang", F.xxhash64(F.lit(SEED), "doc_id", "text").alias("h"), training.alias("use")).filter(
         F.col("use") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    last = labelled.select("lang", "h").withColumn("rank", rank).filter(F.col("rank") <= per_language).groupBy("lang").agg(
-        F.max("h").alias("last")).collect()
-    if not last:
+    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    if not sizes:
         return []
-    wanted = F.create_map(*(F.lit(part) for row in last for part in (row.lang, row.last)))
-    chosen = labelled.filter(F.col("h") <= wanted[F.col("lang")]).orderBy("h").limit(2 * per_language * len(last))
+
+    def up_to(bounds: dict[str, int]) -> Column:
+        return F.create_map(*(F.lit(part) for pair in bounds.items() for part in pair))[F.col("lang")]
+
+    share = {lang: min(1.0, 2 * per_language / size) for lang, size in sizes.items()}
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    while True:
+        near = labelled.filter(F.col("h") <= up_to({lang: _bound(part) for lang, part in share.items()})).select("lang", "h").distinct()
+        found = {r.lang: r for r in near.withColumn("rank", rank).filter(F.col("rank") <= per_language).groupBy("lang").agg(
+            F.max("h").alias("last"), F.count("*").alias("n")).collect()}
+        few = [lang for lang, part in share.items() if part < 1 and (lang not in found or found[lang].n < per_language)]
+        if not few:
+            break
+        share.update({lang: min(1.0, 4 * share[lang]) for lang in few})
+    chosen = labelled.filter(F.col("h") <= up_to({lang: r["last"] for lang, r in found.items()})).dropDuplicates(["lang", "h"])
     windows = chosen.select("lang", "h", "text").mapInArrow(_windows, "lang string, h long, k int, window binary").collect()
     return sorted(windows, key=lambda r: (r.lang, r.h, r.k, bytes(r.window)))
 
 
+def _bound(share: float) -> int:
+    """The hash below which this share of all hashes lies."""
+    return -2 ** 63 + max(0, min(2 ** 64 - 1, int(share * 2 ** 64)))
+
+
 def trained(docs: DataFrame, training: Column) -> Model | None:
     """A model of the languages in ``docs`` (text, lang, doc_id), or None where no row can be learned from."""
     rows = sample(docs, training)

@@ -81,3 +81,14 @@ def test_nothing_to_learn_from(spark):
     assert gru.trained(unlabelled, gru.learnable()) is None
     assert gru.known_language(unlabelled).count() == 24
     assert gru.known_language(empty(spark)).count() == 0
+
+
+def test_the_sample_is_the_least_hashes_whatever_repeats(spark):
+    rows = [(i, f"text {i}", "aa" if i % 3 else "bb", "s", 0) for i in range(900)]
+    rows += [(None, f"text {i % 40}", "bb", "s", 0) for i in range(4000)]  # most rows of a language are copies
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    every = docs.select("lang", F.xxhash64(F.lit(gru.SEED), "doc_id", "text").alias("h")).distinct().collect()
+    for wanted in (1, 10, 320, 2000):
+        want = {lang: sorted(r.h for r in every if r.lang == lang)[:wanted] for lang in ("aa", "bb")}
+        got = gru.sample(docs, F.lit(True), wanted)
+        assert [(r.lang, r.h) for r in got] == [(lang, h) for lang in ("aa", "bb") for h in want[lang]]
