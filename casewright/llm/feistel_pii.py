@@ -4,12 +4,14 @@ Numbers and dates that pass their own checks (Luhn, IBAN modulus, numbering plan
 octets, calendar) are mapped onto others of the same format by a keyed permutation: a
 Feistel network over the integers of the format, walked on until the value is valid
 again. Equal values become equal pseudonyms in every document and punctuation, and the
-key turns them back. Signs, spaces and brackets stay where they are.
+key turns them back. Signs, spaces and brackets stay where they are, and so does the width
+of every part: a day of one digit becomes a day of one digit, and is linked to those alone.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -26,6 +28,8 @@ ROUNDS = 10
 #: Name of the Spark setting with the secret key; without it a key for tests is used.
 KEY_SETTING = "spark.casewright.pii.key"
 TEST_KEY = "not a secret"
+#: Characters on both sides of a value that are read with its pseudonym.
+AROUND = 100
 #: Characters of an IBAN by country.
 IBAN_SIZES = {country: size for size, countries in {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
@@ -42,28 +46,40 @@ class Permutation:
         self.key = hashlib.blake2b(key.encode(), digest_size=32).digest()
 
     def _round(self, name: str, n: int, k: int, half: int) -> int:
-        data = f"{name} {n} {k} {half}".encode()
-        return int.from_bytes(hashlib.blake2b(data, digest_size=32, key=self.key).digest(), "big")
+        """As many bits as a half of ``n`` has, and more."""
+        data = f"{name} {n:x} {k} {half:x}".encode()
+        parts = (hashlib.blake2b(data, digest_size=32, key=self.key, salt=at.to_bytes(8, "big")).digest()
+                 for at in range(n.bit_length() // 384 + 1))
+        return int.from_bytes(b"".join(parts), "big")
 
     def _network(self, name: str, n: int, value: int, back: bool) -> int:
-        """On pairs (left, right) with left < a, right < b, a * b >= n: rounds add to each in turn."""
+        """On pairs (left, right) with left < a, right < b, a * b >= n: rounds add to each in turn.
+        A number from ``n`` on is walked over."""
         b = isqrt(n - 1) + 1
         a = -(-n // b)
-        left, right = divmod(value, b)
-        for k in reversed(range(ROUNDS)) if back else range(ROUNDS):
-            sign = -1 if back else 1
-            if k % 2:
-                right = (right + sign * self._round(name, n, k, left)) % b
-            else:
-                left = (left + sign * self._round(name, n, k, right)) % a
-        return left * b + right
+        while True:
+            left, right = divmod(value, b)
+            for k in reversed(range(ROUNDS)) if back else range(ROUNDS):
+                sign = -1 if back else 1
+                if k % 2:
+                    right = (right + sign * self._round(name, n, k, left)) % b
+                else:
+                    left = (left + sign * self._round(name, n, k, right)) % a
+            value = left * b + right
+            if value < n:
+                return value
 
     def of(self, name: str, n: int, value: int, valid: Callable[[int], bool] = lambda v: True, back: bool = False) -> int:
-        """The pseudonym of ``value``: walks the cycle on until it meets a number under ``n``
-        that is ``valid``. ``value`` must be such a number itself, so the walk ends there at last."""
+        """The pseudonym of ``value``: through the network, a secret distance on, and back through
+        it, which maps no number onto itself; on along this cycle until it meets a number that
+        is ``valid``. ``value`` must be such a number itself, so the walk ends there at last."""
+        if n == 1:
+            return value
+        distance = 1 + self._round(name, n, ROUNDS, 0) % (n - 1)
         while True:
-            value = self._network(name, n, value, back)
-            if value < n and valid(value):
+            place = self._network(name, n, value, False)
+            value = self._network(name, n, (place + (-distance if back else distance)) % n, True)
+            if valid(value):
                 return value
 
 
@@ -89,15 +105,19 @@ def _put(digits: str, text: str) -> str:
     return "".join(next(new) if c in "0123456789" else c for c in text)
 
 
+#: Whether a pseudonym may stand where the value stood.
+Accept = Callable[[str], bool]
+
+
 @dataclass(frozen=True)
 class Kind:
-    """``check`` tells whether a match is one; ``change`` is (match, permutation, back) -> pseudonym;
+    """``check`` tells whether a match is one; ``change`` is (match, permutation, back, accept) -> pseudonym;
     ``parts`` are the places in a match that are checked, in this order."""
 
     name: str
     pattern: re.Pattern
     check: Callable[[str], bool]
-    change: Callable[[str, Permutation, bool], str]
+    change: Callable[[str, Permutation, bool, Accept], str]
     parts: Callable[[str], Iterable[tuple[int, int]]] = lambda text: [(0, len(text))]
 
 
@@ -115,12 +135,14 @@ def _card_ok(text: str) -> bool:
     return 13 <= len(digits) <= 19 and luhn(digits[:-1]) == int(digits[-1]) and len(set(digits)) > 1
 
 
-def _card(text: str, p: Permutation, back: bool) -> str:
+def _card(text: str, p: Permutation, back: bool, accept: Accept) -> str:
     body = _digits(text)[:-1]
-    # The first digit names the kind of card and stays.
-    n = 10 ** (len(body) - 1)
-    new = body[0] + str(p.of("card " + body[0], n, int(body[1:]), lambda v: v > 0 or body[0] != "0", back)).zfill(len(body) - 1)
-    return _put(new + str(luhn(new)), text)
+
+    def put(v: int) -> str:
+        new = body[0] + str(v).zfill(len(body) - 1)  # the first digit names the kind of card and stays
+        return _put(new + str(luhn(new)), text)
+
+    return put(p.of("card " + body[0], 10 ** (len(body) - 1), int(body[1:]), lambda v: (v > 0 or body[0] != "0") and accept(put(v)), back))
 
 
 def _iban_ok(text: str) -> bool:
@@ -136,7 +158,7 @@ def _iban_parts(text: str) -> list[tuple[int, int]]:
     return [(0, e) for e in [*fits, *(ends[::-1] if own is None else ends[-1:])]]
 
 
-def _iban(text: str, p: Permutation, back: bool) -> str:
+def _iban(text: str, p: Permutation, back: bool, accept: Accept) -> str:
     """Letters and digits of the account keep their kind and place; the check digits follow."""
     plain = text.replace(" ", "")
     country, account = plain[:2], plain[4:]
@@ -145,15 +167,17 @@ def _iban(text: str, p: Permutation, back: bool) -> str:
     for c, s in zip(account, shape, strict=True):
         base, digit = (10, int(c)) if s == "9" else (26, ord(c) - 65)
         value, n = value * base + digit, (n or 1) * base
-    value = p.of(f"iban {country} {shape}", n, value, back=back)
-    new = []
-    for s in reversed(shape):
-        value, digit = divmod(value, 10 if s == "9" else 26)
-        new.append(str(digit) if s == "9" else chr(65 + digit))
-    account = "".join(reversed(new))
-    check = 98 - iban_rest(country + "00" + account)
-    new_plain = iter(f"{country}{check:02d}{account}")
-    return "".join(c if c == " " else next(new_plain) for c in text)
+
+    def put(v: int) -> str:
+        new = []
+        for s in reversed(shape):
+            v, digit = divmod(v, 10 if s == "9" else 26)
+            new.append(str(digit) if s == "9" else chr(65 + digit))
+        account = "".join(reversed(new))
+        new_plain = iter(f"{country}{98 - iban_rest(country + '00' + account):02d}{account}")
+        return "".join(c if c == " " else next(new_plain) for c in text)
+
+    return put(p.of(f"iban {country} {shape}", n, value, lambda v: accept(put(v)), back))
 
 
 def _plan(national: str) -> bool:
@@ -161,12 +185,18 @@ def _plan(national: str) -> bool:
     return len(national) == 10 and national[0] > "1" and national[3] > "1"
 
 
+def _abroad(text: str) -> str | None:
+    """Digits behind the sign of a country, a plus or two zeros; None without a sign."""
+    digits = _digits(text)
+    return digits if text.startswith("+") else digits[2:] if text.startswith("00") else None
+
+
 def _phone_ok(text: str) -> bool:
     """The sign of a country is enough; without it the number must follow the numbering plan."""
-    digits = _digits(text)
-    if text.startswith("+1"):
-        return len(digits) == 11
-    return 8 <= len(digits) <= 15 if text.startswith("+") else _plan(digits)
+    abroad = _abroad(text)
+    if abroad is None:
+        return _plan(_digits(text))
+    return len(abroad) == 11 if abroad.startswith("1") else 8 <= len(abroad) <= 15
 
 
 def _phone_parts(text: str) -> Iterator[tuple[int, int]]:
@@ -174,15 +204,16 @@ def _phone_parts(text: str) -> Iterator[tuple[int, int]]:
     return ((0, m.end()) for m in reversed(list(re.finditer(r"[0-9]+\)?", text))))
 
 
-def _phone(text: str, p: Permutation, back: bool) -> str:
-    digits = _digits(text)
-    if text.startswith("+") and not text.startswith("+1"):
-        kept, rest = digits[:2], digits[2:]  # the country stays
-        return _put(kept + str(p.of(f"phone {kept}", 10 ** len(rest), int(rest), back=back)).zfill(len(rest)), text)
+def _phone(text: str, p: Permutation, back: bool, accept: Accept) -> str:
+    digits, abroad = _digits(text), _abroad(text)
+    if abroad is not None and not abroad.startswith("1"):
+        kept, rest = abroad[:2], abroad[2:]  # the country stays
+        put = lambda v: _put(digits[:len(digits) - len(abroad)] + kept + str(v).zfill(len(rest)), text)
+        return put(p.of(f"phone {kept}", 10 ** len(rest), int(rest), lambda v: accept(put(v)), back))
     # Numbers inside the numbering plan stay inside, others outside.
     inside = _plan(digits[-10:])
-    new = str(p.of("phone", 10 ** 10, int(digits[-10:]), lambda v: _plan(str(v).zfill(10)) == inside, back)).zfill(10)
-    return _put(digits[:-10] + new, text)
+    put = lambda v: _put(digits[:-10] + str(v).zfill(10), text)
+    return put(p.of("phone", 10 ** 10, int(digits[-10:]), lambda v: _plan(str(v).zfill(10)) == inside and accept(put(v)), back))
 
 
 def _social_ok(text: str) -> bool:
@@ -190,39 +221,119 @@ def _social_ok(text: str) -> bool:
     return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
 
 
-def _social(text: str, p: Permutation, back: bool) -> str:
+def _social(text: str, p: Permutation, back: bool, accept: Accept) -> str:
     shown = lambda v: f"{v // 10 ** 6:03d}-{v // 10 ** 4 % 100:02d}-{v % 10 ** 4:04d}"
-    return shown(p.of("social", 10 ** 9, int(_digits(text)), lambda v: _social_ok(shown(v)), back))
+    return shown(p.of("social", 10 ** 9, int(_digits(text)), lambda v: _social_ok(shown(v)) and accept(shown(v)), back))
 
 
 def _address_ok(text: str) -> bool:
     return all(int(part) < 256 and str(int(part)) == part for part in text.split("."))
 
 
-def _address(text: str, p: Permutation, back: bool) -> str:
+def _address(text: str, p: Permutation, back: bool, accept: Accept) -> str:
     value = int.from_bytes(bytes(map(int, text.split("."))), "big")
-    return ".".join(map(str, p.of("address", 2 ** 32, value, back=back).to_bytes(4, "big")))
+    shown = lambda v: ".".join(map(str, v.to_bytes(4, "big")))
+    return shown(p.of("address", 2 ** 32, value, lambda v: accept(shown(v)), back))
 
 
-def _day(text: str) -> date | None:
-    a, b, c = map(int, re.split("[-./]", text))
-    year, month, day = (a, b, c) if text[4:5] == "-" else (c, a, b) if "/" in text else (c, b, a)
+def _long_address_ok(text: str) -> bool:
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return any(c.isdigit() for c in text)
+
+
+def _long_address(text: str, p: Permutation, back: bool, accept: Accept) -> str:
+    """Hexadecimal digits in their places. In capitals, a number has a letter that shows it."""
+    digits = text.replace(":", "")
+    capitals = digits != digits.lower()
+    shown = lambda v: f"{v:0{len(digits)}x}"
+    place = lambda new: iter(new.upper() if capitals else new)
+
+    def put(new: str) -> str:
+        rest = place(new)
+        return "".join(c if c == ":" else next(rest) for c in text)
+
+    valid = lambda v: _long_address_ok(put(shown(v))) and (not capitals or not shown(v).isdigit()) and accept(put(shown(v)))
+    return put(shown(p.of(f"address {len(digits)}", 16 ** len(digits), int(digits, 16), valid, back)))
+
+
+# Names of the months.
+MONTHS = ("January February March April May June July August September October November December").split()
+_SHORT = [name[:3] for name in MONTHS]
+_NAMED = "|".join([*MONTHS, *_SHORT])
+#: Years of two digits are those of the century that begins here.
+CENTURY = 1950
+
+
+@dataclass(frozen=True)
+class DateForm:
+    """How a date is written: the order of its parts, and which are short. A month of three
+    letters is a short name, also May; a long name is never May."""
+
+    order: str
+    month: int  # digits, or 3 for a short and 4 for a long name
+    day: int
+    year: int
+
+    def fits(self, when: date) -> bool:
+        return ((self.month != 1 or when.month < 10) and (self.month != 4 or when.month != 5) and (self.day != 1 or when.day < 10)
+                and (self.year != 2 or CENTURY <= when.year < CENTURY + 100))
+
+    def written(self, when: date, like: list[str]) -> list[str]:
+        parts = {"y": f"{when.year % 10 ** self.year:0{self.year}d}", "d": f"{when.day:0{self.day}d}", "m": f"{when.month:0{self.month % 4}d}"}
+        if self.month > 2:
+            name, old = (_SHORT if self.month == 3 else MONTHS)[when.month - 1], like[self.order.index("m")]
+            parts["m"] = name.upper() if old.isupper() else name.lower() if old.islower() else name
+        return [parts[c] for c in self.order]
+
+
+_DATE_PARTS = re.compile("[0-9]+|[A-Za-z]+")
+
+
+def _read_date(text: str) -> tuple[date, DateForm, list[str]] | None:
+    """The day, its form, and its parts as written (without the ending of an ordinal)."""
+    parts = _DATE_PARTS.findall(text)
+    if parts[0].isalpha():
+        order = "mdy"
+    elif parts[1].isalpha():
+        order = "dmy"
+    elif len(parts[0]) == 4:
+        order = "ymd"
+    else:
+        order = "mdy" if "/" in text else "dmy"
+    named = dict(zip(order, parts, strict=True))
+    month, short = named["m"], len(named["m"]) == 3
+    number = (_SHORT if short else MONTHS).index(month.title()) + 1 if month.isalpha() else int(month)
+    year = int(named["y"])
+    if len(named["y"]) == 2:
+        year += 1900 + 100 * (year < CENTURY - 1900)
     try:
-        day = date(year, month, day)
+        when = date(year, number, int(named["d"]))
     except ValueError:
         return None
-    return day if FIRST_DAY <= day.toordinal() <= LAST_DAY else None
+    form = DateForm(order, (3 if short else 4) if month.isalpha() else len(month), len(named["d"]), len(named["y"]))
+    return (when, form, parts) if FIRST_DAY <= when.toordinal() <= LAST_DAY and form.fits(when) else None
+
+
+def _day(text: str) -> date | None:
+    found = _read_date(text)
+    return found and found[0]
+
 
+def _date(text: str, p: Permutation, back: bool, accept: Accept) -> str:
+    when, form, parts = _read_date(text)
+    of = lambda v: date.fromordinal(FIRST_DAY + v)
 
-def _date(text: str, p: Permutation, back: bool) -> str:
-    n = LAST_DAY - FIRST_DAY + 1
-    new = date.fromordinal(FIRST_DAY + p.of("date", n, _day(text).toordinal() - FIRST_DAY, back=back))
-    if text[4:5] == "-":
-        return new.isoformat()
-    return f"{new.month:02d}/{new.day:02d}/{new.year}" if "/" in text else f"{new.day:02d}.{new.month:02d}.{new.year}"
+    def put(v: int) -> str:
+        written = iter(form.written(of(v), parts))
+        return _DATE_PARTS.sub(lambda _: next(written), text)
 
+    return put(p.of("date", LAST_DAY - FIRST_DAY + 1, when.toordinal() - FIRST_DAY, lambda v: form.fits(of(v)) and accept(put(v)), back))
 
-def _email(text: str, p: Permutation, back: bool) -> str:
+
+def _email(text: str, p: Permutation, back: bool, accept: Accept) -> str:
     """Letters and digits of the local part keep their kind; the host stays."""
     local, host = text.split("@")
     bases = [10 if c.isdigit() else 26 if c.isalpha() else 1 for c in local]
@@ -230,35 +341,44 @@ def _email(text: str, p: Permutation, back: bool) -> str:
     for c, base in zip(local, bases, strict=True):
         value, n = value * base + (int(c) if base == 10 else ord(c.lower()) - 97 if base == 26 else 0), n * base
     shape = "".join({10: "9", 26: "a"}.get(base, c) for c, base in zip(local, bases, strict=True))
-    value = p.of(f"email {shape} {host.lower()}", n, value, back=back)
-    out = []
-    for c, base in zip(reversed(local), reversed(bases), strict=True):
-        value, digit = divmod(value, base)
-        out.append(str(digit) if base == 10 else chr((65 if c.isupper() else 97) + digit) if base == 26 else c)
-    return "".join(reversed(out)) + "@" + host
+
+    def put(v: int) -> str:
+        out = []
+        for c, base in zip(reversed(local), reversed(bases), strict=True):
+            v, digit = divmod(v, base)
+            out.append(str(digit) if base == 10 else chr((65 if c.isupper() else 97) + digit) if base == 26 else c)
+        return "".join(reversed(out)) + "@" + host
+
+    return put(p.of(f"email {shape} {host.lower()}", n, value, lambda v: accept(put(v)), back))
 
 
 _D = r"(?<![0-9])"
 _E = r"(?![0-9])"
 KINDS = (
-    Kind("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"),
+    Kind("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"),
          lambda t: True, _email),
     Kind("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), _iban_ok, _iban, _iban_parts),
     Kind("card", re.compile(_D + r"[0-9](?:[ -]?[0-9]){12,18}" + _E), _card_ok, _card, _shorter),
     Kind("phone", re.compile(r"(?<![0-9+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}" + _E
                              + r"|(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}" + _E
-                             + r"|(?<![0-9+])\+[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6}" + _E), _phone_ok, _phone, _phone_parts),
+                              + r"|(?<![0-9+])\+[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6}" + _E
+                             + r"|(?<![0-9+])00[1-9][0-9]{0,2}[ .-]\(?[0-9]{1,5}\)?(?:[ .-]?\(?[0-9]{1,5}\)?){1,5}" + _E), _phone_ok, _phone, _phone_parts),
     Kind("social", re.compile(_D + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _E), _social_ok, _social),
     Kind("address", re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"), _address_ok, _address),
-    Kind("date", re.compile(_D + r"[0-9]{4}-[0-9]{2}-[0-9]{2}" + _E
-                            + r"|(?<![0-9./])[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4}(?![./]?[0-9])"),
+    Kind("address", re.compile(r"(?<![0-9A-Za-z:.])(?:::|(?:[0-9A-Fa-f]{1,4}:){1,7}:?)[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){0,7}(?![0-9A-Za-z:.]*[0-9A-Za-z:])"),
+         _long_address_ok, _long_address),
+    Kind("date", re.compile(_D + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2})(?!/?[0-9])"
+                            + r"|(?<![0-9./])(?:[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2})(?![./]?[0-9])"
+                            + rf"|(?i:(?<![0-9A-Za-z])(?:(?:{_NAMED})\.? [0-9]{{1,2}},? [0-9]{{4}}|[0-9]{{1,2}}\.? (?:{_NAMED})\.?,? [0-9]{{4}}))" + _E),
          lambda t: _day(t) is not None, _date),
 )
+#: Names of kinds, each once.
+NAMES = list(dict.fromkeys(kind.name for kind in KINDS))
 
 
 def find(text: str) -> list[tuple[int, int, int]]:
     """(start, end, number of the kind) of all personal data, in order; kinds listed first win where matches overlap."""
-    if not re.search("[0-9].?[0-9]|@", text):
+    if not re.search("[0-9].?[0-9]|@|::", text):
         return []
     found: list[tuple[int, int, int]] = []
     other = bytearray(len(text))
@@ -294,22 +414,48 @@ def _next_group(text: str, at: int) -> int:
 
 
 def pseudonymize(text: str, permutation: Permutation, back: bool = False) -> tuple[str, list[tuple[int, int, int]]]:
-    """The text with all personal data replaced, and where it stood."""
+    """The text with all personal data replaced, and where it stood.
+
+    A pseudonym that would be read otherwise among the words around it (a telephone number
+    whose digits are a card's, say) is passed over for the next one. For that the words
+    before a value are those of the result and the words behind it are the given ones; the
+    way back goes from the end, and so sees the same words.
+    """
     spans = find(text)
-    out, at = [], 0
-    for a, b, number in spans:
-        out += [text[at:a], KINDS[number].change(text[a:b], permutation, back)]
-        at = b
-    return "".join(out) + text[at:], spans
+    out: list[str] = []
+    done = len(text) if back else 0  # so far text is taken over, from this end
+    near = ""  # of the result, beside what is next
+    for a, b, number in reversed(spans) if back else spans:
+        between = text[b:done] if back else text[done:a]
+        near = (between + near)[:AROUND] if back else (near + between)[-AROUND:]
+        left, right = (text[max(0, a - AROUND):a], near) if back else (near, text[b:b + AROUND])
+        seen = _reading(find(left + text[a:b] + right), len(left), b - a)
+
+        def accept(new: str, left=left, right=right, seen=seen) -> bool:
+            return _reading(find(left + new + right), len(left), len(new)) == seen
+
+        new = KINDS[number].change(text[a:b], permutation, back, accept)
+        out += [between, new]
+        near, done = ((new + near)[:AROUND], a) if back else ((near + new)[-AROUND:], b)
+    out.append(text[:done] if back else text[done:])
+    return "".join(reversed(out) if back else out), spans
+
+
+def _reading(found: list[tuple[int, int, int]], begin: int, size: int) -> list[tuple[int, int, int]]:
+    """What was found, with places behind the value counted from its end."""
+    end = begin + size
+    place = lambda at: at if at <= begin else -1 if at == end else at - end if at > end else at - begin + 10 ** 6
+    return [(place(a), place(b), k) for a, b, k in found]
 
 
 def pseudonyms(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with pseudonyms in ``text``, and n_<kind> counts; all other columns stay.
+    """``docs`` with pseudonyms in ``text``, and n_<kind> counts, which take the place of
+    columns of these names; all other columns stay.
 
-    Null texts stay null. Every row is handled by itself, and equal values agree because
+    Null texts stay null and have counts of 0. A text without personal data stays as it is. Every row is handled by itself, and equal values agree because
     the permutation has no state, so nothing is shuffled.
     """
-    counts = [f"n_{kind.name}" for kind in KINDS]
+    counts = [f"n_{name}" for name in NAMES]
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         permutation = Permutation(key)
@@ -319,8 +465,8 @@ def pseudonyms(docs: DataFrame, key: str) -> DataFrame:
                 text = text.as_py()
                 new, spans = (None, []) if text is None else pseudonymize(text, permutation)
                 texts.append(new)
-                numbers.append([sum(s[2] == k for s in spans) for k in range(len(KINDS))])
-            columns = [pa.array([n[k] for n in numbers], pa.int64()) for k in range(len(KINDS))]
+                numbers.append([sum(KINDS[s[2]].name == name for s in spans) for name in NAMES])
+            columns = [pa.array([n[k] for n in numbers], pa.int64()) for k in range(len(NAMES))]
             yield pa.RecordBatch.from_arrays([part["row"], pa.array(texts, pa.string()), *columns], names=["row", "new", *counts])
 
     others = [c for c in docs.columns if c not in ("text", *counts)]
