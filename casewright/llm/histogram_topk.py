@@ -33,19 +33,24 @@ _LONG = 2 ** 63
 
 
 def whole_vectors(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): components as floor(256 x); vectors that are null or hold a null or
+    """(vec_id, v): components as doubles; vectors that are null or hold a null or
     non-finite component are left out, and so are rows without an id."""
     x = F.transform("embedding", lambda c: c.cast("double"))
     finite = F.forall(x, lambda c: F.coalesce(F.abs(c) < F.lit(float("inf")), F.lit(False)) & ~F.isnan(c))
-    # As doubles: floor() of a column gives a long, which large components exceed.
-    scaled = F.transform(x, lambda c: c * SCALE)
     return vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite).select(
-        F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v"))
+        F.col("vec_id").cast("long").alias("vec_id"), x.alias("v"))
+
+
+def whole_numbers(x: np.ndarray) -> np.ndarray:
+    """floor(256 x), as doubles, which hold it exactly, or as numbers of Python where it exceeds them."""
+    if np.abs(x).max(initial=0) < 2.0 ** 1000:
+        return np.floor(x * SCALE)
+    return np.array([int(c) * SCALE if abs(c) >= 2 ** 53 else int(np.floor(c * SCALE)) for c in x.tolist()], dtype=object)
 
 
 def _matrix(column: pa.ListArray) -> list[np.ndarray]:
     offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-    return [np.floor(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return [whole_numbers(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
 def scores(queries: list[np.ndarray], rows: list[np.ndarray]) -> np.ndarray:
@@ -54,7 +59,8 @@ def scores(queries: list[np.ndarray], rows: list[np.ndarray]) -> np.ndarray:
     and a score outside a long becomes the nearest long."""
     width = max(len(v) for v in (*queries, *rows))
     q, r = (np.stack([np.pad(v, (0, width - len(v))) for v in part]) for part in (queries, rows))
-    if np.abs(q).max(initial=0) * np.abs(r).max(initial=0) * max(width, 1) < EXACT:
+    doubles = q.dtype != object and r.dtype != object
+    if doubles and np.abs(q).max(initial=0) * np.abs(r).max(initial=0) * max(width, 1) < EXACT:
         return (q @ r.T).astype(np.int64)
     big = np.vectorize(int, otypes=[object])
     return np.clip(big(q) @ big(r).T, -_LONG, _LONG - 1).astype(np.int64)
@@ -154,6 +160,8 @@ def topk(vectors: DataFrame, k: int = K, step: int = QUERY_STEP, block: int = BL
     Rows whose id is divisible by ``step`` are queries, against all other rows; rows of
     one id are each other's own. Ties go to the smaller id. A repeated query row is one
     query if its vector is equal; of different vectors of one id the first in order counts.
+    Products are exact at any size; a score that no long holds counts as the nearest long,
+    so such scores tie.
     """
     spark = vectors.sparkSession
     all_rows = cut_lineage(whole_vectors(vectors))
@@ -162,7 +170,7 @@ def topk(vectors: DataFrame, k: int = K, step: int = QUERY_STEP, block: int = BL
     rows = asked.orderBy("vec_id").toLocalIterator()
     while some := list(islice(rows, block)):
         ids = np.array([r.vec_id for r in some], np.int64)
-        queries = [np.floor(np.array(r.v, float)) for r in some]
+        queries = [whole_numbers(np.array(r.v, float)) for r in some]
         kth = kth_scores(all_rows, ids, queries, k)
         near = all_rows.mapInArrow(_selected(ids, queries, kth, k), "query_id long, vec_id long, score long")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -55,3 +55,15 @@ def test_fewer_candidates_than_k_and_large_components(spark):
 def test_empty_vectors_and_tables(spark):
     assert run(spark, [(0, []), (1, [])]) == [(0, 1, 1, 0)]
     assert topk.topk(empty(spark, SCHEMA)).count() == 0
+
+
+def test_doubles_whose_products_exceed_doubles(spark):
+    rows = [(0, [1.7e308, 1.0, -1.0]), (1, [1.6e308, 0.0, 0.5]), (2, [-1.7e308, 0.25, 0.0]), (3, [0.0, 2.0, -3.5]), (50, [1.0, 1.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    exact = {i: [int(x) * 256 if abs(x) > 2 ** 53 else math.floor(256 * x) for x in e] for i, e in rows}
+    clip = lambda s: max(-2 ** 63, min(2 ** 63 - 1, s))
+    want = []
+    for q in (0, 50):
+        found = sorted((-clip(sum(a * b for a, b in zip(exact[q], v, strict=True))), i) for i, v in exact.items() if i != q)
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found[:5])]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.topk(frame).collect()) == sorted(want)
