@@ -37,7 +37,12 @@ def word_count(text: Column) -> Column:
 
 
 def sized(docs: DataFrame, kept: list[str], seed: int = SEED) -> DataFrame:
-    """row (the ``kept`` columns), src (never null), size, h and bucket (seeded hashes) of each document."""
+    """row (the ``kept`` columns), src (never null), size, h and bucket (seeded hashes) of each document.
+
+    A null text has size 0, a null source is a source of its own, after all others. Every
+    row is a document, also where ids or whole rows repeat; ``kept`` columns are carried in
+    a struct, so that none can clash. An empty table gives no rows.
+    """
     h = F.xxhash64(F.lit(seed), "doc_id", "text")
     return docs.select(
         F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"),
@@ -138,7 +143,12 @@ def _plan(counted: pa.Table) -> pa.Table:
 
 def mix(rows: DataFrame, lengths: DataFrame) -> DataFrame:
     """row, size, source_size, target, copies of ``rows``; ``lengths``: the same documents
-    as (src, size, bucket), which may be a narrower table."""
+    as (src, size, bucket), which may be a narrower table.
+
+    A document of size 0 is never needed and gets no copies of use; a source without words
+    has target 0. Documents of equal source, size and hash are taken in any order, which
+    changes no count of words. An empty table gives no rows.
+    """
     buckets = cut_lineage(lengths.groupBy("src", "size", "bucket").agg(F.count("*").alias("n")))
     counted = buckets.groupBy("src", "size").agg(F.sum("n").alias("n"))
     wanted = targets(counted.groupBy("src").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")))

@@ -55,7 +55,11 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, fp): one row per row of ``docs``; other columns are not read."""
+    """(doc_id, text_hash, fp): one row per row of ``docs``; other columns are not read.
+
+    Null and empty texts and those without a word have fingerprint 0, a text of one or two
+    words that of its whole sequence. Rows that repeat give equal rows; a null id stays null.
+    """
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             fps = [fingerprint(text.as_py()) for text in part["text"]]

@@ -278,7 +278,12 @@ def trained(docs: DataFrame, training: Column) -> Model | None:
 
 
 def predict(rows: DataFrame, model: Model | None, kept: str) -> DataFrame:
-    """``kept``, lang_pred and score of ``rows`` (kept, text)."""
+    """``kept``, lang_pred and score of ``rows`` (kept, text).
+
+    A null text, and one without any letter, is ``und`` with score 0; without a model every
+    text is. Every row is predicted by itself, also where rows repeat; texts are read whole,
+    in windows. An empty table gives no rows, other columns are never read.
+    """
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             texts = part["text"].to_pylist()
