@@ -23,22 +23,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of linked fingerprints stays, the least id."""
+    """One row of each group of linked fingerprints stays, the least id. Null and empty texts
+    are one group; of repeated rows one stays. All columns are carried, whatever their names."""
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows go of which a twentieth or more of the words are benchmark windows."""
+    """Rows go of which a twentieth or more of the words are benchmark windows. Texts without
+    words stay; without benchmark items all rows do."""
     return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it: not at all, once or twice."""
+    """Each row as often as the mix takes it: not at all, once or twice. Texts without words
+    go, a null source is one of its own."""
     return mixed(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Compressed shards of token ids are written, and each document is decoded from them."""
+    """Compressed shards of token ids are written, and each document is decoded from them: one
+    row per row, in the order of ids (null first), also where ids repeat."""
     return written_and_read(docs)
 
 
