@@ -16,7 +16,7 @@ from casewright.functions.rows import once
 from casewright.operators import (
     correlation, impact_index, intervals, lookups, reach, retrieval, rules, structuring, timeline)
 from casewright.operators.index_segments import SegmentedIndex
-from casewright.plans import incident, investigation
+from casewright.plans import incident, investigation, sql_tools
 from casewright.session import cut_lineage, own_folder
 from casewright.sources import incident_parsers as parse, warehouse as w
 
@@ -68,6 +68,14 @@ def client_profile_lookup(spark, sf_dir):
     return plain(lookups.get_client_profile(w.client_profiles(spark, sf_dir), SINGLE_CLIENT))
 
 
+def tool_calls_in_sql(spark, sf_dir):
+    """Each client's payment history by a lateral call of the tool, counted and summed."""
+    sql_tools.register(w.payments(spark, sf_dir), w.clients(spark, sf_dir), _index(spark, sf_dir))
+    return plain(spark.sql("""
+        SELECT c.client_id, c.country, count(*) AS payment_count, sum(p.amount) AS total_amount
+        FROM tool_clients c, LATERAL get_client_payments(c.client_id) p GROUP BY ALL"""))
+
+
 def clients_by_country(spark, sf_dir):
     return plain(lookups.get_clients_by_country(w.clients(spark, sf_dir), "Singapore"))
 
@@ -177,7 +185,8 @@ def _chunks(spark, sf_dir):
 
 
 def _index(spark, sf_dir):
-    return retrieval.index_rows(_chunks(spark, sf_dir))
+    """Built by the first query that asks, and read by all others."""
+    return retrieval.kept_index(_chunks(spark, sf_dir), f"{sf_dir}/documents.parquet")
 
 
 def clean_documents(spark, sf_dir):
@@ -424,6 +433,7 @@ def payment_answers(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     "client_profiles": client_profiles,
     "client_profile_lookup": client_profile_lookup,
+    "tool_calls_in_sql": tool_calls_in_sql,
     "clients_by_country": clients_by_country,
     "payment_lookup": payment_lookup,
     "client_payments": client_payments,

@@ -198,6 +198,9 @@ def _evidence(table: str, key: str) -> str:
 ORACLES: dict[str, str] = {
     "client_profiles": f"WITH {NATIONS}, {CLIENTS}, {PROFILES} SELECT * FROM profiles",
     "client_profile_lookup": f"WITH {NATIONS}, {CLIENTS}, {PROFILES} SELECT * FROM profiles WHERE client_id = {SINGLE_CLIENT}",
+    "tool_calls_in_sql": f"""WITH {NATIONS}, {CLIENTS}, {PAYMENTS}
+        SELECT client_id, country, count(*) AS payment_count, CAST(sum(amount) AS DOUBLE) AS total_amount
+        FROM clients JOIN payments USING (client_id) GROUP BY ALL""",
     "clients_by_country": f"WITH {NATIONS}, {CLIENTS} SELECT * FROM clients WHERE country = 'Singapore'",
     "payment_lookup": f"{PAY} SELECT {PAYMENT_COLUMNS} FROM payments ORDER BY payments.amount DESC, payment_id DESC LIMIT 1",
     "client_payments": f"{PAY} SELECT {PAYMENT_COLUMNS} FROM payments WHERE client_id = {SINGLE_CLIENT}",
