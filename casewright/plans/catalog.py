@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from casewright.functions.rows import once
 from casewright.operators import (
-    correlation, impact_index, intervals, lookups, reach, retrieval, rules, structuring, timeline)
+    correlation, impact_index, intervals, lookups, reach, retrieval, rules, structuring, templates,
+    timeline)
 from casewright.operators.index_segments import SegmentedIndex
 from casewright.plans import incident, investigation, sql_tools
 from casewright.session import cut_lineage, own_folder
@@ -376,6 +377,13 @@ def call_cycles(spark, sf_dir):
     return plain(reach.call_cycles(reach.component_reach(edges)))
 
 
+def message_templates(spark, sf_dir):
+    """Templates of log lines with their level and component."""
+    logs = _tables(spark, sf_dir)["logs"]
+    lines = logs.select(F.concat_ws(" ", "level", "component", "message").alias("message"))
+    return plain(templates.message_templates(lines))
+
+
 def deployments_in_force(spark, sf_dir):
     """Every deployment that was less than twelve hours old when its component wrote an
     error line, whatever the incident."""
@@ -479,6 +487,7 @@ QUERIES: dict[str, Query] = {
     "component_reach": component_reach,
     "call_cycles": call_cycles,
     "deployments_in_force": deployments_in_force,
+    "message_templates": message_templates,
     "incident_reports": incident_reports,
     "case_sections": case_sections,
     "answer_members": answer_members,

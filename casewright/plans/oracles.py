@@ -172,6 +172,23 @@ INCIDENT = f"WITH {OPS}, {CATALOGUES}, {HYPOTHESES}, {SCORED}"
 _asks = f"""questions AS (
   SELECT 'Q-' || payment_id AS question_id, payment_id, {_case('currency', QUESTION_OF_CURRENCY)} AS question, currency FROM payments)"""
 
+def _templates(depth: int, branches: int) -> str:
+    """Templates of log lines: one level of the tree after the other."""
+    levels = "".join(f"""
+    c{n} AS (SELECT node, count(DISTINCT w[{n}]) AS children FROM r{n - 1} WHERE len(w) >= {n} GROUP BY 1),
+    r{n} AS (SELECT CASE WHEN len(w) >= {n} AND children > {branches} THEN list_concat(w[1:{n - 1}], ['<*>'], w[{n + 1}:]) ELSE w END AS w, n, CASE WHEN len(w) < {n} THEN node WHEN children > {branches} THEN node || '|<*>' ELSE node || '|' || w[{n}] END AS node
+             FROM r{n - 1} LEFT JOIN c{n} USING (node)),""" for n in range(1, depth + 1))
+    return f"""lines AS (SELECT list_filter(string_split_regex(concat_ws(' ', level, component, message), '\\s+'), lambda x: x <> '') AS t FROM logs),
+    r0 AS (SELECT w, count(*) AS n, CAST(len(w) AS VARCHAR) AS node FROM (SELECT list_transform(
+      t, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM lines) WHERE len(w) > 0 GROUP BY w),{levels}
+    places AS (SELECT node, i, CASE WHEN min(w[i]) = max(w[i]) THEN min(w[i]) ELSE '<*>' END AS x
+               FROM (SELECT node, w, unnest(range(1, len(w) + 1)) AS i FROM r{depth}) GROUP BY node, i),
+    texts AS (SELECT node, string_agg(x, ' ' ORDER BY i) AS template FROM places GROUP BY node),
+    counts AS (SELECT node, sum(n) AS n, count(*) AS k FROM r{depth} GROUP BY node)
+    SELECT template, CAST(sum(n) AS BIGINT) AS message_count, CAST(sum(k) AS BIGINT) AS wording_count
+    FROM counts JOIN texts USING (node) GROUP BY template"""
+
+
 def _evidence(table: str, key: str) -> str:
     """Best passages of a table's texts for every user turn."""
     return f"""WITH {_chunks(table, key)},
@@ -336,6 +353,7 @@ ORACLES: dict[str, str] = {
         FROM r x JOIN r y ON y.m = x.m AND y.a = x.b AND y.b = x.a GROUP BY x.m, x.a""",
     "deployments_in_force": f"""WITH {OPS} SELECT l.component, l.event_id, d.version FROM logs l JOIN deploys d
         ON d.component = l.component AND d.ts <= l.ts AND l.ts < d.ts + INTERVAL 12 HOUR WHERE l.level = 'ERROR'""",
+    "message_templates": f"WITH {OPS}, {_templates(4, 8)}",
     "incident_reports": f"""{INCIDENT},
         leads AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY incident
           ORDER BY confidence_score DESC, line_count DESC, first_ts, component, signature) = 1),
