@@ -86,3 +86,12 @@ def test_rules_are_made_until_no_pair_is_frequent():
     ends[-1] = True
     symbols, _, rules = repair.compress(ids, ends, 50_000)
     assert rules.tolist() == [[30_000, 30_001]] and len(symbols) == len(ids) - 16
+
+
+def test_a_word_is_remembered_once_whatever_marks_follow_it():
+    encoder = repair.Encoder()
+    text = " ".join(f"w{c}rd{mark}" for c in "aeiou" for mark in ("", ",", ".", ";", "!?", ")."))
+    assert encoder.encode([text] * 2)[1].tolist() == [
+        *encoder.tokenizer.encode(text, add_special_tokens=False).ids, repair.END_ID]
+    assert len(encoder.known) <= 1 + 5 + 1 + 2  # the line feed, the words, the first unit
+    assert set(encoder.marks) == {",", ".", ";", "!?", ")."}
