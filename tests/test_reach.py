@@ -68,3 +68,14 @@ def test_one_component_is_called_by_most_and_no_edges(spark):
     edges = [("x", f"c{i}", "hub") for i in range(300)] + [("x", "hub", f"d{i}") for i in range(20)]
     assert run(spark, edges)[1] == brute(edges)
     assert run(spark, [])[1] == {}
+
+
+@pytest.mark.parametrize("small", [0, 8, 500])
+def test_small_incidents_are_walked_and_large_ones_doubled(spark, monkeypatch, small):
+    monkeypatch.setattr(reach, "SMALL", small)
+    stored = []
+    cut = reach.cut_lineage
+    monkeypatch.setattr(reach, "cut_lineage", lambda df: stored.append(1) or cut(df))
+    edges = [("x", f"c{i:02d}", f"c{i + k:02d}") for i in range(20) for k in (1, 2)] + [("y", "a", "b"), ("y", "b", "a"), ("y", "b", "c")]
+    assert run(spark, edges)[1] == brute(edges)
+    assert len(stored) == 2 if small == 500 else len(stored) > 2
