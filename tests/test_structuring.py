@@ -93,3 +93,11 @@ def test_one_currency_of_any_length_is_never_mixed(make_payments):
             ("5", "C3", "B", "GB", "5.00", "USDT", "2026-01-01"), ("6", "C3", "B", "GB", "5.00", "USD", "2026-01-01")]
     found = {r.client_id: r.currency for r in structuring.beneficiary_windows(make_payments(rows)).collect()}
     assert found == {"C1": "USDT", "C2": None, "C3": "mixed"}
+
+
+def test_without_a_heavy_key_there_is_no_salt(spark):
+    rows = spark.range(200).selectExpr("id % 100 AS key", "id AS value")
+    per_key = spark.range(100).selectExpr("id AS key", "2L AS n")
+    joined = salted_join(rows, per_key, ["key"], "n", share=10, small_rows=0)
+    assert joined.count() == 200
+    assert "_salt" not in joined._jdf.queryExecution().optimizedPlan().toString()
