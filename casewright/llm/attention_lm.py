@@ -1,10 +1,12 @@
 """Language-model scores from a causal self-attention model over subword ids.
 
 The model predicts the class of the next subword (classes come from the company that
-subwords keep) with one layer of masked self-attention, trained in numpy on windows
-from a sample that grows with the texts; the subword within its class follows its counts over
-all training texts, alone and after the subword before it in the word. Frequent pairs are
-looked up in every task, all others meet their counts in a join. A text is scored in windows that overlap, so that every subword has context, and
+subwords keep in all training texts) with one layer of masked self-attention.
+Its weights start from a sample and are then trained on every subword of every training
+text: tasks go through shards of the texts from the same start, and their weights are
+averaged. The subword within its class follows its counts over all training texts, alone and
+after the subword before it in the word. Frequent pairs are looked up in every task, all
+others meet their counts in a join. A text is scored in windows that overlap, so that every subword has context, and
 each is counted once. Beside it stands a smoothed word unigram, whose counts cover all
 training texts: frequent words are looked up in a bounded dictionary that every task
 holds, all others meet their counts in a join.
@@ -14,16 +16,17 @@ from __future__ import annotations
 
 import base64
 import os
-from collections import Counter
+import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from casewright.llm.common import fold, table, words_of
+from casewright.llm.common import fold, table
 from casewright.session import cut_lineage
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -32,7 +35,7 @@ END = 50_256
 SIZE = END + 1
 ADD = 0.1
 
-#: The training sample: documents (the least seeded hashes), at least so many and one of so many of
+#: The sample that the weights start from: documents (the least seeded hashes), at least so many and one of so many of
 #: the training texts, and at most so many windows of each.
 SAMPLE_DOCS = 1500
 TEXTS_PER_SAMPLE = 100
@@ -43,12 +46,18 @@ WINDOW = 32
 STEP = 24
 WIDTH = 16
 CLASSES = 64
-#: Subwords with an own embedding, the most frequent of the sample.
+#: Subwords with an own embedding, the most frequent of the training texts.
 EMBEDDED = 4096
-#: Steps for a sample of the least size; a larger one gets more in proportion.
+#: Steps on the sample.
 STEPS = 300
 BATCH = 192
 RATE = 0.02
+#: Tokens of the training texts to a shard, and subwords that a task holds and trains on together.
+SHARD_TOKENS = 1_000_000
+SHARD_SUBWORDS = 4_000_000
+#: First step size on a shard. Weights travel in blocks of so many.
+SHARD_RATE = 0.01
+WEIGHTS = 8192
 #: Attention scores and logits are held under this, which keeps exp() in range.
 HIGHEST = 30.0
 
@@ -56,20 +65,66 @@ HIGHEST = 30.0
 DICTIONARY = 150_000
 WORD_BYTES = 64
 #: Distinct words that a worker keeps the ids of, and words counted before they are sent on.
+#: A worker starts anew when it holds that many.
 REMEMBERED = 400_000
+#: White space of other scripts may stand in a word.
+SPACE = re.compile(r"\s")
 #: Letters of a word that are encoded at once; a longer word is encoded in parts.
 PART = 1000
 #: Pairs of neighbouring subwords that every task holds, the most frequent: under 5 MB. The others are joined.
 PAIRS = 300_000
 #: A pair's share is mixed with so many draws from the class alone.
 DRAWS = 5.0
-#: Windows that go through the model together (their logits fit a cache), and words of the texts that are taken together.
+#: Windows that go through the model together (their logits fit a cache), and bytes of the texts that are taken together.
 WINDOWS = 256
-TOGETHER = 60_000
+TOGETHER = 4_000_000
+
+
+@dataclass
+class Lists:
+    """Lists of numbers end to end, the k-th from ``start[k]`` on."""
+
+    flat: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+
+    @classmethod
+    def of(cls, flat: np.ndarray, size: np.ndarray) -> Lists:
+        return cls(flat, np.cumsum(size) - size, size)
+
+    def take(self, at: np.ndarray) -> Lists:
+        size = self.size[at]
+        begin = np.cumsum(size) - size
+        return Lists(self.flat[np.repeat(self.start[at] - begin, size) + np.arange(int(size.sum()))], begin, size)
+
+    def then(self, other: Lists) -> Lists:
+        return Lists(np.concatenate([self.flat, other.flat]), np.concatenate([self.start, other.start + len(self.flat)]),
+                     np.concatenate([self.size, other.size]))
+
+
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts end to end (dictionary-encoded, A-Z in lower case, as ``words_of``), and
+    how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, size = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    full = pc.greater(pc.binary_length(flat), 0)  # white space at an end leaves an empty word
+    if not pc.all(full).as_py():
+        upto = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+        size, flat = np.diff(upto[np.concatenate([[0], np.cumsum(size)])]), flat.filter(full)
+    return flat.dictionary_encode(), size
+
+
+def pieces(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of parts of ``texts`` of about ``TOGETHER`` bytes."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(sizes) // TOGETHER
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(texts)]]).tolist()
+    yield from ((a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)
 
 
 class Subwords:
-    """Ids of words, each with the space before it, as two-byte strings."""
+    """Ids of words, each with the space before it. Words that were met have a number; number 0 is
+    the end of a text."""
 
     def __init__(self, vocabulary: str = VOCABULARY):
         import public_tokenizers
@@ -79,22 +134,63 @@ class Subwords:
         with open(at, "rb") as lines:
             ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("subwords", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[bytes, bytes] = {}
-
-    def _word(self, word: bytes) -> bytes:
-        text = " " + word.decode("utf-8", "replace")
-        ids = [i for a in range(0, len(text), PART) for i in self.encoding.encode_ordinary(text[a:a + PART])]
-        return np.array(ids, "<u2").tobytes()
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        for word in words.difference(self.known):
-            self.known[word] = self._word(word)
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        """Ids of a text's words (which are learned), and the end."""
-        return np.frombuffer(b"".join(map(self.known.__getitem__, words)) + np.array([END], "<u2").tobytes(), "<u2")
+        self.bytes_of = np.zeros(SIZE, np.int64)
+        self.bytes_of[list(ranks.values())] = [len(piece) for piece in ranks]
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids = Lists.of(np.array([END], np.uint16), np.array([1]))
+
+    def _word(self, word: str) -> list[int]:
+        text = " " + word
+        return [i for a in range(0, len(text), PART) for i in self.encoding.encode_ordinary(text[a:a + PART])]
+
+    def encode(self, words: list[str]) -> Lists:
+        """Ids of each word. No piece of the pattern crosses a space before a visible character, so
+        words without white space are encoded together; all others alone."""
+        alone = {k for k, w in enumerate(words) if len(w) >= PART}
+        if SPACE.search("".join(words)):
+            alone.update(k for k, w in enumerate(words) if SPACE.search(w))
+        if alone:
+            coded = {k: self._word(words[k]) for k in alone}
+            rest = self.encode([w for k, w in enumerate(words) if k not in alone]) if len(alone) < len(words) else None
+            size = np.zeros(len(words), np.int64)
+            size[list(coded)] = [len(c) for c in coded.values()]
+            others = np.array([k not in alone for k in range(len(words))])
+            if rest:
+                size[others] = rest.size
+            out = Lists.of(np.zeros(int(size.sum()), np.uint16), size)
+            if rest:
+                out.flat[np.repeat(others, size)] = rest.flat
+            for k, ids in coded.items():
+                out.flat[out.start[k]:out.start[k] + len(ids)] = ids
+            return out
+        ids = self.encoding.encode_to_numpy(" " + " ".join(words)) if words else np.zeros(0, np.uint16)
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        upto = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
+        return Lists.of(ids.astype(np.uint16), np.diff(upto, prepend=0))
+
+    def learn(self, words: list[str]) -> list[str]:
+        """Numbers words that have none, and returns these."""
+        new = [w for w in words if w not in self.number]
+        first = len(self.ids.size)
+        self.number.update(zip(new, range(first, first + len(new)), strict=True))
+        if new:
+            self.ids = self.ids.then(self.encode(new))
+        return new
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+
+def with_ends(words: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Numbers of the words of texts end to end, with the end after each text."""
+    out = np.zeros(len(words) + len(size), np.int64)
+    inside = np.ones(len(out), bool)
+    inside[np.cumsum(size + 1) - 1] = False
+    out[inside] = words
+    return out
 
 
 _SUBWORDS: dict[str, Subwords] = {}
@@ -118,24 +214,25 @@ class Model:
     groups: np.ndarray       # sorted: subword before * CLASSES + class
     other: np.ndarray        # by group: the same for all subwords without a pair
 
-    def absent(self, words: list[np.ndarray]) -> list[np.ndarray]:
+    def absent(self, words: Lists) -> Lists:
         """By word: its pairs that are not among ``pairs``."""
-        sizes = np.array([len(w) for w in words])
-        flat = np.concatenate(words).astype(np.int64)
+        flat, begin = self._flat(words)
         pair = flat[:-1] * SIZE + flat[1:]
         missing = np.ones(len(pair), bool)
         if len(self.pairs):
             missing = self.pairs[np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)] != pair
-        ends = np.cumsum(sizes)
-        missing[ends[:-1] - 1] = False  # from word to word
-        upto = np.concatenate([[0], np.cumsum(missing)])
-        pair, cut = pair[missing], upto[np.minimum(ends, len(missing))]
-        return np.split(pair, cut[:-1])
+        missing[begin[1:] - 1] = False  # from word to word
+        return Lists.of(pair[missing], np.add.reduceat(np.append(missing, False).astype(np.int64), begin))
+
+    def _flat(self, words: Lists) -> tuple[np.ndarray, np.ndarray]:
+        words = words.take(np.arange(len(words.size)))
+        return words.flat.astype(np.int64), words.start
 
-    def changes(self, words: list[np.ndarray]) -> np.ndarray:
+    def changes(self, words: Lists | list[np.ndarray]) -> np.ndarray:
         """By word (its subword ids): what its pairs add to the log10 probability."""
-        sizes = np.array([len(w) for w in words])
-        flat = np.concatenate(words).astype(np.int64)
+        if not isinstance(words, Lists):
+            words = Lists.of(np.concatenate(words), np.array([len(w) for w in words]))
+        flat, begin = self._flat(words)
         left, right = flat[:-1], flat[1:]
         out = np.zeros(len(flat))
         if len(self.groups):
@@ -146,83 +243,109 @@ class Model:
             pair = left * SIZE + right
             at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
             out[1:] = np.where(self.pairs[at] == pair, self.change[at], out[1:])
-        begin = np.cumsum(sizes) - sizes
         out[begin] = 0  # a word's first subword has no pair
         return np.add.reduceat(out, begin)
 
     def loss_and_gradients(self, ids: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy of the classes after each of ``ids`` (batch, time), and all gradients."""
-        w = self.weights
-        rows, scale = self.row[ids], 1 / np.sqrt(w["q"].shape[0])
-        x = w["e"][rows] + w["p"][:ids.shape[1]]
-        q, k, v = x @ w["q"], x @ w["k"], x @ w["v"]
-        s = q @ k.swapaxes(1, 2) * scale
-        low = s < HIGHEST
-        a = np.exp(np.minimum(s, HIGHEST)) * np.tri(ids.shape[1], dtype=x.dtype)
-        a /= a.sum(2, keepdims=True)
-        o = a @ v
+        w, (n, time), width = self.weights, ids.shape, self.weights["q"].shape[0]
+        rows, scale, kind = self.row[ids].ravel(), 1 / float(np.sqrt(width)), w["e"].dtype
+        deep = lambda m: m.reshape(n, time, -1)
+        flat = lambda m: m.reshape(n * time, -1)
+        x = w["e"].take(rows, axis=0)
+        deep(x)[:] += w["p"][:time]
+        q, k, v = deep(x @ (w["q"] * scale)), deep(x @ w["k"]), deep(x @ w["v"])
+        a = q @ k.swapaxes(1, 2)
+        high = a >= HIGHEST if a.max(initial=0) >= HIGHEST else None
+        np.minimum(a, HIGHEST, out=a)
+        np.exp(a, out=a)
+        a *= np.tri(time, dtype=kind)
+        a *= (1 / (a @ np.ones(time, kind)))[..., None]
+        o = flat(a @ v)
         h = x + o @ w["o"]
-        z = h @ w["c"] + w["b"]
-        z -= z.max(2, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(2, keepdims=True)
-        own = np.take_along_axis(p, targets[..., None], 2)
-        loss = float(-np.log(np.maximum(own, 1e-12)).mean())
-        np.put_along_axis(p, targets[..., None], own - 1, 2)
-        dz = p / targets.size
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        dh = dz @ w["c"].T
+        p = h @ w["c"]
+        p += w["b"]
+        p -= p.max(1, keepdims=True)
+        np.exp(p, out=p)
+        p *= (1 / (p @ np.ones(p.shape[1], kind)))[:, None]
+        own = np.arange(len(p)) * p.shape[1] + targets.ravel()
+        loss = float(-np.log(np.maximum(p.ravel()[own], 1e-12)).mean())
+        p.ravel()[own] -= 1
+        dh = p @ w["c"].T
+        dh *= 1 / targets.size
         do = dh @ w["o"].T
-        da = do @ v.swapaxes(1, 2)
-        dv = a.swapaxes(1, 2) @ do
-        ds = a * (da - (da * a).sum(2, keepdims=True)) * low * scale
-        dq, dk = ds @ k, ds.swapaxes(1, 2) @ q
-        dx = dh + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
-        de, order = np.zeros_like(w["e"]), np.argsort(rows.ravel(), kind="stable")
-        present, first = np.unique(rows.ravel()[order], return_index=True)
-        de[present] = np.add.reduceat(flat(dx)[order], first, axis=0)
+        ds = deep(do) @ v.swapaxes(1, 2)
+        ds -= deep(np.einsum("ij,ij->i", do, o))
+        ds *= a
+        if high is not None:
+            ds[high] = 0
+        dv, dq, dk = flat(a.swapaxes(1, 2) @ deep(do)), flat(ds @ k), flat(ds.swapaxes(1, 2) @ q)
+        dq *= scale
+        dx = dh + dq @ w["q"].T
+        dx += dk @ w["k"].T
+        dx += dv @ w["v"].T
+        de, order = np.zeros_like(w["e"]), np.argsort(rows.astype(np.uint16), kind="stable")
+        ordered = rows[order]
+        first = np.flatnonzero(np.diff(ordered, prepend=-1))
+        de[ordered[first]] = np.add.reduceat(dx[order], first, axis=0)
         dp = np.zeros_like(w["p"])
-        dp[:ids.shape[1]] = dx.sum(0)
-        return loss, {"e": de, "p": dp, "q": flat(x).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv),
-                      "o": flat(o).T @ flat(dh), "c": flat(h).T @ flat(dz), "b": flat(dz).sum(0)}
+        dp[:time] = deep(dx).sum(0)
+        return loss, {"e": de, "p": dp, "q": x.T @ dq, "k": x.T @ dk, "v": x.T @ dv, "o": o.T @ dh,
+                      "c": h.T @ p / targets.size, "b": p.sum(0) / targets.size}
+
+    def learn(self, batches: Iterator[np.ndarray], steps: int, rate: float) -> None:
+        """Adam over ``batches`` of windows, with a step size that falls to zero."""
+        weights = self.weights
+        first = {k: np.zeros_like(p) for k, p in weights.items()}
+        second = {k: np.zeros_like(p) for k, p in weights.items()}
+        for step, batch in enumerate(batches, 1):
+            _, gradients = self.loss_and_gradients(batch[:, :-1], self.group[batch[:, 1:]])
+            now = float(rate * (1 - step / (steps + 1)) * np.sqrt(1 - 0.99 ** step) / (1 - 0.9 ** step))
+            for k, g in gradients.items():
+                first[k] += 0.1 * (g - first[k])
+                second[k] += 0.01 * (g * g - second[k])
+                weights[k] -= now * first[k] / (np.sqrt(second[k]) + 1e-8)
 
     def log10(self, inputs: np.ndarray, targets: np.ndarray, scored: int) -> np.ndarray:
         """log10 probability of the last ``scored`` of ``targets`` (batch, time), which follow ``inputs``."""
         w, (n, time), width = self.weights, inputs.shape, self.weights["q"].shape[0]
         x = w["e"].take(self.row[inputs], axis=0)
         x += w["p"][:time]
-        last = x[:, time - scored:]
-        q = (last @ (w["q"] / np.float32(np.sqrt(width)))).reshape(n, scored, width)
-        k, v = x @ w["k"], np.ones((n, time, width + 1), np.float32)
-        np.matmul(x, w["v"], out=v[..., :width])
+        last = np.ascontiguousarray(x[:, time - scored:]).reshape(-1, width)
+        q = (last @ (w["q"] * (1 / float(np.sqrt(width))))).reshape(n, scored, width)
+        flat = x.reshape(-1, width)
+        k, v = (flat @ w["k"]).reshape(n, time, width), (flat @ w["v"]).reshape(n, time, width)
         a = q @ k.swapaxes(1, 2)
         np.minimum(a, HIGHEST, out=a)
         np.exp(a, out=a)
-        a *= np.tri(scored, time, time - scored, dtype=np.float32)
-        o = a @ v  # the last column is the sum of the weights
-        h = last + (o[..., :width] / o[..., width:]) @ w["o"]
-        z = h.reshape(-1, width) @ w["c"]
+        a *= np.tri(scored, time, time - scored, dtype=a.dtype)
+        o = (a @ v).reshape(-1, width)
+        o *= (1 / (a.reshape(-1, time) @ np.ones(time, a.dtype)))[:, None]
+        last += o @ w["o"]
+        z = last @ w["c"]
         z += w["b"]
         goal = targets[:, time - scored:].ravel()
         np.minimum(z, HIGHEST, out=z)
         own = z.ravel()[np.arange(0, z.size, z.shape[1]) + self.group[goal]]
         np.exp(z, out=z)
-        total = np.log(z @ np.ones(z.shape[1], np.float32))
+        total = np.log(z @ np.ones(z.shape[1], z.dtype))
         return ((own - total) / np.float32(np.log(10)) + self.within[goal]).reshape(n, scored)
 
     def score(self, texts: list[np.ndarray]) -> list[float]:
         """log10 probability of each text (subword ids with the end): every subword once."""
-        sizes = np.array([len(t) for t in texts])
-        flat = np.concatenate(texts).astype(np.int64)
-        before = np.concatenate([[END], flat[:-1]])
+        return self.score_flat(np.concatenate(texts).astype(np.int64), np.array([len(t) for t in texts])).tolist()
+
+    def score_flat(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The same for texts end to end."""
+        before = np.concatenate([[END], flat[:-1]]).astype(flat.dtype)
         begin = np.cumsum(sizes) - sizes
         before[begin] = END
         more = np.maximum(0, -(-(sizes - WINDOW) // STEP))  # windows after the first
-        out = np.zeros(len(texts))
+        out = np.zeros(len(sizes))
         time = np.arange(WINDOW)
-        owner = np.repeat(np.arange(len(texts)), more)
+        owner = np.repeat(np.arange(len(sizes)), more)
         at = np.arange(len(owner)) - np.repeat(np.cumsum(more) - more, more)
-        for who, start, scored in ((np.arange(len(texts)), np.zeros(len(texts), int), WINDOW), (owner, (at + 1) * STEP, STEP)):
+        for who, start, scored in ((np.arange(len(sizes)), np.zeros(len(sizes), int), WINDOW), (owner, (at + 1) * STEP, STEP)):
             for a in range(0, len(who), WINDOWS):
                 rows, first = who[a:a + WINDOWS], start[a:a + WINDOWS]
                 place = first[:, None] + time
@@ -230,61 +353,76 @@ class Model:
                 place = np.minimum(place, sizes[rows, None] - 1) + begin[rows, None]
                 got = self.log10(before[place], flat[place], scored)
                 np.add.at(out, rows, np.where(inside, got, 0).sum(1, dtype=np.float64))
-        return out.tolist()
+        return out
 
 
-def classes(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(embedding row, class) of every subword. Class 0 holds the rare ones, the last the end; the
-    frequent ones are clustered by what stands before and after them."""
-    parts = [windows[a:a + 50_000] for a in range(0, len(windows), 50_000)]  # bounds what is copied
-    counts = sum((np.bincount(w.ravel(), minlength=SIZE) for w in parts), np.zeros(SIZE, np.int64))
+def embedding_rows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(frequent subwords, embedding row of every subword, how many columns neighbours have)."""
+    counts = counts.copy()
     counts[END] = 0
     frequent = np.argsort(-counts, kind="stable")[:EMBEDDED]
     frequent = frequent[counts[frequent] > 1]
     row = np.zeros(SIZE, np.int32)
     row[frequent], row[END] = np.arange(len(frequent)) + 1, len(frequent) + 1
+    return frequent, row, min(256, len(frequent)) + 2
+
+
+def neighbour_cells(row: np.ndarray, near: int, pairs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, sum) of ``times`` over pairs: a cell is an embedding row * 2 * near + the neighbour's column
+    (of the subword before, or near + of the one after; the last stands for all that are less frequent,
+    the first for those without a row and the end)."""
+    small = np.minimum(row, near - 1)
+    small[END] = 0
+    left, right = pairs // SIZE, pairs % SIZE
+    cells = np.concatenate([row[right].astype(np.int64) * 2 * near + small[left], row[left].astype(np.int64) * 2 * near + near + small[right]])
+    cells, which = np.unique(cells, return_inverse=True)
+    return cells, np.bincount(which, np.concatenate([times, times]), minlength=len(cells))
+
+
+def classes(counts: np.ndarray, pairs: np.ndarray, times: np.ndarray,
+            cells: Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(embedding row, class) of every subword. Class 0 holds the rare ones, the last the end; the
+    frequent ones are clustered by what stands before and after them. ``cells`` sums all neighbours
+    by cell; without it ``pairs`` are all."""
+    frequent, row, near = embedding_rows(counts)
     group = np.zeros(SIZE, np.int32)
     group[END] = CLASSES - 1
     if not len(frequent):
         return row, group
-    near = min(256, len(frequent)) + 2
-    small = np.minimum(row, near - 1)
-    small[END] = 0
-    features = np.zeros((len(frequent) + 2, 2 * near), np.float32)
-    for part in parts:
-        left, right = part[:, :-1].ravel(), part[:, 1:].ravel()
-        np.add.at(features, (row[right], small[left]), 1)
-        np.add.at(features, (row[left], near + small[right]), 1)
+    features = np.zeros((len(frequent) + 2, 2 * near))
+    cell, sums = cells(row, near) if cells else neighbour_cells(row, near, pairs, times)
+    features.ravel()[cell] = sums
     features = features[1:-1]
-    share = (features + 0.01) / (features.sum(1, keepdims=True) + 0.01 * features.shape[1])
-    features = np.sqrt(share)
-    features -= np.average(features, axis=0, weights=counts[frequent])
-    values, vectors = np.linalg.eigh((features * counts[frequent, None]).T @ features)
+    weight = counts[frequent].astype(float)
+    features = np.sqrt((features + 0.01) / (features.sum(1, keepdims=True) + 0.01 * features.shape[1]))
+    features -= np.average(features, axis=0, weights=weight)
+    _, vectors = np.linalg.eigh((features * weight[:, None]).T @ features)
     features = features @ vectors[:, -24:]
     k, rng = min(CLASSES - 2, len(frequent)), np.random.default_rng(SEED)
-    weight = counts[frequent].astype(float)
     centre = features[rng.choice(len(frequent), k, replace=False, p=weight / weight.sum())]
     for _ in range(15):
         nearest = ((centre ** 2).sum(1) - 2 * features @ centre.T).argmin(1)
         mass = np.bincount(nearest, weight, minlength=k)
         sums = np.stack([np.bincount(nearest, weight * f, minlength=k) for f in features.T], axis=1)
-        centre = np.where(mass[:, None] > 0, sums / np.maximum(mass, 1e-9)[:, None], centre).astype(np.float32)
+        centre = np.where(mass[:, None] > 0, sums / np.maximum(mass, 1e-9)[:, None], centre)
     group[frequent] = nearest + 1
     return row, group
 
 
 def trained(windows: np.ndarray, counts: np.ndarray, pairs: np.ndarray, times: np.ndarray, steps: int = STEPS,
-            totals: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None) -> Model:
-    """A model from sample windows (batch, WINDOW + 1) of ids, and from the counts of subwords
-    and of pairs (before * SIZE + subword, sorted) in all training texts.
+            totals: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None,
+            cells: Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]] | None = None) -> Model:
+    """A model from sample windows (batch, WINDOW + 1) of ids, which the weights of the attention
+    start from, and from the counts of subwords and of pairs (before * SIZE + subword, sorted) in
+    all training texts.
 
     Within a class and after subword a: p(b) = (n(a, b) + DRAWS p(b | class)) / (n(a, class) + DRAWS),
     where n(a, class) sums all pairs, so that the probabilities add up to one. ``totals`` gives
-    these sums (sorted a * CLASSES + class, sum) for the class of every subword; without it
-    ``pairs`` are all pairs.
+    these sums (sorted a * CLASSES + class, sum) for the class of every subword, ``cells`` those
+    that make the classes; without them ``pairs`` are all pairs.
     """
     rng = np.random.default_rng(SEED)
-    row, group = classes(windows)
+    row, group = classes(counts, pairs, times, cells)
     mass = np.bincount(group, counts + ADD, minlength=CLASSES)
     within = (np.log10(counts + ADD) - np.log10(mass[group])).astype(np.float32)
     shape = {"e": (row.max() + 1, WIDTH), "p": (WINDOW, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH),
@@ -300,34 +438,62 @@ def trained(windows: np.ndarray, counts: np.ndarray, pairs: np.ndarray, times: n
     alone = 10.0 ** within[pairs % SIZE].astype(float)
     change = np.log10((times + DRAWS * alone) / total[of_pair]) - np.log10(alone)
     model = Model(row, group, within, weights, pairs, change, groups, np.log10(DRAWS / total))
-    first = {k: np.zeros_like(p) for k, p in weights.items()}
-    second = {k: np.zeros_like(p) for k, p in weights.items()}
-    for step in range(1, steps + 1) if len(windows) else ():
-        batch = windows[rng.integers(0, len(windows), BATCH)]
-        _, gradients = model.loss_and_gradients(batch[:, :-1], group[batch[:, 1:]])
-        rate = RATE * (1 - step / (steps + 1)) * np.sqrt(1 - 0.99 ** step) / (1 - 0.9 ** step)
-        for k, g in gradients.items():
-            first[k] += 0.1 * (g - first[k])
-            second[k] += 0.01 * (g * g - second[k])
-            weights[k] -= (rate * first[k] / (np.sqrt(second[k]) + 1e-8)).astype(np.float32)
+    if len(windows):
+        model.learn((windows[rng.integers(0, len(windows), BATCH)] for _ in range(steps)), steps, RATE)
     return model
 
 
-def _counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
+READ = "word binary, key long, n long, h long, ids binary"
+_READ_ARROW = pa.schema([("word", pa.binary()), ("key", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("ids", pa.binary())])
+
+
+def _read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pass over texts (h, text). Rows of three kinds: (word, n), words and how often they were met;
+    (key, n), pairs of subwords from word to word or from or to an end (before * SIZE + subword);
+    (h, ids), the ids of each text with its end."""
+    coder, words, edges = subwords(), [], []
+
+    def rows(length: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(length, f.type) for f in _READ_ARROW],
+                                          schema=_READ_ARROW)
+
+    def merged(tables: list[pa.Table], name: str) -> list[pa.Table]:
+        return [pa.concat_tables(tables).group_by(name).aggregate([("n", "sum")]).rename_columns([name, "n"])]
 
-    def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())],
-                                          names=["word", "n"])
+    def sent(tables: list[pa.Table], name: str) -> Iterator[pa.RecordBatch]:
+        for batch in merged(tables, name)[0].combine_chunks().to_batches() if tables else ():
+            yield rows(batch.num_rows, **{name: batch[name], "n": batch["n"]})
 
     for part in parts:
-        for text in part["text"]:
-            counts.update(words_of(text.as_py()))
-            if len(counts) > REMEMBERED:
-                yield rows()
-                counts.clear()
-    if counts:
-        yield rows()
+        for at, length in pieces(part["text"]):
+            found, size = words_in(part["text"].slice(at, length))
+            distinct = found.dictionary.to_pylist()
+            if len(coder.number) > REMEMBERED:
+                coder.clear()
+            coder.learn(distinct)
+            codes = found.indices.to_numpy()
+            coded = coder.ids.take(with_ends(coder.numbers(distinct)[codes], size))
+            ends = np.cumsum(np.add.reduceat(coded.size, np.cumsum(size + 1) - size - 1))
+            offsets = (2 * np.concatenate([[0], ends])).astype(np.int32)
+            ids = pa.Array.from_buffers(pa.binary(), length, [None, pa.py_buffer(offsets), pa.py_buffer(coded.flat.astype("<u2"))])
+            yield rows(length, h=part["h"].slice(at, length), ids=ids)
+            n = np.bincount(codes, minlength=len(distinct))
+            words.append(pa.table({"word": found.dictionary.cast(pa.binary()), "n": pa.array(n, pa.int64())}))
+            before = np.concatenate([[END], coded.flat[coded.start + coded.size - 1][:-1]]).astype(np.int64)
+            keys, n = np.unique(before * SIZE + coded.flat[coded.start], return_counts=True)
+            edges.append(pa.table({"key": keys, "n": pa.array(n, pa.int64())}))
+            if sum(map(len, words)) > 2 * REMEMBERED:
+                words = merged(words, "word")
+                if len(words[0]) > REMEMBERED:
+                    yield from sent(words, "word")
+                    words = []
+            if sum(map(len, edges)) > 2 * REMEMBERED:
+                edges = merged(edges, "key")
+                if len(edges[0]) > REMEMBERED:
+                    yield from sent(edges, "key")
+                    edges = []
+    yield from sent(words, "word")
+    yield from sent(edges, "key")
 
 
 def _subword_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,35 +505,44 @@ def _subword_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         return distinct, np.bincount(which, np.concatenate(times)).astype(np.int64)
 
     for part in parts:
-        words, count = part["word"].to_pylist(), part["c"].to_numpy()
-        for a in range(0, len(words), 20_000):
-            coded = [np.frombuffer(coder._word(w), "<u2") for w in words[a:a + 20_000]]
-            sizes = np.array([len(c) for c in coded])
-            ids, n = np.concatenate(coded).astype(np.int64), np.repeat(count[a:a + 20_000], sizes)
-            inside = np.ones(len(ids), bool)
-            inside[np.cumsum(sizes) - sizes] = False
-            inside = np.flatnonzero(inside)
-            keys += [ids, (ids[inside - 1] + 1) * SIZE + ids[inside]]
-            times += [n, n[inside]]
-            distinct, n = merged()
-            keys, times = [distinct], [n]
+        words, count = part["word"].cast(pa.string()).to_pylist(), part["c"].to_numpy()
+        coded = coder.encode(words)
+        ids, n = coded.flat.astype(np.int64), np.repeat(count, coded.size)
+        inside = np.ones(len(ids), bool)
+        inside[coded.start] = False
+        inside = np.flatnonzero(inside)
+        keys += [ids, (ids[inside - 1] + 1) * SIZE + ids[inside]]
+        times += [n, n[inside]]
+        distinct, n = merged()
+        keys, times = [distinct], [n]
     if keys:
         yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(times[0])], names=["key", "n"])
 
 
+def coded_texts(coder: Subwords, texts: pa.Array) -> Lists:
+    """Ids of each text, with its end."""
+    words, size = words_in(texts)
+    distinct = words.dictionary.to_pylist()
+    if len(coder.number) > REMEMBERED:
+        coder.clear()
+    coder.learn(distinct)
+    of_words = coder.ids.take(with_ends(coder.numbers(distinct)[words.indices.to_numpy()], size))
+    return Lists.of(of_words.flat, np.add.reduceat(of_words.size, np.cumsum(size + 1) - size - 1))
+
+
 def _sampled(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """At most ``SAMPLE_WINDOWS`` windows of WINDOW + 1 ids of each text, at even distances."""
     coder = subwords()
     for part in parts:
         rows = []
-        for h, text in zip(part["h"].to_pylist(), part["text"], strict=True):
-            words = words_of(text.as_py())
-            coder.learn(set(words))
-            ids = np.concatenate([[END], coder.ids(words)]).astype("<u2")
-            n = min(SAMPLE_WINDOWS, -(-len(ids) // WINDOW))
-            for k in range(n):
-                window = ids[k * len(ids) // n:][:WINDOW + 1]
-                rows.append((h, k, np.pad(window, (0, WINDOW + 1 - len(window)), constant_values=END).tobytes()))
+        for first, length in pieces(part["text"]):
+            coded = coded_texts(coder, part["text"].slice(first, length))
+            for h, text in zip(part["h"].slice(first, length).to_pylist(), np.split(coded.flat, coded.start[1:]), strict=True):
+                ids = np.concatenate([[END], text]).astype("<u2")
+                n = min(SAMPLE_WINDOWS, -(-len(ids) // WINDOW))
+                for k in range(n):
+                    window = ids[k * len(ids) // n:][:WINDOW + 1]
+                    rows.append((h, k, np.pad(window, (0, WINDOW + 1 - len(window)), constant_values=END).tobytes()))
         columns = list(zip(*rows, strict=True)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)],
                                          names=["h", "k", "window"])
@@ -387,28 +562,90 @@ def sample(docs: DataFrame, training: Column, size: int = SAMPLE_DOCS) -> np.nda
     return np.frombuffer(b"".join(w.as_py() for w in found["window"]), "<u2").reshape(-1, WINDOW + 1)
 
 
+def trained_on_all(texts: DataFrame, tokens: int, model: Model) -> Model:
+    """``model`` with weights trained on every subword of every training text (h, ids).
+
+    Texts are dealt to shards by hash and ordered by it, so that weights do not follow the
+    partitions of the input. A task reads its shard as one stream of texts and ends, cut into
+    windows, and makes one pass from the weights of ``model``; weights are averaged by the
+    subwords they saw. ``tokens`` is the number of training tokens.
+    """
+    shapes = {k: w.shape for k, w in model.weights.items()}
+    start = replace(model, within=None, pairs=None, change=None, groups=None, other=None)
+
+    def learned(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, kept, size, number = TaskContext.get().partitionId(), [], 0, 0
+
+        def passed() -> pa.RecordBatch:
+            stream = np.concatenate([np.array([END], np.uint16), *kept])
+            own = replace(start, weights={k: w.copy() for k, w in start.weights.items()})
+            full = (len(stream) - 1) // WINDOW
+            windows = np.lib.stride_tricks.sliding_window_view(stream, WINDOW + 1)[::WINDOW] if full else np.zeros((0, WINDOW + 1), np.uint16)
+            order = np.random.default_rng([SEED, shard, number]).permutation(full)
+            batches = [windows[order[a:a + BATCH]] for a in range(0, full, BATCH)]
+            if len(stream) > full * WINDOW + 1:
+                batches.append(stream[None, full * WINDOW:])
+            own.learn(iter(batches), len(batches), SHARD_RATE)
+            every = np.concatenate([own.weights[k].ravel() for k in shapes])
+            blocks = [every[a:a + WEIGHTS].tobytes() for a in range(0, len(every), WEIGHTS)]
+            return pa.RecordBatch.from_arrays([
+                pa.array(range(len(blocks)), pa.int32()), pa.array([shard] * len(blocks), pa.int32()), pa.array([number] * len(blocks), pa.int32()),
+                pa.array([len(stream) - 1] * len(blocks), pa.int64()), pa.array(blocks, pa.binary())],
+                names=["block", "shard", "number", "n", "weights"])
+
+        for part in parts:
+            for ids in part["ids"]:
+                kept.append(np.frombuffer(ids.as_py(), "<u2"))
+                size += len(kept[-1])
+                if size >= SHARD_SUBWORDS:
+                    yield passed()
+                    kept, size, number = [], 0, number + 1
+        if size:
+            yield passed()
+
+    def averaged(found: pa.Table) -> pa.Table:
+        found = found.sort_by([("shard", "ascending"), ("number", "ascending")])
+        n, total = found["n"].to_numpy(), 0.0
+        for share, weights in zip(n / n.sum(), found["weights"], strict=True):
+            total = total + share * np.frombuffer(weights.as_py(), np.float32)
+        return pa.table([found["block"].slice(0, 1).cast(pa.int32()), pa.array([np.float32(total).tobytes()], pa.binary())], names=["block", "weights"])
+
+    dealt = texts.select("h", "ids").repartition(tokens // SHARD_TOKENS + 1, "h").sortWithinPartitions("h", "ids").select("ids")
+    found = dealt.mapInArrow(learned, "block int, shard int, number int, n long, weights binary").groupBy("block").applyInArrow(
+        averaged, "block int, weights binary").toArrow().sort_by("block")
+    if not found.num_rows:
+        return model
+    every = np.frombuffer(b"".join(w.as_py() for w in found["weights"]), np.float32)
+    cuts = np.cumsum([int(np.prod(s)) for s in shapes.values()])[:-1]
+    return replace(model, weights={k: w.reshape(s) for (k, s), w in zip(shapes.items(), np.split(every, cuts), strict=True)})
+
+
 @dataclass
 class Unigram:
-    """Word counts of all training texts: a stored table, totals, and the most frequent words."""
+    """Word counts of all training texts: a stored table, totals, and the most frequent words; and the
+    stored rows of ``_read``, whose ids the weights are trained on."""
 
     counts: DataFrame
     tokens: int
     distinct: int
     ends: int
     frequent: dict[bytes, int]
+    read: DataFrame
 
     def log10(self, count):
         return np.log10((count + ADD) / (self.tokens + ADD * (self.distinct + 1)))
 
 
 def unigram(docs: DataFrame, training: Column) -> Unigram:
-    train = docs.filter(training)
-    counts = cut_lineage(train.select("text").mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")))
+    # The expressions are of columns of ``docs``, so the texts are picked before they are renamed.
+    train = docs.filter(training).select(F.xxhash64(F.lit(SEED), "doc_id", "text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    read = cut_lineage(train.mapInArrow(_read, READ))
+    counts = cut_lineage(read.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    ends = train.count()
+    ends = read.filter("h IS NOT NULL").count()
     rows = most_frequent(counts.filter(F.length("word") <= WORD_BYTES), "c", DICTIONARY).toArrow()
     return Unigram(counts, total.n + ends, total.v + (ends > 0), ends,
-                   dict(zip(rows["word"].to_pylist(), rows["c"].to_pylist(), strict=True)))
+                   dict(zip(rows["word"].to_pylist(), rows["c"].to_pylist(), strict=True)), read)
 
 
 def most_frequent(rows: DataFrame, count: str, room: int) -> DataFrame:
@@ -424,13 +661,14 @@ def most_frequent(rows: DataFrame, count: str, room: int) -> DataFrame:
 @dataclass
 class Subcounts:
     """Counts of all subwords, the most frequent pairs (sorted) with theirs, and the table of all the
-    other pairs (key, n), or None if there are no others."""
+    other pairs (key, n), or None if there are no others; all pairs in words, and all from word to word."""
 
     alone: np.ndarray
     pairs: np.ndarray
     times: np.ndarray
     rest: DataFrame | None
     every: DataFrame
+    across: DataFrame
 
     def totals(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sums over all pairs by subword before and class; as many as the vocabulary allows at most."""
@@ -446,6 +684,17 @@ class Subcounts:
         order = np.argsort(after)
         return after[order], n[order]
 
+    def cells(self, row: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over all neighbours, in words and from word to word, by ``neighbour_cells``; at most two columns of ``near`` to an embedding row."""
+        def summed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                cell, n = neighbour_cells(row, near, part["key"].to_numpy(), part["n"].to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n.astype(np.int64))], names=["cell", "n"])
+
+        pairs = self.every.select(F.col("key") - SIZE, "n").union(self.across.select("key", "n")).toDF("key", "n")
+        sums = pairs.mapInArrow(summed, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        return sums["cell"].to_numpy(), sums["n"].to_numpy().astype(float)
+
     def added(self, model: Model) -> DataFrame:
         """(key, added): what a pair outside ``pairs`` adds to the log10 probability of a pair never seen."""
         within = model.within
@@ -471,7 +720,7 @@ def subword_statistics(words: Unigram) -> Subcounts:
     if every.count() > len(times):
         # Counts are kept by whole magnitudes, so the least one kept parts the table.
         rest = every.filter(F.col("n") < int(times.min())) if len(times) else every
-    return Subcounts(counts, kept["key"].to_numpy() - SIZE, times.astype(float), rest, every)
+    return Subcounts(counts, kept["key"].to_numpy() - SIZE, times.astype(float), rest, every, words.read.filter("key IS NOT NULL"))
 
 
 SCORED = "uid long, doc_id long, held_out boolean, n_words long, n_found long, base double, score double, rest array<binary>, " \
@@ -481,40 +730,42 @@ SCORED = "uid long, doc_id long, held_out boolean, n_words long, n_found long, b
 def scored(docs: DataFrame, held_out: Column, words: Unigram, model: Model, more: bool) -> DataFrame:
     """Score of every text; words outside the dictionary are left in ``rest``, and if there are ``more``
     pairs than the model holds, those it lacks in ``pairs``, to be looked up by joins."""
-    base = {w: float(words.log10(c)) for w, c in words.frequent.items()}
+    base = {w.decode(): float(words.log10(c)) for w, c in words.frequent.items()}
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, uid, change, lacking = subwords(), TaskContext.get().partitionId() << 33, {}, {}
+        coder, uid = subwords(), TaskContext.get().partitionId() << 33
+        coder.clear()  # numbers of words and what stands beside them belong together
+        none = Lists.of(np.zeros(0, np.int64), np.zeros(1, np.int64))
+        own, change, lacking = np.zeros(1), np.zeros(1), none
         for part in parts:
-            at, names, held = 0, part["doc_id"], part["held_out"]
-            while at < part.num_rows:
-                texts, first, size = [], at, 0
-                while at < part.num_rows and size < TOGETHER:
-                    texts.append(words_of(part["text"][at].as_py()))
-                    size, at = size + len(texts[-1]), at + 1
-                met = set().union(*texts)
-                coder.learn(met)
-                if len(change) > REMEMBERED:
-                    change.clear()
-                    lacking.clear()
-                if new := list(met.difference(change)):
-                    ids = [np.frombuffer(coder.known[w], "<u2") for w in new]
-                    change.update(zip(new, model.changes(ids).tolist(), strict=True))
+            for first, n in pieces(part["text"]):
+                if len(coder.number) > REMEMBERED:
+                    coder.clear()
+                    own, change, lacking = np.zeros(1), np.zeros(1), none
+                found, size = words_in(part["text"].slice(first, n))
+                distinct = found.dictionary.to_pylist()
+                if new := coder.learn(distinct):
+                    ids = Lists(coder.ids.flat, coder.ids.start[-len(new):], coder.ids.size[-len(new):])
+                    own = np.concatenate([own, np.fromiter((base.get(w, np.nan) for w in new), float, len(new))])
+                    change = np.concatenate([change, model.changes(ids)])
                     if more:
-                        lacking.update((w, p.tolist()) for w, p in zip(new, model.absent(ids), strict=True) if len(p))
-                found = [[base.get(w) for w in t] for t in texts]
-                rest = [[w for w, b in zip(t, f, strict=True) if b is None] for t, f in zip(texts, found, strict=True)]
-                scores = model.score([coder.ids(t) for t in texts])
-                n = at - first
+                        lacking = lacking.then(model.absent(ids))
+                met = coder.numbers(distinct)
+                numbers = with_ends(met[found.indices.to_numpy()], size)
+                start, value = np.cumsum(size + 1) - size - 1, own[numbers]
+                rest, ids = np.isnan(value), coder.ids.take(numbers)
+                n_rest = np.add.reduceat(rest.astype(np.int64), start)
+                words_of_rest = found.dictionary.cast(pa.binary()).take(found.indices.filter(pa.array(np.isnan(own[met])[found.indices.to_numpy()])))
+                scores = model.score_flat(ids.flat.astype(np.int64), np.add.reduceat(ids.size, start))
+                absent = lacking.take(numbers) if more else None
+                listed = lambda sizes, values: pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(uid, uid + n)), names.slice(first, n), held.slice(first, n),
-                    pa.array([len(t) for t in texts], pa.int64()),
-                    pa.array([len(t) - len(r) for t, r in zip(texts, rest, strict=True)], pa.int64()),
-                    pa.array([sum(b for b in f if b is not None) for f in found], pa.float64()),
-                    pa.array([s + sum(map(change.__getitem__, t)) for s, t in zip(scores, texts, strict=True)], pa.float64()),
-                    pa.array(rest, pa.list_(pa.binary())),
-                    pa.array([[p for w in t if w in lacking for p in lacking[w]] for t in texts] if more else [None] * n,
-                             pa.list_(pa.int64()))],
+                    pa.array(np.arange(uid, uid + n)), part["doc_id"].slice(first, n), part["held_out"].slice(first, n),
+                    pa.array(size, pa.int64()), pa.array(size - n_rest, pa.int64()),
+                    pa.array(np.add.reduceat(np.where(rest, 0, value), start)),
+                    pa.array(scores + np.add.reduceat(change[numbers], start)), listed(n_rest, words_of_rest),
+                    listed(np.add.reduceat(absent.size, start), pa.array(absent.flat)) if more else pa.nulls(n, pa.list_(pa.int64()))],
                     names=["uid", "doc_id", "held_out", "n_words", "n_found", "base", "score", "rest", "pairs"])
                 uid += n
 
@@ -531,15 +782,16 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     words = unigram(docs, ~held_out)
     windows = sample(docs, ~held_out, max(SAMPLE_DOCS, words.ends // TEXTS_PER_SAMPLE))
     found = subword_statistics(words)
-    steps = max(STEPS, STEPS * len(windows) // (SAMPLE_DOCS * SAMPLE_WINDOWS))
-    model = trained(windows, found.alone, found.pairs, found.times, steps, found.totals if found.rest is not None else None)
-    rows = cut_lineage(scored(docs, held_out, words, model, found.rest is not None))
+    more = found.rest is not None
+    model = trained(windows, found.alone, found.pairs, found.times, STEPS, found.totals if more else None, found.cells)
+    model = trained_on_all(words.read.filter("h IS NOT NULL"), words.tokens, model)
+    rows = cut_lineage(scored(docs, held_out, words, model, more))
     total = float(words.tokens + ADD * (words.distinct + 1))
     rare = rows.select("uid", F.explode("rest").alias("word")).join(words.counts, "word", "left")
     per_row = rare.groupBy("uid").agg(F.count("c").alias("known"), F.sum(
         F.log10((F.coalesce("c", F.lit(0)) + ADD) / total)).alias("rare"))
     end, score = float(words.log10(words.ends)), F.col("score")
-    if found.rest is not None:
+    if more:
         lacking = rows.select("uid", F.explode("pairs").alias("key")).join(found.added(model), "key")
         per_row = per_row.join(lacking.groupBy("uid").agg(F.sum("added").alias("added")), "uid", "full")
         score += F.coalesce("added", F.lit(0.0))

@@ -151,3 +151,41 @@ def test_the_training_sample_grows_with_the_texts(spark, monkeypatch):
         run(spark.createDataFrame([(i, "a b") for i in range(n)], SCHEMA))
     train = [sum(not held(i) for i in range(n)) for n in (100, 200)]
     assert seen == [t // 2 for t in train]
+
+
+def test_weights_learn_from_every_training_text(spark, monkeypatch):
+    """Without any sample, and with equal counts of words and subwords, the order of the words decides."""
+    models, real = [], lm.scored
+    monkeypatch.setattr(lm, "scored", lambda docs, held_out, words, model, more: models.append(model) or real(docs, held_out, words, model, more))
+    monkeypatch.setattr(lm, "sample", lambda *_: np.zeros((0, lm.WINDOW + 1), np.int64))
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 20_000)
+    monkeypatch.setattr(lm, "BATCH", 4)
+    words = "the of and that with from this have not are but had".split()
+    texts = [[words[(i + k) % len(words)] for k in range(20 + i % 7)] for i in range(2000)]
+    forward = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    backward = [(i, " ".join(t[::-1])) for i, t in enumerate(texts)]
+    for rows, parts in ((forward, 1), (forward, 4), (backward, 4)):
+        run(spark.createDataFrame(rows, SCHEMA).repartition(parts))
+    one, four, other = models
+    for name, weights in one.weights.items():
+        assert np.array_equal(weights, four.weights[name])  # no matter how the table is cut
+    coder = lm.Subwords()
+    stream = np.concatenate([coder.encode([*t]).flat for t in texts[:40]])
+    ids = stream[:20 * (lm.WINDOW + 1)].reshape(20, -1).astype(np.int64)
+    loss = lambda m: m.loss_and_gradients(ids[:, :-1], m.group[ids[:, 1:]])[0]
+    assert loss(one) < loss(other) - 0.3
+
+
+def test_words_encoded_together_equal_words_encoded_alone():
+    from casewright.llm.common import words_of
+    import pyarrow as pa
+
+    texts = [" a\tb\x0bThe  'S it's ", None, "", "x y   z  1\x1c2 ÉÉ 漢字", "n" * 2500 + " 12ab-- \n", "\u0085"]
+    found, size = lm.words_in(pa.array(texts))
+    want = [words_of(t) for t in texts]
+    assert size.tolist() == [len(w) for w in want]
+    words = [w.decode() for t in want for w in t]
+    assert found.to_pylist() == words
+    coder = lm.Subwords()
+    coded = coder.encode(words)
+    assert [coded.flat[a:a + n].tolist() for a, n in zip(coded.start, coded.size, strict=True)] == [coder._word(w) for w in words]
