@@ -15,8 +15,10 @@ holds, all others meet their counts in a join.
 from __future__ import annotations
 
 import base64
+import itertools
 import os
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
@@ -65,7 +67,7 @@ HIGHEST = 30.0
 DICTIONARY = 150_000
 WORD_BYTES = 64
 #: Distinct words that a worker keeps the ids of, and words counted before they are sent on.
-#: A worker starts anew when it holds that many.
+#: A worker that holds that many keeps the half that was met most often.
 REMEMBERED = 400_000
 #: White space of other scripts may stand in a word.
 SPACE = re.compile(r"\s")
@@ -75,6 +77,8 @@ PART = 1000
 PAIRS = 300_000
 #: A pair's share is mixed with so many draws from the class alone.
 DRAWS = 5.0
+#: Rows of a long and narrow matrix that are multiplied together.
+ROWS = 128
 #: Windows that go through the model together (their logits fit a cache), and bytes of the texts that are taken together.
 WINDOWS = 256
 TOGETHER = 4_000_000
@@ -139,8 +143,20 @@ class Subwords:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: defaultdict[str, int] = defaultdict(itertools.count(1).__next__)
         self.ids = Lists.of(np.array([END], np.uint16), np.array([1]))
+        self.met = np.zeros(1, np.int32)
+
+    def trim(self) -> np.ndarray | None:
+        """If too many words are held, keeps the half that was met most often, with new numbers; by number
+        the one it had."""
+        if len(self.number) <= REMEMBERED:
+            return None
+        kept = np.concatenate([[0], 1 + np.sort(np.argsort(-self.met[1:], kind="stable")[:REMEMBERED // 2])])
+        words = list(self.number)  # in the order of their numbers
+        self.number = defaultdict(itertools.count(len(kept)).__next__, zip([words[k - 1] for k in kept[1:].tolist()], range(1, len(kept)), strict=True))
+        self.ids, self.met = self.ids.take(kept), self.met[kept] // 2
+        return kept
 
     def _word(self, word: str) -> list[int]:
         text = " " + word
@@ -149,7 +165,7 @@ class Subwords:
     def encode(self, words: list[str]) -> Lists:
         """Ids of each word. No piece of the pattern crosses a space before a visible character, so
         words without white space are encoded together; all others alone."""
-        alone = {k for k, w in enumerate(words) if len(w) >= PART}
+        alone = {k for k, w in enumerate(words) if len(w) >= PART} if max(map(len, words), default=0) >= PART else set()
         if SPACE.search("".join(words)):
             alone.update(k for k, w in enumerate(words) if SPACE.search(w))
         if alone:
@@ -166,22 +182,24 @@ class Subwords:
             for k, ids in coded.items():
                 out.flat[out.start[k]:out.start[k] + len(ids)] = ids
             return out
-        ids = self.encoding.encode_to_numpy(" " + " ".join(words)) if words else np.zeros(0, np.uint16)
-        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        if not words:
+            return Lists.of(np.zeros(0, np.uint16), np.zeros(0, np.int64))
+        text = " " + " ".join(words)
+        ids, written = self.encoding.encode_to_numpy(text), np.frombuffer(text.encode(), np.uint8)
+        ends = np.append(np.flatnonzero(written == ord(" "))[1:], len(written))
         upto = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
         return Lists.of(ids.astype(np.uint16), np.diff(upto, prepend=0))
 
-    def learn(self, words: list[str]) -> list[str]:
-        """Numbers words that have none, and returns these."""
-        new = [w for w in words if w not in self.number]
+    def learn(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
+        """The number of each of ``words``, no two of them equal, and those that had none, in the order of theirs."""
         first = len(self.ids.size)
-        self.number.update(zip(new, range(first, first + len(new)), strict=True))
+        numbers = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        new = [words[k] for k in np.flatnonzero(numbers >= first).tolist()]
         if new:
             self.ids = self.ids.then(self.encode(new))
-        return new
-
-    def numbers(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+            self.met = np.concatenate([self.met, np.zeros(len(new), np.int32)])
+        self.met[numbers] += 1
+        return numbers, new
 
 
 def with_ends(words: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -203,6 +221,20 @@ def subwords() -> Subwords:
     return _SUBWORDS[VOCABULARY]
 
 
+def product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """``left.T @ right`` of many rows and few columns, in blocks of rows that fit a cache."""
+    full = len(left) // ROWS * ROWS
+    blocks = lambda m: m[:full].reshape(-1, ROWS, m.shape[1])
+    return (blocks(left).swapaxes(1, 2) @ blocks(right)).sum(0) + left[full:].T @ right[full:]
+
+
+def mapped(rows: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """``rows @ by`` for many rows and a small ``by``, in blocks of rows if they come out even."""
+    if len(rows) % ROWS:
+        return rows @ by
+    return (rows.reshape(-1, ROWS, rows.shape[1]) @ np.ascontiguousarray(by)).reshape(len(rows), by.shape[1])
+
+
 @dataclass
 class Model:
     row: np.ndarray          # by subword: its embedding
@@ -214,84 +246,99 @@ class Model:
     groups: np.ndarray       # sorted: subword before * CLASSES + class
     other: np.ndarray        # by group: the same for all subwords without a pair
 
-    def absent(self, words: Lists) -> Lists:
-        """By word: its pairs that are not among ``pairs``."""
-        flat, begin = self._flat(words)
-        pair = flat[:-1] * SIZE + flat[1:]
-        missing = np.ones(len(pair), bool)
-        if len(self.pairs):
-            missing = self.pairs[np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)] != pair
-        missing[begin[1:] - 1] = False  # from word to word
-        return Lists.of(pair[missing], np.add.reduceat(np.append(missing, False).astype(np.int64), begin))
-
-    def _flat(self, words: Lists) -> tuple[np.ndarray, np.ndarray]:
+    def looked_up(self, words: Lists) -> tuple[np.ndarray, Lists]:
+        """By word (its subword ids): what its pairs add to the log10 probability, and those that are not among ``pairs``."""
         words = words.take(np.arange(len(words.size)))
-        return words.flat.astype(np.int64), words.start
-
-    def changes(self, words: Lists | list[np.ndarray]) -> np.ndarray:
-        """By word (its subword ids): what its pairs add to the log10 probability."""
-        if not isinstance(words, Lists):
-            words = Lists.of(np.concatenate(words), np.array([len(w) for w in words]))
-        flat, begin = self._flat(words)
-        left, right = flat[:-1], flat[1:]
-        out = np.zeros(len(flat))
-        if len(self.groups):
-            group = left * CLASSES + self.group[right]
-            at = np.minimum(np.searchsorted(self.groups, group), len(self.groups) - 1)
-            out[1:] = np.where(self.groups[at] == group, self.other[at], 0)
+        flat, begin = words.flat.astype(np.int64), words.start
+        inside = np.ones(len(flat), bool)
+        inside[begin] = False  # a word's first subword has no pair
+        right = np.flatnonzero(inside)
+        before, after = flat[right - 1], flat[right]
+        pair, added, missing = before * SIZE + after, np.zeros(len(right)), np.ones(len(right), bool)
         if len(self.pairs):
-            pair = left * SIZE + right
             at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-            out[1:] = np.where(self.pairs[at] == pair, self.change[at], out[1:])
-        out[begin] = 0  # a word's first subword has no pair
-        return np.add.reduceat(out, begin)
+            missing = self.pairs[at] != pair
+            added = np.where(missing, 0, self.change[at])
+        if len(self.groups) and missing.any():
+            group = before[missing] * CLASSES + self.group[after[missing]]
+            at = np.minimum(np.searchsorted(self.groups, group), len(self.groups) - 1)
+            added[missing] = np.where(self.groups[at] == group, self.other[at], 0)
+        out, lacks = np.zeros(len(flat)), np.zeros(len(flat), np.int64)
+        out[right], lacks[right] = added, missing
+        return np.add.reduceat(out, begin), Lists.of(pair[missing], np.add.reduceat(lacks, begin))
+
+    def changes(self, words: list[np.ndarray]) -> np.ndarray:
+        return self.looked_up(Lists.of(np.concatenate(words), np.array([len(w) for w in words])))[0]
 
     def loss_and_gradients(self, ids: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy of the classes after each of ``ids`` (batch, time), and all gradients."""
         w, (n, time), width = self.weights, ids.shape, self.weights["q"].shape[0]
-        rows, scale, kind = self.row[ids].ravel(), 1 / float(np.sqrt(width)), w["e"].dtype
+        rows, scale, kind = self.row.take(ids).ravel(), 1 / float(np.sqrt(width)), w["e"].dtype
         deep = lambda m: m.reshape(n, time, -1)
         flat = lambda m: m.reshape(n * time, -1)
+        turned = lambda m: np.ascontiguousarray(deep(m).swapaxes(1, 2))
+        both = self.projections()
         x = w["e"].take(rows, axis=0)
         deep(x)[:] += w["p"][:time]
-        q, k, v = deep(x @ (w["q"] * scale)), deep(x @ w["k"]), deep(x @ w["v"])
-        a = q @ k.swapaxes(1, 2)
+        made = deep(mapped(x, both))
+        q, u = made[..., :width], made[..., width:]
+        a = q @ turned(x)
         high = a >= HIGHEST if a.max(initial=0) >= HIGHEST else None
-        np.minimum(a, HIGHEST, out=a)
+        if high is not None:
+            np.minimum(a, HIGHEST, out=a)
         np.exp(a, out=a)
         a *= np.tri(time, dtype=kind)
-        a *= (1 / (a @ np.ones(time, kind)))[..., None]
-        o = flat(a @ v)
-        h = x + o @ w["o"]
-        p = h @ w["c"]
-        p += w["b"]
-        p -= p.max(1, keepdims=True)
-        np.exp(p, out=p)
-        p *= (1 / (p @ np.ones(p.shape[1], kind)))[:, None]
-        own = np.arange(len(p)) * p.shape[1] + targets.ravel()
-        loss = float(-np.log(np.maximum(p.ravel()[own], 1e-12)).mean())
-        p.ravel()[own] -= 1
-        dh = p @ w["c"].T
-        dh *= 1 / targets.size
-        do = dh @ w["o"].T
-        ds = deep(do) @ v.swapaxes(1, 2)
-        ds -= deep(np.einsum("ij,ij->i", do, o))
+        share = 1 / (a @ np.ones(time, kind)).reshape(-1, 1)
+        o = flat(a @ u)
+        o *= share
+        h, last = np.empty((n * time, width + 1), kind), np.concatenate([w["c"], w["b"][None]])
+        np.add(x, o, out=h[:, :width])
+        h[:, width] = 1
+        # p and a are not divided by their sums: what is made of them has fewer columns to divide.
+        p = mapped(h, last)
+        with np.errstate(over="ignore"):
+            np.exp(p, out=p)
+            total = p @ np.ones(p.shape[1], kind)
+        if not (1e-30 < total.min(initial=1) and total.max(initial=1) < 1e30):
+            p = h @ last
+            p -= p.max(1, keepdims=True)
+            np.exp(p, out=p)
+            total = p @ np.ones(p.shape[1], kind)
+        own = np.arange(0, p.size, p.shape[1]) + targets.ravel()
+        right = p.ravel().take(own)
+        loss = float(-np.log(np.maximum(right / total, 1e-12)).mean())
+        p.ravel()[own] = right - total
+        part = (1 / (total * targets.size)).astype(kind)[:, None]
+        dh = mapped(p, w["c"].T)
+        dh *= part
+        h *= part
+        dlast = product(h, p)
+        do = dh * share
+        ds = deep(do) @ turned(u)
+        ds -= deep((do * o) @ np.ones(width, kind))
         ds *= a
         if high is not None:
             ds[high] = 0
-        dv, dq, dk = flat(a.swapaxes(1, 2) @ deep(do)), flat(ds @ k), flat(ds.swapaxes(1, 2) @ q)
-        dq *= scale
-        dx = dh + dq @ w["q"].T
-        dx += dk @ w["k"].T
-        dx += dv @ w["v"].T
-        de, order = np.zeros_like(w["e"]), np.argsort(rows.astype(np.uint16), kind="stable")
-        ordered = rows[order]
-        first = np.flatnonzero(np.diff(ordered, prepend=-1))
-        de[ordered[first]] = np.add.reduceat(dx[order], first, axis=0)
+        dmade = np.empty_like(made)
+        np.matmul(ds, deep(x), out=dmade[..., :width])
+        np.matmul(a.swapaxes(1, 2), deep(do), out=dmade[..., width:])
+        dboth = product(x, flat(dmade))
+        dx = mapped(flat(dmade), both.T)
+        dx += dh
+        dx += flat(ds.swapaxes(1, 2) @ q)
+        cells = np.arange(w["e"].size).reshape(w["e"].shape).take(rows, axis=0)
+        de = np.bincount(cells.ravel(), dx.ravel(), w["e"].size).astype(kind).reshape(w["e"].shape)
         dp = np.zeros_like(w["p"])
         dp[:time] = deep(dx).sum(0)
-        return loss, {"e": de, "p": dp, "q": x.T @ dq, "k": x.T @ dk, "v": x.T @ dv, "o": o.T @ dh,
-                      "c": h.T @ p / targets.size, "b": p.sum(0) / targets.size}
+        dmatch, dcarry = dboth[:, :width] * scale, dboth[:, width:]
+        return loss, {"e": de, "p": dp, "q": dmatch @ w["k"], "k": dmatch.T @ w["q"], "v": dcarry @ w["o"].T, "o": w["v"].T @ dcarry,
+                      "c": dlast[:width], "b": dlast[width]}
+
+    def projections(self) -> np.ndarray:
+        """What a subword asks of those before it, and what it hands on to the classes, side by side. With
+        one head, queries and keys meet in one matrix only, and so do values and outputs."""
+        w = self.weights
+        return np.concatenate([w["q"] @ w["k"].T * (1 / float(np.sqrt(w["q"].shape[0]))), w["v"] @ w["o"]], axis=1)
 
     def learn(self, batches: Iterator[np.ndarray], steps: int, rate: float) -> None:
         """Adam over ``batches`` of windows, with a step size that falls to zero."""
@@ -299,7 +346,7 @@ class Model:
         first = {k: np.zeros_like(p) for k, p in weights.items()}
         second = {k: np.zeros_like(p) for k, p in weights.items()}
         for step, batch in enumerate(batches, 1):
-            _, gradients = self.loss_and_gradients(batch[:, :-1], self.group[batch[:, 1:]])
+            _, gradients = self.loss_and_gradients(batch[:, :-1], self.group.take(batch[:, 1:]))
             now = float(rate * (1 - step / (steps + 1)) * np.sqrt(1 - 0.99 ** step) / (1 - 0.9 ** step))
             for k, g in gradients.items():
                 first[k] += 0.1 * (g - first[k])
@@ -309,27 +356,29 @@ class Model:
     def log10(self, inputs: np.ndarray, targets: np.ndarray, scored: int) -> np.ndarray:
         """log10 probability of the last ``scored`` of ``targets`` (batch, time), which follow ``inputs``."""
         w, (n, time), width = self.weights, inputs.shape, self.weights["q"].shape[0]
-        x = w["e"].take(self.row[inputs], axis=0)
+        both = self.projections()
+        x = w["e"].take(self.row.take(inputs), axis=0)
         x += w["p"][:time]
         last = np.ascontiguousarray(x[:, time - scored:]).reshape(-1, width)
-        q = (last @ (w["q"] * (1 / float(np.sqrt(width))))).reshape(n, scored, width)
-        flat = x.reshape(-1, width)
-        k, v = (flat @ w["k"]).reshape(n, time, width), (flat @ w["v"]).reshape(n, time, width)
-        a = q @ k.swapaxes(1, 2)
-        np.minimum(a, HIGHEST, out=a)
+        u = mapped(x.reshape(-1, width), both[:, width:]).reshape(n, time, width)
+        a = mapped(last, both[:, :width]).reshape(n, scored, width) @ np.ascontiguousarray(x.swapaxes(1, 2))
+        if a.max(initial=0) > HIGHEST:
+            np.minimum(a, HIGHEST, out=a)
         np.exp(a, out=a)
         a *= np.tri(scored, time, time - scored, dtype=a.dtype)
-        o = (a @ v).reshape(-1, width)
+        o = (a @ u).reshape(-1, width)
         o *= (1 / (a.reshape(-1, time) @ np.ones(time, a.dtype)))[:, None]
-        last += o @ w["o"]
-        z = last @ w["c"]
-        z += w["b"]
+        h = np.empty((len(last), width + 1), last.dtype)
+        np.add(last, o, out=h[:, :width])
+        h[:, width] = 1
+        z = mapped(h, np.concatenate([w["c"], w["b"][None]]))
+        if z.max(initial=0) > HIGHEST:
+            np.minimum(z, HIGHEST, out=z)
         goal = targets[:, time - scored:].ravel()
-        np.minimum(z, HIGHEST, out=z)
-        own = z.ravel()[np.arange(0, z.size, z.shape[1]) + self.group[goal]]
+        own = z.ravel().take(np.arange(0, z.size, z.shape[1]) + self.group.take(goal))
         np.exp(z, out=z)
         total = np.log(z @ np.ones(z.shape[1], z.dtype))
-        return ((own - total) / np.float32(np.log(10)) + self.within[goal]).reshape(n, scored)
+        return ((own - total) / np.float32(np.log(10)) + self.within.take(goal)).reshape(n, scored)
 
     def score(self, texts: list[np.ndarray]) -> list[float]:
         """log10 probability of each text (subword ids with the end): every subword once."""
@@ -468,11 +517,10 @@ def _read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, length in pieces(part["text"]):
             found, size = words_in(part["text"].slice(at, length))
             distinct = found.dictionary.to_pylist()
-            if len(coder.number) > REMEMBERED:
-                coder.clear()
-            coder.learn(distinct)
+            coder.trim()
+            numbers, _ = coder.learn(distinct)
             codes = found.indices.to_numpy()
-            coded = coder.ids.take(with_ends(coder.numbers(distinct)[codes], size))
+            coded = coder.ids.take(with_ends(numbers[codes], size))
             ends = np.cumsum(np.add.reduceat(coded.size, np.cumsum(size + 1) - size - 1))
             offsets = (2 * np.concatenate([[0], ends])).astype(np.int32)
             ids = pa.Array.from_buffers(pa.binary(), length, [None, pa.py_buffer(offsets), pa.py_buffer(coded.flat.astype("<u2"))])
@@ -480,8 +528,8 @@ def _read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.bincount(codes, minlength=len(distinct))
             words.append(pa.table({"word": found.dictionary.cast(pa.binary()), "n": pa.array(n, pa.int64())}))
             before = np.concatenate([[END], coded.flat[coded.start + coded.size - 1][:-1]]).astype(np.int64)
-            keys, n = np.unique(before * SIZE + coded.flat[coded.start], return_counts=True)
-            edges.append(pa.table({"key": keys, "n": pa.array(n, pa.int64())}))
+            keys = pc.value_counts(pa.array(before * SIZE + coded.flat[coded.start]))
+            edges.append(pa.table({"key": keys.field("values"), "n": keys.field("counts")}))
             if sum(map(len, words)) > 2 * REMEMBERED:
                 words = merged(words, "word")
                 if len(words[0]) > REMEMBERED:
@@ -522,11 +570,9 @@ def _subword_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def coded_texts(coder: Subwords, texts: pa.Array) -> Lists:
     """Ids of each text, with its end."""
     words, size = words_in(texts)
-    distinct = words.dictionary.to_pylist()
-    if len(coder.number) > REMEMBERED:
-        coder.clear()
-    coder.learn(distinct)
-    of_words = coder.ids.take(with_ends(coder.numbers(distinct)[words.indices.to_numpy()], size))
+    coder.trim()
+    numbers, _ = coder.learn(words.dictionary.to_pylist())
+    of_words = coder.ids.take(with_ends(numbers[words.indices.to_numpy()], size))
     return Lists.of(of_words.flat, np.add.reduceat(of_words.size, np.cumsum(size + 1) - size - 1))
 
 
@@ -739,25 +785,27 @@ def scored(docs: DataFrame, held_out: Column, words: Unigram, model: Model, more
         own, change, lacking = np.zeros(1), np.zeros(1), none
         for part in parts:
             for first, n in pieces(part["text"]):
-                if len(coder.number) > REMEMBERED:
-                    coder.clear()
-                    own, change, lacking = np.zeros(1), np.zeros(1), none
+                if (kept := coder.trim()) is not None:
+                    own, change, lacking = own[kept], change[kept], lacking.take(kept) if more else lacking
                 found, size = words_in(part["text"].slice(first, n))
                 distinct = found.dictionary.to_pylist()
-                if new := coder.learn(distinct):
+                met, new = coder.learn(distinct)
+                if new:
                     ids = Lists(coder.ids.flat, coder.ids.start[-len(new):], coder.ids.size[-len(new):])
-                    own = np.concatenate([own, np.fromiter((base.get(w, np.nan) for w in new), float, len(new))])
-                    change = np.concatenate([change, model.changes(ids)])
+                    own = np.concatenate([own, np.fromiter(map(base.get, new, itertools.repeat(np.nan)), float, len(new))])
+                    of_pairs, without = model.looked_up(ids)
+                    change = np.concatenate([change, of_pairs])
                     if more:
-                        lacking = lacking.then(model.absent(ids))
-                met = coder.numbers(distinct)
+                        lacking = lacking.then(without)
                 numbers = with_ends(met[found.indices.to_numpy()], size)
                 start, value = np.cumsum(size + 1) - size - 1, own[numbers]
                 rest, ids = np.isnan(value), coder.ids.take(numbers)
                 n_rest = np.add.reduceat(rest.astype(np.int64), start)
                 words_of_rest = found.dictionary.cast(pa.binary()).take(found.indices.filter(pa.array(np.isnan(own[met])[found.indices.to_numpy()])))
                 scores = model.score_flat(ids.flat.astype(np.int64), np.add.reduceat(ids.size, start))
-                absent = lacking.take(numbers) if more else None
+                if more:
+                    n_lacking = lacking.size[numbers]
+                    absent, n_absent = lacking.take(numbers[n_lacking > 0]), np.add.reduceat(n_lacking, start)
                 listed = lambda sizes, values: pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
                 yield pa.RecordBatch.from_arrays([
@@ -765,7 +813,7 @@ def scored(docs: DataFrame, held_out: Column, words: Unigram, model: Model, more
                     pa.array(size, pa.int64()), pa.array(size - n_rest, pa.int64()),
                     pa.array(np.add.reduceat(np.where(rest, 0, value), start)),
                     pa.array(scores + np.add.reduceat(change[numbers], start)), listed(n_rest, words_of_rest),
-                    listed(np.add.reduceat(absent.size, start), pa.array(absent.flat)) if more else pa.nulls(n, pa.list_(pa.int64()))],
+                    listed(n_absent, pa.array(absent.flat)) if more else pa.nulls(n, pa.list_(pa.int64()))],
                     names=["uid", "doc_id", "held_out", "n_words", "n_found", "base", "score", "rest", "pairs"])
                 uid += n
 

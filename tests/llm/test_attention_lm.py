@@ -189,3 +189,33 @@ def test_words_encoded_together_equal_words_encoded_alone():
     coder = lm.Subwords()
     coded = coder.encode(words)
     assert [coded.flat[a:a + n].tolist() for a, n in zip(coded.start, coded.size, strict=True)] == [coder._word(w) for w in words]
+
+
+def test_full_memory_keeps_the_words_met_most_often(monkeypatch):
+    import pyarrow as pa
+
+    texts = [f"the of w{k}ka w{k}lo x{k}" for k in range(60)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array([t])], names=["h", "text"]) for k, t in enumerate(texts)]
+    coder = lm.subwords()
+    coder.clear()
+    want = [b["ids"].drop_null().to_pylist() for b in lm._read(iter(batches)) if b["ids"].null_count < len(b)]
+    monkeypatch.setattr(lm, "REMEMBERED", 10)
+    coded, real = [], coder.encode
+    monkeypatch.setattr(coder, "encode", lambda words: coded.extend(words) or real(words))
+    coder.clear()
+    assert [b["ids"].drop_null().to_pylist() for b in lm._read(iter(batches)) if b["ids"].null_count < len(b)] == want
+    assert coded.count("the") == coded.count("of") == 1
+    assert len(coder.number) <= 10 + 5 and len(coder.number) + 1 == len(coder.ids.size) == len(coder.met)
+    coder.clear()
+
+
+@pytest.mark.parametrize("shift", [0.0, 300.0, -300.0])
+def test_loss_of_logits_out_of_the_range_of_exp(shift):
+    model, windows = trained_on(steps=5)
+    ids, targets = windows[:30, :-1], model.group[windows[:30, 1:]]
+    want, gradients = model.loss_and_gradients(ids, targets)
+    model.weights["b"] = model.weights["b"] + np.float32(shift)  # the same for all classes
+    got, moved = model.loss_and_gradients(ids, targets)
+    assert got == pytest.approx(want, rel=1e-4)
+    for name, g in gradients.items():
+        assert moved[name] == pytest.approx(g, rel=1e-2, abs=1e-4)
