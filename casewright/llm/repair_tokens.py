@@ -19,6 +19,7 @@ from threading import Timer
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -42,8 +43,8 @@ REMEMBERED = 500_000
 MARKS = 10_000
 #: After so long without a task of this kind they are forgotten.
 IDLE_SECONDS = 5.0
-#: Characters of text whose new units are encoded together.
-TOGETHER = 2_000_000
+#: Bytes of text whose new units are encoded together.
+TOGETHER = 4_000_000
 MAGIC = 0x31475052
 #: Key of a line feed between two lines; no unit looks like it.
 LINE_FEED = "  "
@@ -62,8 +63,8 @@ class Encoder:
     given to the tokenizer whole.
     """
 
-    SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@[-`{-~]*)")
-    LINES = re.compile(r"\n(?:\s|\Z|(?<=\s\n))")
+    SIMPLE = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@[-`{-~]*)")
+    LINES = re.compile(r"\n(?:\s|\Z|(?<=\s\n))|\A\n")
     WHOLE = re.compile(r" (?<=\s )(?:\s|\Z)")
 
     def __init__(self, vocabulary: str = VOCABULARY):
@@ -105,7 +106,8 @@ class Encoder:
             ids = known.get(word) or met.get(word)
             if ids is None:
                 written = word if word.isascii() else word.translate(self.written)
-                ids = met[word] = array("H", [t.id for t in merge(space + written)]).tobytes()
+                written = written[1:] if word[0] == " " else space + written
+                ids = met[word] = array("H", [t.id for t in merge(written)]).tobytes()
             if mark:
                 if mark not in marks:
                     if len(marks) > MARKS:
@@ -122,42 +124,58 @@ class Encoder:
     def forget(self) -> None:
         self.known = {LINE_FEED: self.known[LINE_FEED]}
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, and the end id."""
-        end, known = np.array([END_ID], "<u2").tobytes(), self.known.get
-        units: list[tuple[list[str], list[bytes | None]] | None] = []
-        new: set[str] = set()
-        for text in texts:
-            if self.WHOLE.search(text):
-                units.append(None)
-                continue
-            # Lines without white space at their ends are taken apart too: a line feed is a piece alone.
-            lines = [text] if text.startswith("\n") or self.LINES.search(text) else text.split("\n")
-            parts: list[str] = []
-            for line in lines:
-                first, *rest = line.split(" ")
-                if parts:
-                    parts.append(LINE_FEED)
-                if first:
-                    parts.append(" " + first)
-                parts += rest
-            ids = list(map(known, parts))
-            units.append((parts, ids))
-            if None in ids:
-                new.update(p for p, i in zip(parts, ids, strict=True) if i is None)
-        met = self._units(new)
-        out = []
-        for text, unit in zip(texts, units, strict=True):
-            if unit is None:
-                coded = self._alone([text])[0]
-            else:
-                parts, ids = unit
-                if None in ids:
-                    ids = [met[p] if i is None else i for p, i in zip(parts, ids, strict=True)]
-                coded = b"".join(ids)
-            out.append(np.frombuffer(coded + end, "<u2"))
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """Ids of each text, and the end id. The units of all texts are numbered by Arrow, so that each
+        is asked for once, and ids are copied by these numbers."""
+        if not len(texts):
+            return []
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        end, lists = np.array([END_ID], "<u2").tobytes(), pc.split_pattern(texts, " ")
+        flat = lists.flatten().dictionary_encode()
+        units, codes = flat.dictionary.to_numpy(zero_copy_only=False).tolist(), flat.indices.to_numpy().astype(np.int64)
+        size = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        start = np.cumsum(size) - size
+        suspect = np.flatnonzero(np.logical_or.reduceat(self._bare(units)[codes], start)).tolist()
+        if whole := [k for k in suspect if self.WHOLE.search(texts[k].as_py())]:
+            alone = dict(zip(whole, self._alone([texts[k].as_py() for k in whole]), strict=True))
+            others = iter(self.encode(texts.take(pa.array([k for k in range(len(texts)) if k not in alone], pa.int64()))))
+            return [np.frombuffer(alone[k] + end, "<u2") if k in alone else next(others) for k in range(len(texts))]
+        ids = self._ids([*units, *(" " + units[k] for k in codes[start].tolist())])
+        codes[start] = len(units) + np.arange(len(texts))  # a text's first unit has no space before it
+        numbers = np.insert(codes, start + size, len(ids))  # the end after each text
+        ids.append(end)
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        every, begin, of_unit = np.frombuffer(b"".join(ids), "<u2"), np.cumsum(length) - length, length[numbers]
+        upto = np.cumsum(of_unit)
+        coded = every[np.repeat(begin[numbers] - upto + of_unit, of_unit) + np.arange(int(upto[-1]))]
+        return np.split(coded, upto[np.cumsum(size + 1) - 1][:-1])
+
+    @staticmethod
+    def _bare(units: list[str]) -> np.ndarray:
+        """By unit: whether it is empty or has white space at an end; only a space beside such a unit may not begin a piece."""
+        out = np.zeros(len(units), bool)
+        out[[k for k, u in enumerate(units) if not u or not u.isprintable() and (u[0].isspace() or u[-1].isspace())]] = True
         return out
 
+    def _ids(self, keys: list[str]) -> list[bytes]:
+        """Ids of each of ``keys``. A line feed with visible characters on both sides is a piece alone, so units
+        are taken apart there."""
+        known = self.known
+        ids, apart, new = list(map(known.get, keys)), {}, set()
+        lacking = [k for k, i in enumerate(ids) if i is None]
+        for k in lacking:
+            key = keys[k]
+            if "\n" in key and not self.LINES.search(key):
+                first, *rest = key.split("\n")
+                apart[k] = [first, *(part for line in rest for part in (LINE_FEED, " " + line))]
+                new.update(part for part in apart[k] if part not in known)
+            else:
+                new.add(key)
+        met = self._units(new)
+        for k in lacking:
+            ids[k] = b"".join([known.get(part) or met[part] for part in apart[k]]) if k in apart else met[keys[k]]
+        return ids
+
 
 _ENCODERS: dict[str, Encoder] = {}
 _TIMERS: dict[str, Timer] = {}
@@ -299,20 +317,16 @@ def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY, shard_tokens: in
 
         for batch in batches:
             names, texts = batch["doc_id"].to_pylist(), batch["text"]
-            at = 0
-            while at < len(names):
-                some, size = [], 0
-                while at + len(some) < len(names) and size < TOGETHER:
-                    some.append(texts[at + len(some)].as_py())
-                    size += len(some[-1])
-                for name, coded in zip(names[at:at + len(some)], encoder.encode(some), strict=True):
+            piece = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // TOGETHER
+            cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(names)]
+            for at, after in zip(cuts, cuts[1:], strict=False):
+                for name, coded in zip(names[at:after], encoder.encode(texts.slice(at, after - at)), strict=True):
                     ids.append(name)
                     documents.append(coded)
                     tokens += len(coded)
                     if tokens >= shard_tokens:
                         yield shard()
                         ids, documents, tokens, number = [], [], 0, number + 1
-                at += len(some)
         if documents:
             yield shard()
 

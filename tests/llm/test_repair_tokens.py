@@ -95,3 +95,20 @@ def test_a_word_is_remembered_once_whatever_marks_follow_it():
         *encoder.tokenizer.encode(text, add_special_tokens=False).ids, repair.END_ID]
     assert len(encoder.known) <= 1 + 5 + 1 + 2  # the line feed, the words, the first unit
     assert set(encoder.marks) == {",", ".", ";", "!?", ")."}
+
+
+def test_words_that_begin_a_line_are_merged_directly(plain, monkeypatch):
+    encoder, asked = repair.Encoder(), []
+    real = encoder._alone
+    monkeypatch.setattr(encoder, "_alone", lambda texts: asked.extend(texts) or real(texts))
+    text = "One two\nthree, four\nfünf!\nsix"
+    assert encoder.encode([text, "Seven"])[0].tolist() == plain(text)
+    assert [t for t in asked if t] == []
+
+
+def test_texts_encoded_together_equal_texts_encoded_alone(plain):
+    texts = ["a\nb c", "a  b", "x \n y", "a\n\nb a\nb", "", " ", "\nb\nc", "b\n", "a b   c", "p\x85\nq r\n\x1cs", "a\nb  c\nd", "c d"]
+    encoder = repair.Encoder()
+    assert [e.tolist() for e in encoder.encode(texts * 2)] == [plain(t) for t in texts * 2]
+    assert [encoder.encode([t])[0].tolist() for t in texts] == [plain(t) for t in texts]
+    assert encoder.encode([]) == []
