@@ -516,7 +516,7 @@ def _read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         for at, length in pieces(part["text"]):
             found, size = words_in(part["text"].slice(at, length))
-            distinct = found.dictionary.to_pylist()
+            distinct = found.dictionary.to_numpy(zero_copy_only=False).tolist()
             coder.trim()
             numbers, _ = coder.learn(distinct)
             codes = found.indices.to_numpy()
@@ -553,7 +553,7 @@ def _subword_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         return distinct, np.bincount(which, np.concatenate(times)).astype(np.int64)
 
     for part in parts:
-        words, count = part["word"].cast(pa.string()).to_pylist(), part["c"].to_numpy()
+        words, count = part["word"].cast(pa.string()).to_numpy(zero_copy_only=False).tolist(), part["c"].to_numpy()
         coded = coder.encode(words)
         ids, n = coded.flat.astype(np.int64), np.repeat(count, coded.size)
         inside = np.ones(len(ids), bool)
@@ -571,7 +571,7 @@ def coded_texts(coder: Subwords, texts: pa.Array) -> Lists:
     """Ids of each text, with its end."""
     words, size = words_in(texts)
     coder.trim()
-    numbers, _ = coder.learn(words.dictionary.to_pylist())
+    numbers, _ = coder.learn(words.dictionary.to_numpy(zero_copy_only=False).tolist())
     of_words = coder.ids.take(with_ends(numbers[words.indices.to_numpy()], size))
     return Lists.of(of_words.flat, np.add.reduceat(of_words.size, np.cumsum(size + 1) - size - 1))
 
@@ -788,7 +788,7 @@ def scored(docs: DataFrame, held_out: Column, words: Unigram, model: Model, more
                 if (kept := coder.trim()) is not None:
                     own, change, lacking = own[kept], change[kept], lacking.take(kept) if more else lacking
                 found, size = words_in(part["text"].slice(first, n))
-                distinct = found.dictionary.to_pylist()
+                distinct = found.dictionary.to_numpy(zero_copy_only=False).tolist()
                 met, new = coder.learn(distinct)
                 if new:
                     ids = Lists(coder.ids.flat, coder.ids.start[-len(new):], coder.ids.size[-len(new):])
