@@ -205,11 +205,15 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndar
     while terminals + len(rules) < SYMBOLS:
         keys = symbols[:-1] << 16 | symbols[1:]
         free = ~(ends[:-1] | ends[1:])
-        pairs, counts = np.unique(keys[free], return_counts=True)
-        often = np.flatnonzero(counts >= FREQUENT)
-        best = often[np.argsort(-counts[often], kind="stable")][:min(AT_ONCE, SYMBOLS - terminals - len(rules))]
-        if not len(best):
+        # In sorted keys, a frequent pair is met again FREQUENT - 1 places on; the others need no counting.
+        in_order = np.sort(keys[free])
+        again = in_order[:max(0, len(in_order) - FREQUENT + 1)]
+        again = again[again == in_order[FREQUENT - 1:]]
+        if not len(again):
             break
+        first = np.flatnonzero(np.concatenate([[True], again[1:] != again[:-1]]))
+        pairs, counts = again[first], np.diff(first, append=len(again)) + FREQUENT - 1
+        best = np.argsort(-counts, kind="stable")[:min(AT_ONCE, SYMBOLS - terminals - len(rules))]
         # Slots by hash; of two pairs in one slot the more frequent is kept, the other waits for the next round.
         slots = np.full(1 << 18, -1, np.int16)
         slot = (pairs[best] * np.uint32(2654435761)) >> np.uint32(14)
