@@ -9,7 +9,8 @@ after the subword before it in the word. Frequent pairs are looked up in every t
 others meet their counts in a join. A text is scored in windows that overlap, so that every subword has context, and
 each is counted once. Beside it stands a smoothed word unigram, whose counts cover all
 training texts: frequent words are looked up in a bounded dictionary that every task
-holds, all others meet their counts in a join.
+holds, all others meet their counts in a join. Texts are taken apart once: all later steps
+know a word by its subword ids, which no two words share.
 """
 
 from __future__ import annotations
@@ -63,12 +64,13 @@ WEIGHTS = 8192
 #: Attention scores and logits are held under this, which keeps exp() in range.
 HIGHEST = 30.0
 
-#: Words in the dictionary of every task, and the bytes that such a word has at most: under 13 MB.
-DICTIONARY = 150_000
+#: Words in the dictionary of every task, and the bytes that the ids of such a word have at most: under 32 MB.
+DICTIONARY = 400_000
 WORD_BYTES = 64
-#: Distinct words that a worker keeps the ids of, and words counted before they are sent on.
-#: A worker that holds that many keeps the half that was met most often.
-REMEMBERED = 400_000
+#: Distinct words that a worker keeps the ids of. A worker that holds that many keeps the half that was met most often.
+REMEMBERED = 200_000
+#: Words, and pairs of subwords from word to word, that are counted before they are sent on.
+COUNTED = 400_000
 #: White space of other scripts may stand in a word.
 SPACE = re.compile(r"\s")
 #: Letters of a word that are encoded at once; a longer word is encoded in parts.
@@ -99,7 +101,23 @@ class Lists:
     def take(self, at: np.ndarray) -> Lists:
         size = self.size[at]
         begin = np.cumsum(size) - size
-        return Lists(self.flat[np.repeat(self.start[at] - begin, size) + np.arange(int(size.sum()))], begin, size)
+        places = np.repeat(self.start[at] - begin, size)
+        places += np.arange(len(places))
+        return Lists(self.flat.take(places), begin, size)
+
+    @classmethod
+    def read(cls, lists: pa.Array) -> Lists:
+        """From ids as bytes, a value to a list."""
+        lists = lists.cast(pa.binary())
+        offsets = np.frombuffer(lists.buffers()[1], np.int32, len(lists) + 1, 4 * lists.offset) if len(lists) else np.zeros(1, np.int32)
+        flat = np.frombuffer(lists.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]].view("<u2")
+        return cls.of(flat, np.diff(offsets) // 2)
+
+    def written(self) -> pa.Array:
+        """Ids as bytes, a value to a list, if the lists lie end to end."""
+        offsets = 2 * np.append(self.start, len(self.flat))
+        return pa.Array.from_buffers(pa.binary(), len(self.size), [None, pa.py_buffer(offsets.astype(np.int32)),
+                                                                   pa.py_buffer(np.ascontiguousarray(self.flat, "<u2"))])
 
     def then(self, other: Lists) -> Lists:
         return Lists(np.concatenate([self.flat, other.flat]), np.concatenate([self.start, other.start + len(self.flat)]),
@@ -126,6 +144,22 @@ def pieces(texts: pa.Array) -> Iterator[tuple[int, int]]:
     yield from ((a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)
 
 
+def ranks_of(vocabulary: str) -> dict[bytes, int]:
+    import public_tokenizers
+
+    at = vocabulary if os.path.isabs(vocabulary) else public_tokenizers.path(vocabulary)
+    with open(at, "rb") as lines:
+        return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
+
+
+def beginnings(vocabulary: str = VOCABULARY) -> np.ndarray:
+    """By subword: whether it starts a word or is the end of a text. No word has a space but the one before it."""
+    out, ranks = np.zeros(SIZE, bool), ranks_of(vocabulary)
+    out[list(ranks.values())] = [piece.startswith(b" ") for piece in ranks]
+    out[END] = True
+    return out
+
+
 class Subwords:
     """Ids of words, each with the space before it. Words that were met have a number; number 0 is
     the end of a text."""
@@ -134,9 +168,7 @@ class Subwords:
         import public_tokenizers
         import tiktoken
 
-        at = vocabulary if os.path.isabs(vocabulary) else public_tokenizers.path(vocabulary)
-        with open(at, "rb") as lines:
-            ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
+        ranks = ranks_of(vocabulary)
         self.encoding = tiktoken.Encoding("subwords", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.bytes_of = np.zeros(SIZE, np.int64)
         self.bytes_of[list(ranks.values())] = [len(piece) for piece in ranks]
@@ -221,6 +253,12 @@ def subwords() -> Subwords:
     return _SUBWORDS[VOCABULARY]
 
 
+def forget() -> None:
+    """Frees what the worker process keeps for texts; later steps have ids only."""
+    _SUBWORDS.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """``left.T @ right`` of many rows and few columns, in blocks of rows that fit a cache."""
     full = len(left) // ROWS * ROWS
@@ -326,8 +364,8 @@ class Model:
         dx = mapped(flat(dmade), both.T)
         dx += dh
         dx += flat(ds.swapaxes(1, 2) @ q)
-        cells = np.arange(w["e"].size).reshape(w["e"].shape).take(rows, axis=0)
-        de = np.bincount(cells.ravel(), dx.ravel(), w["e"].size).astype(kind).reshape(w["e"].shape)
+        de = np.zeros_like(w["e"])
+        np.add.at(de.reshape(-1), np.arange(de.size).reshape(de.shape).take(rows, axis=0).ravel(), dx.ravel())
         dp = np.zeros_like(w["p"])
         dp[:time] = deep(dx).sum(0)
         dmatch, dcarry = dboth[:, :width] * scale, dboth[:, width:]
@@ -342,16 +380,25 @@ class Model:
 
     def learn(self, batches: Iterator[np.ndarray], steps: int, rate: float) -> None:
         """Adam over ``batches`` of windows, with a step size that falls to zero."""
-        weights = self.weights
-        first = {k: np.zeros_like(p) for k, p in weights.items()}
-        second = {k: np.zeros_like(p) for k, p in weights.items()}
+        names = list(self.weights)
+        every = np.concatenate([self.weights[k].ravel() for k in names])
+        cuts = np.cumsum([self.weights[k].size for k in names])[:-1]
+        self.weights = {k: part.reshape(self.weights[k].shape) for k, part in zip(names, np.split(every, cuts), strict=True)}  # views
+        first, second, change = np.zeros_like(every), np.zeros_like(every), np.empty_like(every)
         for step, batch in enumerate(batches, 1):
             _, gradients = self.loss_and_gradients(batch[:, :-1], self.group.take(batch[:, 1:]))
+            g = np.concatenate([gradients[k].ravel() for k in names])
             now = float(rate * (1 - step / (steps + 1)) * np.sqrt(1 - 0.99 ** step) / (1 - 0.9 ** step))
-            for k, g in gradients.items():
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.01 * (g * g - second[k])
-                weights[k] -= now * first[k] / (np.sqrt(second[k]) + 1e-8)
+            # The moments are kept without their factors of 0.1 and 0.01.
+            first *= 0.9
+            first += g
+            second *= 0.99
+            second += np.multiply(g, g, out=g)
+            np.sqrt(second, out=change)
+            change += 1e-7
+            np.divide(first, change, out=change)
+            change *= now
+            every -= change
 
     def log10(self, inputs: np.ndarray, targets: np.ndarray, scored: int) -> np.ndarray:
         """log10 probability of the last ``scored`` of ``targets`` (batch, time), which follow ``inputs``."""
@@ -386,22 +433,25 @@ class Model:
 
     def score_flat(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The same for texts end to end."""
-        before = np.concatenate([[END], flat[:-1]]).astype(flat.dtype)
         begin = np.cumsum(sizes) - sizes
+        # What stands after a text does not reach back into it.
+        follow = np.full(len(flat) + WINDOW, END, flat.dtype)
+        follow[:len(flat)] = flat
+        before = np.full(len(follow), END, flat.dtype)
+        before[1:] = follow[:-1]
         before[begin] = END
+        inputs, targets = (np.lib.stride_tricks.sliding_window_view(ids, WINDOW) for ids in (before, follow))
         more = np.maximum(0, -(-(sizes - WINDOW) // STEP))  # windows after the first
         out = np.zeros(len(sizes))
-        time = np.arange(WINDOW)
         owner = np.repeat(np.arange(len(sizes)), more)
         at = np.arange(len(owner)) - np.repeat(np.cumsum(more) - more, more)
         for who, start, scored in ((np.arange(len(sizes)), np.zeros(len(sizes), int), WINDOW), (owner, (at + 1) * STEP, STEP)):
             for a in range(0, len(who), WINDOWS):
                 rows, first = who[a:a + WINDOWS], start[a:a + WINDOWS]
-                place = first[:, None] + time
-                inside = (place < sizes[rows, None])[:, WINDOW - scored:]
-                place = np.minimum(place, sizes[rows, None] - 1) + begin[rows, None]
-                got = self.log10(before[place], flat[place], scored)
-                np.add.at(out, rows, np.where(inside, got, 0).sum(1, dtype=np.float64))
+                place = first + begin[rows]
+                got = self.log10(inputs[place], targets[place], scored)
+                got[np.arange(WINDOW - scored, WINDOW) >= (sizes[rows] - first)[:, None]] = 0
+                np.add.at(out, rows, got.sum(1, dtype=np.float64))
         return out
 
 
@@ -492,14 +542,16 @@ def trained(windows: np.ndarray, counts: np.ndarray, pairs: np.ndarray, times: n
     return model
 
 
-READ = "word binary, key long, n long, h long, ids binary"
-_READ_ARROW = pa.schema([("word", pa.binary()), ("key", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("ids", pa.binary())])
+READ = "word binary, key long, n long, h long, doc_id long, ids binary"
+_READ_ARROW = pa.schema([("word", pa.binary()), ("key", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("doc_id", pa.int64()),
+                         ("ids", pa.binary())])
 
 
 def _read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One pass over texts (h, text). Rows of three kinds: (word, n), words and how often they were met;
-    (key, n), pairs of subwords from word to word or from or to an end (before * SIZE + subword);
-    (h, ids), the ids of each text with its end."""
+    """One pass over texts (h, text and other columns to keep), those to learn from with an h. Rows of three
+    kinds: (word, n), the ids of words to learn from and how often they were met; (key, n), pairs of subwords
+    from word to word or from or to an end there (before * SIZE + subword); (h, others, ids), the ids of each
+    text with its end."""
     coder, words, edges = subwords(), [], []
 
     def rows(length: int, **columns: pa.Array) -> pa.RecordBatch:
@@ -514,6 +566,7 @@ def _read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows(batch.num_rows, **{name: batch[name], "n": batch["n"]})
 
     for part in parts:
+        kept = [name for name in part.schema.names if name != "text"]
         for at, length in pieces(part["text"]):
             found, size = words_in(part["text"].slice(at, length))
             distinct = found.dictionary.to_numpy(zero_copy_only=False).tolist()
@@ -521,41 +574,42 @@ def _read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             numbers, _ = coder.learn(distinct)
             codes = found.indices.to_numpy()
             coded = coder.ids.take(with_ends(numbers[codes], size))
-            ends = np.cumsum(np.add.reduceat(coded.size, np.cumsum(size + 1) - size - 1))
-            offsets = (2 * np.concatenate([[0], ends])).astype(np.int32)
-            ids = pa.Array.from_buffers(pa.binary(), length, [None, pa.py_buffer(offsets), pa.py_buffer(coded.flat.astype("<u2"))])
-            yield rows(length, h=part["h"].slice(at, length), ids=ids)
-            n = np.bincount(codes, minlength=len(distinct))
-            words.append(pa.table({"word": found.dictionary.cast(pa.binary()), "n": pa.array(n, pa.int64())}))
+            texts = Lists.of(coded.flat, np.add.reduceat(coded.size, np.cumsum(size + 1) - size - 1))
+            yield rows(length, ids=texts.written(), **{name: part[name].slice(at, length) for name in kept})
+            use = part["h"].slice(at, length).is_valid().to_numpy(zero_copy_only=False)
+            n = np.bincount(codes[np.repeat(use, size)], minlength=len(distinct))
+            met = np.flatnonzero(n)
+            words.append(pa.table({"word": coder.ids.take(numbers[met]).written(), "n": pa.array(n[met], pa.int64())}))
             before = np.concatenate([[END], coded.flat[coded.start + coded.size - 1][:-1]]).astype(np.int64)
-            keys = pc.value_counts(pa.array(before * SIZE + coded.flat[coded.start]))
+            keys = pc.value_counts(pa.array((before * SIZE + coded.flat[coded.start])[np.repeat(use, size + 1)]))
             edges.append(pa.table({"key": keys.field("values"), "n": keys.field("counts")}))
-            if sum(map(len, words)) > 2 * REMEMBERED:
+            if sum(map(len, words)) > 2 * COUNTED:
                 words = merged(words, "word")
-                if len(words[0]) > REMEMBERED:
+                if len(words[0]) > COUNTED:
                     yield from sent(words, "word")
                     words = []
-            if sum(map(len, edges)) > 2 * REMEMBERED:
+            if sum(map(len, edges)) > 2 * COUNTED:
                 edges = merged(edges, "key")
-                if len(edges[0]) > REMEMBERED:
+                if len(edges[0]) > COUNTED:
                     yield from sent(edges, "key")
                     edges = []
+        pa.default_memory_pool().release_unused()
     yield from sent(words, "word")
     yield from sent(edges, "key")
 
 
 def _subword_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, n): subwords (key: the id) and pairs in words (key: (id before + 1) * SIZE + id)."""
-    coder, keys, times = subwords(), [], []
+    forget()
+    keys, times = [], []
 
     def merged() -> tuple[np.ndarray, np.ndarray]:
         distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
         return distinct, np.bincount(which, np.concatenate(times)).astype(np.int64)
 
     for part in parts:
-        words, count = part["word"].cast(pa.string()).to_numpy(zero_copy_only=False).tolist(), part["c"].to_numpy()
-        coded = coder.encode(words)
-        ids, n = coded.flat.astype(np.int64), np.repeat(count, coded.size)
+        coded = Lists.read(part["word"])
+        ids, n = coded.flat.astype(np.int64), np.repeat(part["c"].to_numpy(), coded.size)
         inside = np.ones(len(ids), bool)
         inside[coded.start] = False
         inside = np.flatnonzero(inside)
@@ -620,6 +674,7 @@ def trained_on_all(texts: DataFrame, tokens: int, model: Model) -> Model:
     start = replace(model, within=None, pairs=None, change=None, groups=None, other=None)
 
     def learned(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         shard, kept, size, number = TaskContext.get().partitionId(), [], 0, 0
 
         def passed() -> pa.RecordBatch:
@@ -668,14 +723,14 @@ def trained_on_all(texts: DataFrame, tokens: int, model: Model) -> Model:
 
 @dataclass
 class Unigram:
-    """Word counts of all training texts: a stored table, totals, and the most frequent words; and the
-    stored rows of ``_read``, whose ids the weights are trained on."""
+    """Word counts of all training texts: a stored table, totals, and the most frequent words (word, c); and the
+    stored rows of ``_read``, whose ids the weights are trained on and all texts are scored by."""
 
     counts: DataFrame
     tokens: int
     distinct: int
     ends: int
-    frequent: dict[bytes, int]
+    frequent: pa.Table
     read: DataFrame
 
     def log10(self, count):
@@ -683,15 +738,15 @@ class Unigram:
 
 
 def unigram(docs: DataFrame, training: Column) -> Unigram:
-    # The expressions are of columns of ``docs``, so the texts are picked before they are renamed.
-    train = docs.filter(training).select(F.xxhash64(F.lit(SEED), "doc_id", "text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
-    read = cut_lineage(train.mapInArrow(_read, READ))
-    counts = cut_lineage(read.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")))
+    texts = docs.select(F.when(training, F.xxhash64(F.lit(SEED), "doc_id", "text")).alias("h"), F.col("doc_id").cast("long").alias("doc_id"),
+                        F.coalesce("text", F.lit("")).alias("text"))
+    read = cut_lineage(texts.mapInArrow(_read, READ))
+    # Every task has summed its words already, so they are dealt before they are summed again.
+    counts = cut_lineage(read.filter("word IS NOT NULL").select("word", "n").repartition("word").groupBy("word").agg(F.sum("n").alias("c")))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = read.filter("h IS NOT NULL").count()
-    rows = most_frequent(counts.filter(F.length("word") <= WORD_BYTES), "c", DICTIONARY).toArrow()
-    return Unigram(counts, total.n + ends, total.v + (ends > 0), ends,
-                   dict(zip(rows["word"].to_pylist(), rows["c"].to_pylist(), strict=True)), read)
+    frequent = most_frequent(counts.filter(F.length("word") <= WORD_BYTES), "c", DICTIONARY).toArrow()
+    return Unigram(counts, total.n + ends, total.v + (ends > 0), ends, frequent, read)
 
 
 def most_frequent(rows: DataFrame, count: str, room: int) -> DataFrame:
@@ -733,9 +788,20 @@ class Subcounts:
     def cells(self, row: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
         """Sums over all neighbours, in words and from word to word, by ``neighbour_cells``; at most two columns of ``near`` to an embedding row."""
         def summed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, times = [], []
+
+            def sums() -> pa.RecordBatch:
+                cell, n = neighbour_cells(row, near, np.concatenate(keys), np.concatenate(times))
+                return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n.astype(np.int64))], names=["cell", "n"])
+
             for part in parts:
-                cell, n = neighbour_cells(row, near, part["key"].to_numpy(), part["n"].to_numpy())
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n.astype(np.int64))], names=["cell", "n"])
+                keys.append(part["key"].to_numpy())
+                times.append(part["n"].to_numpy())
+                if sum(map(len, keys)) >= COUNTED:
+                    yield sums()
+                    keys, times = [], []
+            if keys:
+                yield sums()
 
         pairs = self.every.select(F.col("key") - SIZE, "n").union(self.across.select("key", "n")).toDF("key", "n")
         sums = pairs.mapInArrow(summed, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
@@ -773,36 +839,31 @@ SCORED = "uid long, doc_id long, held_out boolean, n_words long, n_found long, b
     "pairs array<long>"
 
 
-def scored(docs: DataFrame, held_out: Column, words: Unigram, model: Model, more: bool) -> DataFrame:
-    """Score of every text; words outside the dictionary are left in ``rest``, and if there are ``more``
-    pairs than the model holds, those it lacks in ``pairs``, to be looked up by joins."""
-    base = {w.decode(): float(words.log10(c)) for w, c in words.frequent.items()}
+def scored(texts: DataFrame, held_out: Column, words: Unigram, model: Model, more: bool) -> DataFrame:
+    """Score of every text (doc_id, ids); words outside the dictionary are left in ``rest``, and if there are
+    ``more`` pairs than the model holds, those it lacks in ``pairs``, to be looked up by joins."""
+    frequent = words.frequent["word"].combine_chunks().cast(pa.binary())
+    base, begins = words.log10(words.frequent["c"].to_numpy()).astype(float), beginnings()
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, uid = subwords(), TaskContext.get().partitionId() << 33
-        coder.clear()  # numbers of words and what stands beside them belong together
-        none = Lists.of(np.zeros(0, np.int64), np.zeros(1, np.int64))
-        own, change, lacking = np.zeros(1), np.zeros(1), none
+        forget()
+        uid = TaskContext.get().partitionId() << 33
         for part in parts:
-            for first, n in pieces(part["text"]):
-                if (kept := coder.trim()) is not None:
-                    own, change, lacking = own[kept], change[kept], lacking.take(kept) if more else lacking
-                found, size = words_in(part["text"].slice(first, n))
-                distinct = found.dictionary.to_numpy(zero_copy_only=False).tolist()
-                met, new = coder.learn(distinct)
-                if new:
-                    ids = Lists(coder.ids.flat, coder.ids.start[-len(new):], coder.ids.size[-len(new):])
-                    own = np.concatenate([own, np.fromiter(map(base.get, new, itertools.repeat(np.nan)), float, len(new))])
-                    of_pairs, without = model.looked_up(ids)
-                    change = np.concatenate([change, of_pairs])
-                    if more:
-                        lacking = lacking.then(without)
-                numbers = with_ends(met[found.indices.to_numpy()], size)
-                start, value = np.cumsum(size + 1) - size - 1, own[numbers]
-                rest, ids = np.isnan(value), coder.ids.take(numbers)
+            for first, n in pieces(part["ids"]):
+                ids = Lists.read(part["ids"].slice(first, n))
+                begin = np.flatnonzero(begins[ids.flat])  # of words, and of the end of each text
+                found = Lists(ids.flat, begin, np.diff(begin, append=len(ids.flat))).written().dictionary_encode()
+                distinct, numbers = Lists.read(found.dictionary), found.indices.to_numpy()
+                at = pc.index_in(found.dictionary, value_set=frequent)
+                own = np.full(len(distinct.size), np.nan)
+                own[at.is_valid().to_numpy(zero_copy_only=False)] = base[at.drop_null().to_numpy()]
+                own[distinct.flat[distinct.start] == END] = 0
+                change, lacking = model.looked_up(distinct)
+                start, value = np.searchsorted(begin, ids.start), own[numbers]
+                size, rest = np.diff(start, append=len(begin)) - 1, np.isnan(value)
                 n_rest = np.add.reduceat(rest.astype(np.int64), start)
-                words_of_rest = found.dictionary.cast(pa.binary()).take(found.indices.filter(pa.array(np.isnan(own[met])[found.indices.to_numpy()])))
-                scores = model.score_flat(ids.flat.astype(np.int64), np.add.reduceat(ids.size, start))
+                words_of_rest = found.dictionary.take(found.indices.filter(pa.array(rest)))
+                scores = model.score_flat(ids.flat, ids.size)
                 if more:
                     n_lacking = lacking.size[numbers]
                     absent, n_absent = lacking.take(numbers[n_lacking > 0]), np.add.reduceat(n_lacking, start)
@@ -817,8 +878,7 @@ def scored(docs: DataFrame, held_out: Column, words: Unigram, model: Model, more
                     names=["uid", "doc_id", "held_out", "n_words", "n_found", "base", "score", "rest", "pairs"])
                 uid += n
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
-    return rows.mapInArrow(batches, SCORED)
+    return texts.select("doc_id", held_out.alias("held_out"), "ids").mapInArrow(batches, SCORED)
 
 
 def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -833,7 +893,7 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     more = found.rest is not None
     model = trained(windows, found.alone, found.pairs, found.times, STEPS, found.totals if more else None, found.cells)
     model = trained_on_all(words.read.filter("h IS NOT NULL"), words.tokens, model)
-    rows = cut_lineage(scored(docs, held_out, words, model, more))
+    rows = cut_lineage(scored(words.read.filter("ids IS NOT NULL"), F.col("h").isNull(), words, model, more))
     total = float(words.tokens + ADD * (words.distinct + 1))
     rare = rows.select("uid", F.explode("rest").alias("word")).join(words.counts, "word", "left")
     per_row = rare.groupBy("uid").agg(F.count("c").alias("known"), F.sum(

@@ -209,6 +209,38 @@ def test_full_memory_keeps_the_words_met_most_often(monkeypatch):
     coder.clear()
 
 
+def test_texts_are_taken_apart_once(spark, monkeypatch):
+    """Scoring reads the ids that the first pass stored, of every text, and no text."""
+    monkeypatch.setattr(lm, "STEPS", 5)
+    seen, real = [], lm.scored
+    monkeypatch.setattr(lm, "scored", lambda texts, *more: seen.append(texts) or real(texts, *more))
+    rows = corpus()
+    run(frame(spark, rows))
+    assert "ids" in seen[0].columns and "text" not in seen[0].columns
+    assert Counter(r.doc_id for r in seen[0].select("doc_id").collect()) == Counter(name for name, _ in rows)
+
+
+def test_ids_tell_words_apart_and_only_training_texts_are_counted():
+    import pyarrow as pa
+
+    texts = [" a\tb\x0bThe  'S it's ", "", "x y   z  1\x1c2 ÉÉ 漢字", "n" * 2500 + " 12ab-- a", "\u0085", "the held x\u00a0y"]
+    use = [5, 6, 7, 8, 9, None]
+    lm.subwords().clear()
+    parts = [pa.RecordBatch.from_arrays([pa.array(use, pa.int64()), pa.array(range(6)), pa.array(texts)], names=["h", "doc_id", "text"])]
+    read = pa.Table.from_batches(lm._read(iter(parts))).to_pylist()
+    coder = lm.Subwords()
+    write = lambda words: [np.array(coder._word(w), "<u2").tobytes() for w in words]
+    want = Counter(w for h, text in zip(use, texts, strict=True) if h for w in write(tokens(text)))
+    assert {r["word"]: r["n"] for r in read if r["word"] is not None} == want
+    kept = [r for r in read if r["ids"] is not None]
+    assert [(r["h"], r["doc_id"]) for r in kept] == list(zip(use, range(6), strict=True))
+    assert sum(r["n"] for r in read if r["key"] is not None) == sum(len(tokens(t)) + 1 for t in texts[:5])
+    for text, found in zip(texts, lm.Lists.read(pa.array([b"", *(r["ids"] for r in kept)])[1:]).written().to_pylist(), strict=True):
+        flat = np.frombuffer(found, "<u2")
+        begin = np.flatnonzero(lm.beginnings()[flat])
+        assert [w.tobytes() for w in np.split(flat, begin[1:])] == [*write(tokens(text)), np.array([lm.END], "<u2").tobytes()]
+
+
 @pytest.mark.parametrize("shift", [0.0, 300.0, -300.0])
 def test_loss_of_logits_out_of_the_range_of_exp(shift):
     model, windows = trained_on(steps=5)
